@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, packing
+from attestra.llm import byte_bpe, compression_classifier, packing, quality_rules
 from attestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def fold(of: int) -> Column:
+    """crc32 of doc_id as text, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_probability"
+    )
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
+    scored = compression_classifier.score(docs, model)
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op5_byte_bpe)}
+    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_byte_bpe, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
