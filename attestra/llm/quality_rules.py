@@ -26,8 +26,8 @@ from attestra.llm.common import checkpoint, texts
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Posterior probability of the good class from which a document is kept.
-KEEP_FROM = 0.5
+#: Posterior probability of the good class from which a document is kept: the votes must not leave it below the prior.
+KEEP_FROM = 0.8
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,57 +83,61 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+def _vote(good: Column | None, bad: Column) -> Column:
+    vote = F.when(bad, F.lit(-1))
+    return (vote if good is None else vote.when(good, F.lit(1))).otherwise(F.lit(0))
 
 
 def votes() -> dict[str, Column]:
-    """The rules.  A share is taken of words, characters or lines; no words means no vote but on length."""
+    """The rules.  Measures are shares of words, characters or lines; without words only length votes.
+
+    Length, word length and stop marks vote either way.  Signs of junk (symbols,
+    capitals, repetition) vote bad or abstain: their absence says little.
+    """
     n, chars = F.col("n_words").cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    some = n > 0
-    share = lambda x, of: F.when(some, F.col(x) / of)
-    mean = F.when(some, chars / n)
-    symbols, capitals, stops = share("n_symbols", n), share("n_capitals", chars), share("n_stops", n)
+    share = lambda x, of: F.when(n > 0, F.col(x) / of)
+    mean, stops = F.when(n > 0, chars / n), share("n_stops", n)
     repeats, lines = share("n_repeat_words", n), share("n_dup_lines", F.col("n_lines").cast("double"))
     return {
         "length": _vote(n >= 80, n < 50),
         "word_length": _vote((mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 12)),
-        "symbols": _vote(symbols <= 0.02, symbols > 0.1),
-        "capitals": _vote(capitals <= 0.1, capitals > 0.3),
         "stops": _vote((stops >= 0.03) & (stops <= 0.35), (stops > 0.6) | (stops < 0.005)),
-        "repeats": _vote((repeats <= 0.1) & (lines <= 0.1), (repeats > 0.4) | (lines > 0.3)),
+        "symbols": _vote(None, share("n_symbols", n) > 0.1),
+        "capitals": _vote(None, share("n_capitals", chars) > 0.3),
+        "repeats": _vote(None, (repeats > 0.4) | (lines > 0.5)),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, ...], float]:
+#: What is believed of a rule's votes before data, by class (0 bad, 1 good) and vote.
+TWO_SIDED = ({-1: 0.2, 0: 0.15, 1: 0.65}, {-1: 0.05, 0: 0.15, 1: 0.8})
+ONE_SIDED = ({-1: 0.4, 0: 0.6, 1: 1e-9}, {-1: 0.005, 0: 0.995, 1: 1e-9})
+BELIEFS = (TWO_SIDED,) * 3 + (ONE_SIDED,) * 3
+#: Share of good documents, a parameter as is usual where rules alone cannot settle it; beliefs weigh as much as this part of the data.
+BALANCE, WEIGHT = 0.8, 1.0
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], beliefs: tuple = BELIEFS, balance: float = BALANCE, weight: float = WEIGHT, rounds: int = 40) -> dict[tuple[int, ...], float]:
     """Expectation-maximisation over vote patterns and their counts: the posterior of the good class by pattern.
 
-    Votes are independent given the class; each rule has its own rate of each vote in
-    each class.  It starts from rules that are right four times in five, which settles
-    which class is the good one; a weak prior keeps every rate above zero.
+    Votes are independent given the class, and each rule has its own rate of each vote
+    in each class.  The beliefs start the rates and stay in every round as a prior,
+    which settles which class is the good one and keeps rates above zero.
     """
-    if not patterns:
-        return {}
-    rules, total = len(patterns[0][0]), sum(c for _, c in patterns)
-    rate = [[{v: (0.8 if v == side else 0.2) for v in (-1, 1)} | {0: 0.5} for _ in range(rules)] for side in (-1, 1)]
-    prior, post = 0.8, {}
+    rate = [[dict(b[side]) for b in beliefs] for side in (0, 1)]
+    post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         for p, _c in patterns:
-            odds = [1 - prior, prior]
+            odds = [1 - balance, balance]
             for side in (0, 1):
                 for j, v in enumerate(p):
                     odds[side] *= rate[side][j][v]
-            post[p] = odds[1] / (odds[0] + odds[1]) if odds[0] + odds[1] > 0 else prior
-        good = sum(c * post[p] for p, c in patterns)
-        prior = min(0.99, max(0.01, good / total))
-        for side, mass in ((0, total - good), (1, good)):
-            for j in range(rules):
-                # the prior of each rate: two per cent of the class's mass, votes of its own side four times as likely
-                weight = 0.02 * mass + 1e-9
-                lean = {-1: 0.4 if side == 0 else 0.1, 0: 0.5, 1: 0.4 if side == 1 else 0.1}
+            post[p] = odds[1] / (odds[0] + odds[1])
+        for side in (0, 1):
+            mass = sum(c * (post[p] if side else 1 - post[p]) for p, c in patterns) or 1e-9
+            for j, b in enumerate(beliefs):
                 for v in (-1, 0, 1):
                     seen = sum(c * (post[p] if side else 1 - post[p]) for p, c in patterns if p[j] == v)
-                    rate[side][j][v] = (seen + weight * lean[v]) / (mass + weight)
+                    rate[side][j][v] = (seen + weight * mass * b[side][v]) / (mass * (1 + weight))
     return post
 
 
