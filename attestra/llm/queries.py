@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, compression_classifier, packing, quality_rules
+from attestra.llm import byte_bpe, compression_classifier, packing, quality_rules, simhash
 from attestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
@@ -45,7 +49,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_byte_bpe, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_byte_bpe, op6_simhash, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
