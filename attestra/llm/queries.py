@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, compression_classifier, packing, quality_rules, simhash
+from attestra.llm import byte_bpe, compression_classifier, packing, ppm, quality_rules, simhash
 from attestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), fold(5) != 1)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +53,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_byte_bpe, op6_simhash, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_ppm, op2_packing, op4_quality_rules, op5_byte_bpe, op6_simhash, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
