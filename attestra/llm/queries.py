@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, compression_classifier, packing, ppm, quality_rules, simhash
+from attestra.llm import byte_bpe, compression_classifier, packing, ppm, quality_rules, simhash, top_k
 from attestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,30 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ppm, op2_packing, op4_quality_rules, op5_byte_bpe, op6_simhash, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_ppm, op2_packing, op4_quality_rules, op5_byte_bpe, op6_simhash, op9_quality_classifier, op10_top_k)}
+
+
+OP10_SQL = """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM x q JOIN x c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_top_k": OP10_SQL}
