@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, compression_classifier, packing, ppm, quality_rules, simhash, top_k
+from attestra.llm import byte_bpe, compression_classifier, packing, ppm, quality_rules, simhash, substring_dedup, top_k
 from attestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_probability"
@@ -57,7 +61,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ppm, op2_packing, op4_quality_rules, op5_byte_bpe, op6_simhash, op9_quality_classifier, op10_top_k)}
+    return {f.__name__: f for f in (op1_ppm, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_simhash, op9_quality_classifier, op10_top_k)}
 
 
 OP10_SQL = """
