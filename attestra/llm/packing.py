@@ -19,9 +19,12 @@ no sequences.
 
 from __future__ import annotations
 
+import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,10 @@ from pyspark.sql import functions as F
 
 from attestra.llm.common import bucket_count, checkpoint, strings, texts
 
-MEMO_WORDS = 300_000
-#: Pieces in one bucket of the two-level ranks.
-BUCKET_PIECES = 200_000
+#: Words, and runs of letters or signs within words, kept in a worker's memos before one is emptied.
+MEMO_WORDS, MEMO_PARTS = 400_000, 800_000
+#: Pieces in one bucket of the two-level ranks, and the fewest buckets.
+BUCKET_PIECES, BUCKETS = 20_000, 64
 
 
 class WordBPE:
@@ -43,46 +47,59 @@ class WordBPE:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.parts = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.odd = re.compile("[\x1c-\x1f\u03a3]")  # white space to Python alone; a letter whose lower case depends on its neighbours
+        self.runs = re.compile(r"[.,](?:_|[^\w\s])|(?:_|[^\w\s])[.,]")
         self.memo: dict[str, bytes] = {}
         self.part_memo: dict[str, bytes] = {}
 
     def whole(self, batch: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
+        return [packed(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Words without an apostrophe, outside which the pattern is runs of one class, are put together from their runs."""
-        parts, simple, other = self.part_memo, [], []
-        for w in words:
-            (other if "'" in w or "<|" in w or not w.isascii() else simple).append(w)
-        split = [self.parts.findall(w) for w in simple]
-        if new := list({p for x in split for p in x} - parts.keys()):
+        """Words without an apostrophe, outside which the pattern is runs of one class, are put together from their runs.
+
+        A word that changes its length in lower case could change its runs too, and goes whole.
+        """
+        memo, parts, simple, other = self.memo, self.part_memo, [], []
+        lower = [w.lower() for w in words]
+        for w, x in zip(words, lower, strict=True):
+            if "'" in x or "<|" in x or len(w) != len(x):
+                other.append(w)
+            else:
+                simple.append((w, self.parts.findall(x)))
+        if new := list({p for _, x in simple for p in x if p not in parts}):
             parts.update(zip(new, self.whole(new), strict=True))
-        for w, x in zip(simple, split, strict=True):
-            self.memo[w] = b"".join([parts[p] for p in x])
-        self.memo.update(zip(other, self.whole(other), strict=True))
+        for w, x in simple:
+            memo[w] = b"".join([parts[p] for p in x])
+        if other:
+            memo.update(zip(other, self.whole(other), strict=True))
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         memo = self.memo
-        for x in (memo, self.part_memo):
-            if len(x) > MEMO_WORDS:
-                x.clear()
-        out: list[bytes | None] = [None] * len(batch)
-        cut = []
-        for i, text in enumerate(batch):
-            if not text.isascii() and not unicodedata.is_normalized("NFC", text) or any(c in text for c in "\x1c\x1d\x1e\x1fΣ"):
-                out[i] = self.whole([text])[0]
-                cut.append([])
-            else:
-                cut.append(text.split())
-        if new := list({w for words in cut for w in words if w not in memo}):
-            self.learn(new)
-        return [b"".join([memo[w] for w in words]) if o is None else o for o, words in zip(out, cut, strict=True)]
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        if len(self.part_memo) > MEMO_PARTS:
+            self.part_memo.clear()
+        cut = [self.words(text) for text in batch]
+        if unknown := [w for w in {w for words in cut if words for w in words} if w not in memo]:
+            self.learn(unknown)
+        return [self.whole([text])[0] if words is None else b"".join([memo[w] for w in words]) for text, words in zip(batch, cut, strict=True)]
+
+    def words(self, text: str) -> list[str] | None:
+        """Lower-case words; commas and full stops, where they stand alone, are words of their own, which leaves fewer distinct ones.  None: only the library can tell."""
+        lower = text.lower()
+        if len(lower) != len(text) or self.odd.search(text) or not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            return None
+        if not self.runs.search(lower):
+            lower = lower.replace(",", " , ").replace(".", " . ")
+        return lower.split()
 
 
 _loaded: dict[str, WordBPE] = {}
@@ -171,7 +188,7 @@ def slots(plan: list[tuple[int, list[int]]]) -> dict[int, list[tuple[int, int, i
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to rows of doc_id, piece, length, ..."""
     pieces = checkpoint(pieces)
-    n = bucket_count(pieces.count(), BUCKET_PIECES)
+    n = max(BUCKETS, bucket_count(pieces.count(), BUCKET_PIECES))
     keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
     counts = keyed.groupBy("length", "_bucket").count()
     histogram = dict(counts.groupBy("length").agg(F.sum("count")).collect())  # at most `capacity` rows

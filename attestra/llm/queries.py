@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, compression_classifier, packing, ppm, quality_rules, simhash, substring_dedup, top_k
+from attestra.llm import byte_bpe, compression_classifier, fuzzy_passages, packing, pii, ppm, quality_rules, simhash, substring_dedup, top_k
 from attestra.llm.common import table
 
+#: The key of the queries; a real corpus takes its own from a secret store.
+PII_KEY = "attestra"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -49,6 +52,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_found")
+
+
+def op8_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
@@ -61,7 +72,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ppm, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_simhash, op9_quality_classifier, op10_top_k)}
+    return {f.__name__: f for f in (op1_ppm, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii, op8_fuzzy_passages, op9_quality_classifier, op10_top_k)}
 
 
 OP10_SQL = """
