@@ -26,10 +26,8 @@ def reports(verdicts: DataFrame, documents: DataFrame) -> DataFrame:
     out = documents.select("doc_id").distinct().join(grouped, "doc_id", "left")
     v = F.coalesce(F.col("v"), F.array().cast("array<struct<ordinal:int,claim_id:string,fingerprint:string,status:string>>"))
     ids = lambda *s: F.transform(F.filter(F.col("v"), lambda x: x["status"].isin(*s)), lambda x: x["claim_id"])
-    counts = F.filter(
-        F.array(*[F.struct(F.lit(s).alias("key"), F.size(F.filter(F.col("v"), lambda x, s=s: x["status"] == s)).alias("value")) for s in sorted(STATUSES)]),
-        lambda e: e["value"] > 0,
-    )
+    tally = lambda s: F.struct(F.lit(s).alias("key"), F.size(F.filter(F.col("v"), lambda x: x["status"] == s)).alias("value"))
+    counts = F.filter(F.array(*[tally(s) for s in sorted(STATUSES)]), lambda e: e["value"] > 0)
     out = out.withColumn("v", v).withColumns(
         {
             "n_claims": F.size("v"), "n_supported": F.size(F.filter("v", lambda x: approved(x["status"]))), "report_fingerprint": report_fingerprint(F.col("v")),
