@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from attestra.functions import text as X
 from attestra.operators.verify import KEY
 
+#: Bits after the point of a term's weight.
+FRACTION = 40
+
 
 def clamped(k1: float = 1.2, b: float = 0.75) -> tuple[float, float]:
     """k1 at least 0, b within [0, 1]; not a number means the default."""
@@ -19,9 +22,10 @@ def clamped(k1: float = 1.2, b: float = 0.75) -> tuple[float, float]:
 def bm25(claims: DataFrame, evidence: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """KEY, evidence_ordinal, id, score, rank: the ``limit`` passages with the highest score.
 
-    Source types play no part.  Terms keep stop words; a score is the sum over the
-    shared terms in their order, so equal inputs give equal doubles.  Corpus
-    statistics are computed once per scope, and only for terms that a claim has.
+    Source types play no part.  Terms keep stop words.  Terms' weights add up as fixed-
+    point numbers of FRACTION bits: the sum does not depend on the order, so ties are
+    ties wherever rows lie, and partial sums combine before the shuffle.  Corpus
+    statistics are computed once per scope.
     """
     k1, b = clamped(k1, b)
     wanted = claims.select(*KEY, F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
@@ -32,9 +36,8 @@ def bm25(claims: DataFrame, evidence: DataFrame, limit: int, k1: float = 1.2, b:
     idf = F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
     norm = k1 * (1 - b + b * F.col("_length") / F.greatest(F.col("_mean"), F.lit(1.0)))
     weight = idf * (F.col("_tf") * (k1 + 1)) / (F.col("_tf") + norm)
-    weighted = tf.join(df, ["scope", "term"]).join(corpus, "scope").select("scope", "term", "evidence_ordinal", "id", weight.alias("w"))
-    parts = wanted.join(weighted, ["scope", "term"]).groupBy(*KEY, "evidence_ordinal", "id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("parts"))
-    scored = parts.select(*KEY, "evidence_ordinal", "id", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["w"]).alias("score"))
+    weighted = tf.join(df, ["scope", "term"]).join(corpus, "scope").select("scope", "term", "evidence_ordinal", "id", F.round(weight * float(1 << FRACTION)).cast("long").alias("w"))
+    scored = wanted.join(weighted, ["scope", "term"]).groupBy(*KEY, "evidence_ordinal", "id").agg((F.sum("w") / float(1 << FRACTION)).alias("score"))
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "id", "evidence_ordinal"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= max(0, limit))
 
