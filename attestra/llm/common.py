@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -23,11 +24,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 
     Only a session without that setting (tests, a laptop) gets a folder of its own.
+    Shuffle files that only the cut lineage needs are let go at once, not when the
+    driver next happens to collect its garbage.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # type: ignore[union-attr]
+    return out
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -321,12 +321,9 @@ def _suffixes(parts: int, splitters: list[bytes], fingerprint_parts: int):
             rows_at, rows_entry, rows_hot, rows_place = [], [], [], []
             for p, s, e, kind, doc, d, w in zip(at[pick].tolist(), lo[pick].tolist(), hi[pick].tolist(), level[pick].tolist(), ids, shift.tolist(), place.tolist(), strict=True):
                 if kind == 1:
-                    k = (raw[p : e + LENGTH], raw[s:p])
-                    i = entries.setdefault(k, len(first))
-                    if i == len(first):
+                    i = entries.setdefault((raw[p : e + LENGTH], raw[s:p]), len(first))
+                    if i == len(first):  # documents come by id: the first is the smallest
                         first.append(doc)
-                    elif doc < first[i]:
-                        first[i] = doc
                     rows_at.append(p + d)
                     rows_entry.append(i)
                     rows_hot.append(0)
@@ -381,15 +378,14 @@ def _suffixes(parts: int, splitters: list[bytes], fingerprint_parts: int):
     return run
 
 
-def self_prints(own: Bucket, parts: int, got: dict[int, bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+def self_prints(own: Bucket, parts: int, got: dict[int, bytes]) -> list[tuple[np.ndarray, ...]]:
     """Anchors of each chunk with the level that the fingerprint round gave them."""
-    grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(anchors(np.frombuffer(raw, np.uint8), ends)[3]) for raw, ends, _, _ in own.chunks()]]))
+    found = [anchors(np.frombuffer(raw, np.uint8), ends) for raw, ends, _, _ in own.chunks()]
+    grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *[f[3] for f in found]]))
     part, level = (grams % np.uint64(parts)).astype(np.int64), np.zeros(len(grams), np.uint8)
     for r in np.unique(part).tolist():
         level[part == r] = unpack_ints(got[r], "<u1")
-    for raw, ends, _, _ in own.chunks():
-        at, lo, hi, h = anchors(np.frombuffer(raw, np.uint8), ends)
-        yield at, lo, hi, level[np.searchsorted(grams, h)] if len(grams) else np.zeros(0, np.uint8)
+    return [(at, lo, hi, level[np.searchsorted(grams, h)]) for at, lo, hi, h in found]
 
 
 def resolve(group: list[tuple[bytes, bytes, int]]) -> list[tuple[int, int]]:
