@@ -164,9 +164,10 @@ def kappa(pairs: DataFrame, first: str, second: str) -> DataFrame:
     """n, n_agree, kappa of two boolean columns; null without rows, or if chance alone would agree."""
     a, b, n = F.col(first), F.col(second), F.count("*")
     c = pairs.agg(n.alias("n"), F.count_if(a == b).alias("n_agree"), F.count_if(a).alias("na"), F.count_if(b).alias("nb"))
-    pa, pb = F.col("na") / F.col("n"), F.col("nb") / F.col("n")
+    share = lambda x: F.try_divide(F.col(x), F.col("n"))
+    pa, pb = share("na"), share("nb")
     expected = pa * pb + (1 - pa) * (1 - pb)
-    value = F.when((F.col("n") > 0) & (expected < 1), (F.col("n_agree") / F.col("n") - expected) / (1 - expected))
+    value = F.when((F.col("n") > 0) & (expected < 1), F.try_divide(share("n_agree") - expected, 1 - expected))
     return c.select("n", "n_agree", value.alias("kappa"))
 
 
@@ -282,7 +283,7 @@ def finalize(manifest: DataFrame, primaries: list[DataFrame], adjudication: Data
         label_issues(good),
     ]).orderBy("place", "rule").collect()]
     issues += [f"adjudication contains duplicate response for {r['candidate_id']}" for r in duplicates(good, "candidate_id").orderBy("candidate_id").collect()]
-    missing = disputed.join(good, disputed["disputed"] == good["candidate_id"], "left_anti").count()
+    missing = disputed.join(good.select(F.col("candidate_id").alias("_have")), F.col("disputed") == F.col("_have"), "left_anti").count()
     if missing:
         issues.append(f"adjudication is missing {missing} disputed candidates")
     if issues:

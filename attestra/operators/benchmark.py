@@ -29,7 +29,8 @@ def ratio(n: Column, d: Column) -> Column:
 
 def upper_bound(events: Column, trials: Column) -> Column:
     """One-sided 95 % upper bound of a rate: exact without events, else Wilson's, at most 1; 1 without trials."""
-    n, p = trials.cast("double"), events / trials
+    n = F.nullif(trials.cast("double"), F.lit(0.0))
+    p = events / n
     z2 = Z95 * Z95
     wilson = ((p + z2 / (2 * n)) + Z95 * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     return F.when(trials <= 0, 1.0).when(events == 0, 1 - F.pow(F.lit(0.05), 1 / n)).otherwise(F.least(F.lit(1.0), wilson))
