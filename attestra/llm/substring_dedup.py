@@ -567,4 +567,4 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows, answers = _bucketed(docs, hot)
     kept = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(), "doc_id long, kept string").withColumnRenamed("doc_id", "_id")
     out = docs.join(kept, docs["doc_id"] == kept["_id"])
-    return out.select(*[F.col("kept").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return out.select(*[kept["kept"].alias("text") if c == "text" else docs[c] for c in docs.columns])
