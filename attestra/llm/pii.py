@@ -186,17 +186,22 @@ def pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonymised(text: Column, key: str) -> Column:
-    """struct(text, n_found): a text with every found value replaced."""
+    """struct(text, n_found): a text with every value replaced, and how many were."""
 
     def replaced(found: Column) -> Column:
-        return let(F.split(text, ANY, -1), lambda gaps: F.struct(F.array_join(F.zip_with(gaps, F.transform(found, lambda m: pseudonym(m, key)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "").alias("text"), F.size(found).cast("long").alias("n_found")))
+        def joined(new: Column) -> Column:
+            changed = F.filter(F.zip_with(found, new, lambda m, x: m != x), lambda c: c)
+            whole = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+            return F.struct(whole.alias("text"), F.size(changed).cast("long").alias("n_found"))
+
+        return let(F.transform(found, lambda m: pseudonym(m, key)), joined)
 
     plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_found"))
     return F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda found: F.when(F.size(found) > 0, replaced(found)).otherwise(plain))).otherwise(plain)
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with the values in ``column`` replaced; ``count``: a column for how many were found."""
+    """``docs`` with the values in ``column`` replaced; ``count``: a column for how many were replaced."""
     at, name = docs.columns.index(column), "_pseudonymised"
     while name in docs.columns:
         name += "_"
