@@ -27,20 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import checkpoint, strings, texts
-from attestra.llm.components import components, forest
+from attestra.llm.components import components, contract, forest
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a bucket that are compared with one another directly; more are first split.
 DIRECT = 2048
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """The 64-bit SimHash of a text's shingles of lower-cased (A-Z) words."""
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
+    """The 64-bit SimHash of a text's shingles of lower-cased (A-Z) words; ``distinct``: of its different words, each once."""
     import xxhash
 
     found = text.encode().lower().split()
     if not found:
         return 0
+    if distinct:
+        found, words = list(set(found)), 1
     hash_of = xxhash.xxh64_intdigest
     if len(found) < words:
         hashes = np.array([hash_of(b" ".join(found), seed)], "<u8")
@@ -52,14 +54,14 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fps = np.array([fingerprint(x, words, seed) for x in strings(part.column("text"))], np.uint64)
+                fps = np.array([fingerprint(x, words, seed, distinct) for x in strings(part.column("text"))], np.uint64)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(fps.view(np.int64))})
 
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
@@ -165,41 +167,77 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
 def representatives(docs: DataFrame, words: int = 5, radius: int = 6, seeds: tuple[int, ...] = (42, 43), similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group stays, its columns as they came.
 
-    Groups are components of fingerprint links under any of ``seeds`` (a second
-    independent fingerprint lifts recall), on shingles of ``words`` words.  A document
-    goes if its text is that of the group's smallest doc_id, or if the two texts share
-    ``similarity`` or more of their shingles (Jaccard), so that a chain of links does
-    not carry unlike documents along.  Of rows with one doc_id and one text, one stays.
+    Candidates are components of fingerprint links under any of ``seeds``.  These
+    fingerprints take each different word once: a few changed words move them by far
+    fewer bits than they move fingerprints of five-word shingles, so that texts of the
+    wanted similarity are within the radius.  Then, round by round, each candidate
+    group keeps its smallest doc_id, and those that share ``similarity`` or more of
+    their ``words``-word shingles with it (Jaccard) go; the others are a group of the
+    next round, so a chain of links does not carry unlike documents along.  Exact
+    copies, and rows with one doc_id, leave one.
     """
     plain = texts(docs).withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256))
-    firsts = checkpoint(plain.groupBy("_sha").agg(F.min("doc_id").alias("id")))
-    unique = plain.select("doc_id", "_sha").join(firsts, "_sha").filter("doc_id = id").select(F.col("doc_id").alias("_doc")).distinct()
+    unique = plain.groupBy("_sha").agg(F.min("doc_id").alias("_doc")).select("_doc").distinct()
     base = docs.join(unique, docs["doc_id"] == unique["_doc"], "left_semi").dropDuplicates(["doc_id"])
     edges = None
-    for seed in seeds:
-        prints = checkpoint(fingerprints(base, words, seed))
-        nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    every = checkpoint(texts(base).mapInArrow(_several(seeds), "doc_id long, fps array<long>"))
+    for k in range(len(seeds)):
+        prints = every.select("doc_id", F.col("fps")[k].alias("fp"))
+        nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
         equal = prints.join(nodes, "fp").filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-        found = links(checkpoint(nodes), radius).unionByName(equal)
+        found = contract(links(nodes, radius).unionByName(equal))
         edges = found if edges is None else edges.unionByName(found)
-    groups = checkpoint(components(edges).filter("id <> component"))
+    groups = components(edges)
+    own = texts(base).withColumnRenamed("doc_id", "_id")
+    left = checkpoint(groups.join(own, groups["id"] == own["_id"]).select("id", "component", "text").mapInArrow(_signatures(words), "id long, component long, signature binary"))
+    gone = None
+    while True:
+        heads = left.groupBy("component").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select(F.col("component").alias("_component"), "head")
+        first = left.join(heads, (F.col("component") == F.col("_component")) & (F.col("id") == F.col("head"))).select(F.col("component").alias("_component"), "head", F.col("signature").alias("first"))
+        judged = checkpoint(left.join(first, F.col("component") == F.col("_component")).filter("id <> head").select("id", "component", "signature", "first").mapInArrow(_alike(similarity), "id long, component long, signature binary, gone boolean"))
+        mine = judged.filter("gone").select(F.col("id").alias("_gone"))
+        gone = mine if gone is None else gone.unionByName(mine)
+        left = judged.filter("not gone").drop("gone")
+        if left.isEmpty():
+            break
+    return base.join(gone, base["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+
+
+def _several(seeds: tuple[int, ...]):
+    """Fingerprints of a text's different words under each seed, in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [[fingerprint(x, 1, seed, distinct=True) for seed in seeds] for x in strings(batch.column("text"))]
+            signed = np.array(fps, np.uint64).view(np.int64).tolist()
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fps": pa.array(signed, pa.list_(pa.int64()))})
+
+    return run
+
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        def shingles(text: str) -> set[int]:
-            own = text.encode().lower().split()
-            return set(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*[own[i:] for i in range(words)], strict=False)))) or {xxhash.xxh64_intdigest(b" ".join(own))}
+        for batch in batches:
+            out = []
+            for text in strings(batch.column("text")):
+                own = text.encode().lower().split()
+                shingles = map(b" ".join, zip(*[own[i:] for i in range(words)], strict=False)) if len(own) >= words else [b" ".join(own)]
+                out.append(np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), "<u8")).tobytes())
+            yield pa.record_batch({"id": batch.column("id"), "component": batch.column("component"), "signature": pa.array(out, pa.binary())})
+
+    return run
 
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, mine, first in zip(*(batch.column(c).to_pylist() for c in ("id", "mine", "first")), strict=True):
-                x, y = shingles(mine), shingles(first)
-                if len(x & y) >= similarity * len(x | y):
-                    out.append(doc_id)
-            yield pa.record_batch({"_gone": pa.array(out, pa.int64())})
-
-    own = texts(base)
-    pairs = groups.join(own.select(F.col("doc_id").alias("id"), F.col("text").alias("mine")), "id").join(own.select(F.col("doc_id").alias("component"), F.col("text").alias("first")), "component")
-    gone = pairs.select("id", "mine", "first").mapInArrow(alike, "_gone long")
-    return base.join(gone, base["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+            for mine, first in zip(batch.column("signature").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                x, y = np.frombuffer(mine, "<u8"), np.frombuffer(first, "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.record_batch({"id": batch.column("id"), "component": batch.column("component"), "signature": batch.column("signature"), "gone": pa.array(out, pa.bool_())})
+
+    return run
