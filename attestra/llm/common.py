@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
     out = df.checkpoint()
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # type: ignore[union-attr]
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)  # the gateway lets go of Java objects a moment after Python does
+        spark.sparkContext._jvm.System.gc()  # type: ignore[union-attr]
     return out
 
 
@@ -117,3 +121,52 @@ def unpack_ints(blob: bytes, dtype: str) -> np.ndarray:
     n, width = int.from_bytes(blob[:4], "little"), np.dtype(dtype).itemsize
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:], max_output_size=max(1, width * n)), np.uint8).reshape(width, n)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """bucket, packed: rows of (bucket, doc_id, text) as compressed blobs, one for each bucket and portion of a task's input, so that texts cross a shuffle at half the size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[bytes]]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            blobs = [pack_texts(ids, raw) for ids, raw in held.values()]
+            return pa.record_batch({"bucket": pa.array(list(held), pa.int32()), "packed": pa.array(blobs, pa.binary())})
+
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            raw, at = data.tobytes(), offsets.tolist()
+            for i, (bucket, doc_id) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+                ids, own = held.setdefault(bucket, ([], []))
+                ids.append(doc_id)
+                own.append(raw[at[i] : at[i + 1]])
+            size += len(raw)
+            if size > 4 * BUCKET_BYTES:
+                yield flush()
+                held, size = {}, 0
+        if held:
+            yield flush()
+
+    return docs.select("bucket", "doc_id", "text").mapInArrow(run, "bucket int, packed binary")
+
+
+def pack_texts(ids: list[int], raw: list[bytes]) -> bytes:
+    import zstandard
+
+    head = np.array([len(ids), *ids, *map(len, raw)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(head + b"".join(raw))
+
+
+def unpack_texts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Ids, offsets (one more than ids) and all bytes of packed documents."""
+    import zstandard
+
+    ids, sizes, raw = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for blob in blobs:
+        x = zstandard.ZstdDecompressor().decompress(blob)
+        n = int.from_bytes(x[:8], "little")
+        ids.append(np.frombuffer(x, "<i8", n, 8).astype(np.int64))
+        sizes.append(np.frombuffer(x, "<i8", n, 8 + 8 * n).astype(np.int64))
+        raw.append(x[8 + 16 * n :])
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64), b"".join(raw)

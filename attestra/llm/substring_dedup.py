@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bucket_count, bucketed, checkpoint, flat, mix64, pack_ints, pack_sorted, text_bytes, texts, unpack_ints, unpack_sorted
+from attestra.llm.common import bucket_count, bucketed, checkpoint, mix64, pack_ints, pack_sorted, packed_documents, text_bytes, texts, unpack_ints, unpack_sorted, unpack_texts
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
@@ -89,8 +89,7 @@ class Bucket:
     """A bucket's documents in an order that does not depend on how rows arrive."""
 
     def __init__(self, group: pa.Table):
-        data, offsets = flat(group.column("text"))
-        self.raw, ids = data.tobytes(), group.column("doc_id").to_numpy()
+        ids, offsets, self.raw = unpack_texts(group.column("packed").to_pylist())
         text = lambda i: self.raw[offsets[i] : offsets[i + 1]]
         order = np.argsort(ids, kind="stable").tolist()
         if len(np.unique(ids)) < len(ids):
@@ -542,7 +541,7 @@ def _bucketed(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     own = texts(docs)
     n = bucket_count(text_bytes(own))
     parts = max(4, n // 2)
-    rows = bucketed(own, n).select("bucket", "doc_id", "text")
+    rows = packed_documents(bucketed(own, n))
     prints = checkpoint(rows.groupBy("bucket").applyInArrow(_prints(parts, n), _RUN_SCHEMA))
     sample = sorted(x[i : i + GRAM] for (x,) in prints.filter("kind = 1").select("a").collect() for x in [bytes(x)] for i in range(0, len(x), GRAM))  # about SAMPLE strings
     splitters = sorted(set(sample[len(sample) * k // parts] for k in range(1, parts))) if sample else []
