@@ -66,6 +66,7 @@ def run_verify(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.trace:
         _write(provenance.events(verdicts, reports), f"{args.trace}/events")
         _write(provenance.edges(verdicts, reports), f"{args.trace}/edges")
+    verdicts.unpersist()
     return 0 if safe else 2
 
 
