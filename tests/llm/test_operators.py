@@ -351,6 +351,19 @@ def test_fuzzy_passages(docs, rows, empty):
     assert not {rows[i][0] for i in (0, 1, 5, 6, 8, 9, 10)} & {d for d, _ in got} and fuzzy_passages.passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("between", [(80, 80), (0, 80), (80, 0), (400, 30)])
+def test_fuzzy_passages_do_not_swallow_each_other(spark, between):
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    first, second = new(60), new(60)
+    texts = [[*new(20), *first, *new(n), *second, *new(20)] for n in between]
+    found = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts, 1)], "doc_id long, text string")).collect()
+    assert len(found) == 2
+    for r, at in zip(sorted(found, key=lambda r: r["start_word"]), (20, 80 + between[1]), strict=True):
+        assert (r["doc_id"], r["source_id"], r["similarity"]) == (2, 1, 1.0)
+        assert at <= r["start_word"] <= at + 3 and at + 57 <= r["start_word"] + r["n_words"] <= at + 60
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
