@@ -9,7 +9,7 @@ unseen is the inner product of the query with the values at the walk's depth; th
 walk stops when the bound is below the k-th score, and goes on at equality, since an
 unseen candidate could then win the tie by a smaller id.
 
-Each block gives at most k rows a query; a window over a query's block results picks
+Each block gives at most k ids a query, rows of one id merged before the cut; a window over a query's block results picks
 the final ones.
 
 Defined results: vectors that are null, empty or hold a null or a value that is not
@@ -47,7 +47,7 @@ class Lists:
         self.values = np.take_along_axis(self.x, self.by, axis=0)
 
     def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best for one query, by sorted access and the threshold."""
+        """The k best ids for one query and the greatest score of each, by sorted access and the threshold."""
         n = len(self.ids)
         seen = self.ids == own
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
@@ -64,7 +64,9 @@ class Lists:
             new = np.flatnonzero(fresh)
             seen[new] = True
             rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self.x[new] @ q])
-            best = np.lexsort((self.ids[rows], -scores))[:k]
+            best = np.lexsort((self.ids[rows], -scores))
+            _, first = np.unique(self.ids[rows][best], return_index=True)  # rows of one id take one place, with the greatest score
+            best = best[np.sort(first)[:k]]
             rows, scores = rows[best], scores[best]
             bound = int(self.values[reach - 1, up] @ q[up]) + int(self.values[n - reach, down] @ q[down])
             if seen.all() or len(rows) == k and bound < scores[-1]:

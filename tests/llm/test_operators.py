@@ -424,3 +424,22 @@ def test_top_k(spark):
     con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
     assert got == sorted(con.execute(OP10_SQL).fetchall())
     assert top_k.top_k(df.limit(0), F.lit(True)).count() == 0 and top_k.top_k(df.limit(2), F.lit(True)).count() == 2
+
+
+@pytest.mark.parametrize("shard", [2048, 7])
+def test_top_k_merges_rows_of_one_id(spark, shard):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-9, 10, 4)]) for i in range(40)] * 2
+    rows += [(41, [float(x) for x in rng.integers(20, 30, 4)]) for _ in range(12)] + [(42, [-x for x in v]) for _, v in rows[:3]]
+    rows += [(0, [1.0, 2.0, 3.0, 4.0]), (1, [9.0, 9.0, 9.0, 9.0]), (43, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = []
+    for query in sorted({i for i, _ in rows if i % 10 == 0}):
+        best = {}
+        for q in (v for i, v in rows if i == query):
+            for i, v in rows:
+                if i != query and len(v) == len(q):
+                    best[i] = max(best.get(i, -(10**9)), round(65536 * sum(a * b for a, b in zip(q, v, strict=True))))
+        want += [(query, k, i, s) for k, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
+    got = top_k.top_k(df, F.col("vec_id") % 10 == 0, shard=shard, block=3).collect()
+    assert sorted(tuple(r) for r in got) == want
