@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import checkpoint, strings, texts
+from attestra.llm.common import checkpoint, pack_ints, strings, texts, unpack_ints
 from attestra.llm.components import components, contract, forest
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a bucket that are compared with one another directly; more are first split.
 DIRECT = 2048
+#: Cells of the table of shingle counts that orders shingles from rare to frequent.
+CELLS = 1 << 20
 
 
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
@@ -175,6 +177,10 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = 6, seeds: tup
     their ``words``-word shingles with it (Jaccard) go; the others are a group of the
     next round, so a chain of links does not carry unlike documents along.  Exact
     copies, and rows with one doc_id, leave one.
+
+    Fingerprints miss pairs, such as a text with words added at its end.  What stays
+    therefore goes through ``similar_pairs``, which misses none; its pairs are links
+    too, and the groups are settled anew, until no two that stay are similar.
     """
     plain = texts(docs).withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256))
     unique = plain.groupBy("_sha").agg(F.min("doc_id").alias("_doc")).select("_doc").distinct()
@@ -187,6 +193,24 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = 6, seeds: tup
         equal = prints.join(nodes, "fp").filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         found = contract(links(nodes, radius).unionByName(equal))
         edges = found if edges is None else edges.unionByName(found)
+    edges = checkpoint(edges)
+    stayed = None
+    while True:
+        gone = _settled(edges, base, words, similarity)
+        stays = checkpoint(every.join(gone, every["doc_id"] == gone["_gone"], "left_anti").select(F.col("doc_id").alias("_stays")))
+        # all pairs among those that stayed before are links by now: only a document that came back can have others
+        if stayed is not None and stays.join(stayed, "_stays", "left_anti").isEmpty():
+            break
+        own = texts(base).join(stays, F.col("doc_id") == F.col("_stays"), "left_semi").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("component"), "text")
+        more = checkpoint(similar_pairs(checkpoint(own.mapInArrow(_signatures(words), "id long, component long, signature binary")), similarity))
+        if more.isEmpty():
+            break
+        edges, stayed = edges.unionByName(more), stays
+    return base.join(stays, base["doc_id"] == stays["_stays"], "left_semi").select(*docs.columns)
+
+
+def _settled(edges: DataFrame, base: DataFrame, words: int, similarity: float) -> DataFrame:
+    """_gone: the documents that are similar to one of their group that stays."""
     groups = components(edges)
     own = texts(base).withColumnRenamed("doc_id", "_id")
     left = checkpoint(groups.join(own, groups["id"] == own["_id"]).select("id", "component", "text").mapInArrow(_signatures(words), "id long, component long, signature binary"))
@@ -199,8 +223,108 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = 6, seeds: tup
         gone = mine if gone is None else gone.unionByName(mine)
         left = judged.filter("not gone").drop("gone")
         if left.isEmpty():
-            break
-    return base.join(gone, base["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+            return gone
+
+
+def similar_pairs(signed: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs a < b of the signatures (id, signature) whose Jaccard similarity is ``similarity`` or more.
+
+    A prefix filter: with the shingles of each text in one order, two similar texts
+    share one of their first n - ceil(similarity * n) + 1.  The order is from rare to
+    frequent, by a table of hashed counts, so that few unlike texts meet; any order
+    finds all pairs.
+    """
+    spark = signed.sparkSession
+    slices = signed.mapInArrow(_cell_counts, "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").collect()
+    counts = np.zeros((16, CELLS // 16), np.int64)
+    for r in slices:
+        counts[r["slice"]] = np.frombuffer(r["counts"], "<i8")
+    shared = spark.sparkContext.broadcast(np.minimum(counts.ravel(), (1 << 31) - 1).astype(np.int32))
+    rows = signed.mapInArrow(_prefixes(shared, similarity), "k long, id long, n int, at int")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(_meeting(similarity), "a long, b long")
+    pairs = checkpoint(met.distinct())
+    a = signed.select(F.col("id").alias("a"), F.col("signature").alias("first"))
+    b = signed.select(F.col("id").alias("b"), "signature")
+    judged = pairs.join(a, "a").join(b, "b").select(F.col("b").alias("id"), F.col("a").alias("component"), "signature", "first")
+    judged = judged.mapInArrow(_alike(similarity), "id long, component long, signature binary, gone boolean")
+    return judged.filter("gone").select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(CELLS)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for signature in batch.column("signature").to_pylist():
+            np.add.at(counts, _cell(np.frombuffer(signature, "<u8")), 1)
+    if counts.any():
+        yield pa.record_batch({"slice": pa.array(range(16), pa.int32()), "counts": pa.array([pack_ints(x, "<i8") for x in counts.reshape(16, -1)], pa.binary())})
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    total = sum(unpack_ints(x, "<i8") for x in group.column("counts").to_pylist())
+    return pa.table({"slice": group.column("slice")[:1], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+
+def _prefixes(shared, similarity: float):
+    """The rarest shingles of each text with the number of all and the place in the order; a shingle whose cell counts one is in no other text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for i, signature in zip(batch.column("id").to_pylist(), batch.column("signature").to_pylist(), strict=True):
+                h = np.frombuffer(signature, "<u8")
+                often = counts[_cell(h)]
+                first = np.lexsort((h, often))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+                at = np.flatnonzero(often[first] > 1)
+                out.append((h[first[at]].view(np.int64), np.full(len(at), i, np.int64), np.full(len(at), len(h), np.int32), at.astype(np.int32)))
+            if out:
+                yield pa.record_batch({c: pa.array(np.concatenate(x)) for c, x in zip(("k", "id", "n", "at"), zip(*out, strict=True), strict=True)})
+
+    return run
+
+
+def _meeting(similarity: float):
+    """Pairs of one shingle whose sizes, and shingles left after this one, allow the similarity; rows come by k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(k: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
+            out, size = [], 0
+            for lo in np.flatnonzero(np.diff(bounds) > 1).tolist():
+                i, m, left = (x[bounds[lo] : bounds[lo + 1]] for x in (ids, n, n - at))
+                for j in range(0, len(i), 512):
+                    most = np.minimum(left[j : j + 512, None], left[None, :])
+                    x, y = np.nonzero((most >= similarity / (1 + similarity) * (m[j : j + 512, None] + m[None, :]) - 1e-6) & (i[j : j + 512, None] < i[None, :]))
+                    out.append(np.stack([i[x + j], i[y]]))
+                    size += len(x)
+                    if size > 1 << 20:
+                        out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+                        yield pa.record_batch({"a": pa.array(out[0][0]), "b": pa.array(out[0][1])})
+                        out, size = [], 0
+            if size:
+                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(c).to_numpy() for c in ("k", "id", "n", "at")))
+            if held[0][0][0] == held[-1][0][-1]:
+                continue  # one shingle still
+            whole = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last shingle may go on
+            yield from met(*(c[:cut] for c in whole))
+            held = [tuple(c[cut:] for c in whole)]
+        if held:
+            yield from met(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
 
 
 def _several(seeds: tuple[int, ...]):

@@ -301,6 +301,25 @@ def test_representatives(docs, rows):
     assert sum(rows[3][1].split()[5:60] == (t or "").split()[5:60] for t in left.values()) == 1
 
 
+def test_representatives_find_added_and_cut_text(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    new = lambda n: [words[min(3999, int(rng.paretovariate(0.6)))] for _ in range(n)]
+    texts = []
+    for k in range(40):
+        own = new(60 + 12 * k)
+        texts += [own, own + new(len(own) * (10 + k % 12) // 100), own[: len(own) * (99 - k % 16) // 100], own[len(own) // 10 :]]
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    want = []
+    for i, x in enumerate(sets):
+        if not any(alike(x, sets[j]) for j in want):
+            want.append(i)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.representatives(df).collect()) == want and len(want) < 80
+
+
 # --- 7
 
 
