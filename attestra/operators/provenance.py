@@ -16,7 +16,7 @@ EDGE_TYPES = ("derivedFrom", "influencedBy", "generatedFrom", "verifiedBy", "cor
 def json_string(x: Column) -> Column:
     """A JSON string literal with / escaped, as canonical payloads have it."""
     quoted = F.regexp_extract(F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
-    return F.regexp_replace(quoted, "/", r"\\\\/")
+    return F.replace(quoted, F.lit("/"), F.lit("\\/"))
 
 
 def json_number(x: Column) -> Column:
