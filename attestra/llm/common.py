@@ -22,19 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, release: bool = False) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
-    Shuffle files that only the cut lineage needs are let go at once, not when the
-    driver next happens to collect its garbage.
+    Only a local session without that setting (tests, a laptop) gets a folder of its
+    own; on a cluster, where executors could not see it, that is an error.
+    release: shuffle files that only the cut lineage needs are let go at once, not when
+    the driver next happens to collect its garbage; for shuffles of texts.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
     out = df.checkpoint()
     del df
-    for _ in range(2):
+    for _ in range(2 * release):
         gc.collect()
         time.sleep(0.2)  # the gateway lets go of Java objects a moment after Python does
         spark.sparkContext._jvm.System.gc()  # type: ignore[union-attr]

@@ -51,27 +51,27 @@ def contract(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for every id in a link a-b.
 
     Large-star and small-star in turn: each id's greater neighbours, then its smaller
     ones, are tied to the smallest neighbour, until the links are stars.  The number
     of rounds grows with the logarithm of the component sizes; every round ends in a
     reliable checkpoint.  A hub's neighbours are never gathered: the minimum is a
-    partial aggregate, and the join back to the links is one that Spark may split.
+    partial aggregate, and the join back to the links is a merge join, which adaptive
+    execution splits; nothing is broadcast.
     """
     links = checkpoint(contract(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     last = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = checkpoint(small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        # a star forest is reached when no id is both a centre and a leaf, and each leaf has one centre
+        # settled when a round leaves the same links
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last or not state[0]:
             return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         last = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -283,7 +283,7 @@ def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
     n = bucket_count(text_bytes(own))
     parts = max(4, n // 2)
     rows = bucketed(own, n).select("bucket", "doc_id", "text", "train")
-    runs = checkpoint(rows.groupBy("bucket").applyInArrow(_runs(order, parts), "kind int, part int, bucket int, keys binary, counts binary, total long"))
+    runs = checkpoint(rows.groupBy("bucket").applyInArrow(_runs(order, parts), "kind int, part int, bucket int, keys binary, counts binary, total long"), release=True)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -296,7 +296,7 @@ def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
     table.sort()
     low = (np.array([x[0] for x in table], np.uint64), np.array([x[1] for x in table], np.int64))
     n_train = runs.filter("kind = 3").agg(F.sum("total")).first()[0] or 0
-    answers = checkpoint(runs.filter("kind < 2").groupBy("kind", "part").applyInArrow(_answers(order, low), "kind int, part int, bucket int, answer binary, known long"))
+    answers = checkpoint(runs.filter("kind < 2").groupBy("kind", "part").applyInArrow(_answers(order, low), "kind int, part int, bucket int, answer binary, known long"), release=True)
     ends = int(low[1][(low[0] & np.uint64(0xFF)) == END].sum()) if len(table) else 0
     known = (answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

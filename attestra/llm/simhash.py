@@ -23,47 +23,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import checkpoint, pack_ints, strings, texts, unpack_ints
-from attestra.llm.components import components, contract, forest
+from attestra.llm.common import checkpoint, mix64, strings, texts
+from attestra.llm.components import components, forest
+from attestra.llm.similarity import SLICES, CellCounts, candidates, each_text, signature, similar, total_counts, word_hashes
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a bucket that are compared with one another directly; more are first split.
 DIRECT = 2048
-#: Cells of the table of shingle counts that orders shingles from rare to frequent.
-CELLS = 1 << 20
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
-    """The 64-bit SimHash of a text's shingles of lower-cased (A-Z) words; ``distinct``: of its different words, each once."""
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """The 64-bit SimHash of a text's shingles of lower-cased (A-Z) words."""
     import xxhash
 
     found = text.encode().lower().split()
     if not found:
         return 0
-    if distinct:
-        found, words = list(set(found)), 1
     hash_of = xxhash.xxh64_intdigest
     if len(found) < words:
         hashes = np.array([hash_of(b" ".join(found), seed)], "<u8")
     else:
         hashes = np.fromiter((hash_of(x, seed) for x in map(b" ".join, zip(*[found[i:] for i in range(words)], strict=False))), "<u8", len(found) - words + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fps = np.array([fingerprint(x, words, seed, distinct) for x in strings(part.column("text"))], np.uint64)
+                fps = np.array([fingerprint(x, words, seed) for x in strings(part.column("text"))], np.uint64)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(fps.view(np.int64))})
 
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
@@ -110,11 +112,16 @@ def bucket_links(fps: np.ndarray, fixed: int, radius: int = RADIUS) -> tuple[np.
     return forest(a, b) if len(a) else (a, b)
 
 
+def buckets(nodes: DataFrame, radius: int) -> DataFrame:
+    """id, fp, t, k: each node in its bucket k of each covering table t."""
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks(radius))])
+    return nodes.select("id", "fp", F.explode(tables).alias("e")).select("id", "fp", "e.t", "e.k")
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links among nodes (id, fp; fp distinct) within ``radius``, enough to keep every component whole."""
     all_masks = masks(radius)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(all_masks)])
-    rows = nodes.select("id", "fp", F.explode(tables).alias("e")).select("id", "fp", "e.t", "e.k")
+    rows = buckets(nodes, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -166,202 +173,85 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 5, radius: int = 6, seeds: tuple[int, ...] = (42, 43), similarity: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, reach: int = 8, seed: int = SEED, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group stays, its columns as they came.
 
-    Candidates are components of fingerprint links under any of ``seeds``.  These
-    fingerprints take each different word once: a few changed words move them by far
-    fewer bits than they move fingerprints of five-word shingles, so that texts of the
-    wanted similarity are within the radius.  Then, round by round, each candidate
-    group keeps its smallest doc_id, and those that share ``similarity`` or more of
-    their ``words``-word shingles with it (Jaccard) go; the others are a group of the
-    next round, so a chain of links does not carry unlike documents along.  Exact
-    copies, and rows with one doc_id, leave one.
-
-    Fingerprints miss pairs, such as a text with words added at its end.  What stays
-    therefore goes through ``similar_pairs``, which misses none; its pairs are links
-    too, and the groups are settled anew, until no two that stay are similar.
-    """
-    plain = texts(docs).withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256))
-    unique = plain.groupBy("_sha").agg(F.min("doc_id").alias("_doc")).select("_doc").distinct()
-    base = docs.join(unique, docs["doc_id"] == unique["_doc"], "left_semi").dropDuplicates(["doc_id"])
-    edges = None
-    every = checkpoint(texts(base).mapInArrow(_several(seeds), "doc_id long, fps array<long>"))
-    for k in range(len(seeds)):
-        prints = every.select("doc_id", F.col("fps")[k].alias("fp"))
-        nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-        equal = prints.join(nodes, "fp").filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-        found = contract(links(nodes, radius).unionByName(equal))
-        edges = found if edges is None else edges.unionByName(found)
-    edges = checkpoint(edges)
-    stayed = None
-    while True:
-        gone = _settled(edges, base, words, similarity)
-        stays = checkpoint(every.join(gone, every["doc_id"] == gone["_gone"], "left_anti").select(F.col("doc_id").alias("_stays")))
-        # all pairs among those that stayed before are links by now: only a document that came back can have others
-        if stayed is not None and stays.join(stayed, "_stays", "left_anti").isEmpty():
-            break
-        own = texts(base).join(stays, F.col("doc_id") == F.col("_stays"), "left_semi").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("component"), "text")
-        more = checkpoint(similar_pairs(checkpoint(own.mapInArrow(_signatures(words), "id long, component long, signature binary")), similarity))
-        if more.isEmpty():
-            break
-        edges, stayed = edges.unionByName(more), stays
-    return base.join(stays, base["doc_id"] == stays["_stays"], "left_semi").select(*docs.columns)
-
-
-def _settled(edges: DataFrame, base: DataFrame, words: int, similarity: float) -> DataFrame:
-    """_gone: the documents that are similar to one of their group that stays."""
-    groups = components(edges)
-    own = texts(base).withColumnRenamed("doc_id", "_id")
-    left = checkpoint(groups.join(own, groups["id"] == own["_id"]).select("id", "component", "text").mapInArrow(_signatures(words), "id long, component long, signature binary"))
-    gone = None
-    while True:
-        heads = left.groupBy("component").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select(F.col("component").alias("_component"), "head")
-        first = left.join(heads, (F.col("component") == F.col("_component")) & (F.col("id") == F.col("head"))).select(F.col("component").alias("_component"), "head", F.col("signature").alias("first"))
-        judged = checkpoint(left.join(first, F.col("component") == F.col("_component")).filter("id <> head").select("id", "component", "signature", "first").mapInArrow(_alike(similarity), "id long, component long, signature binary, gone boolean"))
-        mine = judged.filter("gone").select(F.col("id").alias("_gone"))
-        gone = mine if gone is None else gone.unionByName(mine)
-        left = judged.filter("not gone").drop("gone")
-        if left.isEmpty():
-            return gone
-
-
-def similar_pairs(signed: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all pairs a < b of the signatures (id, signature) whose Jaccard similarity is ``similarity`` or more.
-
-    A prefix filter: with the shingles of each text in one order, two similar texts
-    share one of their first n - ceil(similarity * n) + 1.  The order is from rare to
-    frequent, by a table of hashed counts, so that few unlike texts meet; any order
-    finds all pairs.
+    Two documents are linked if ``similarity`` or more of their ``words``-word shingles
+    agree (Jaccard), and a group is what links connect.  Of a group the smallest doc_id
+    stays (null last, then by its other columns, so that the choice does not depend on
+    how rows arrive); rows of one doc_id with different texts are documents of their own.
+
+    1. Of exact copies one row is left, before anything is compared.
+    2. Covering tables of fingerprints over a text's different words, which a few changed
+       words move little, give candidates: in each bucket, in one order for all tables,
+       a document and the next one, if they are within ``reach`` bits.  So a group of n
+       gives n candidates a table, not n squared, and large groups come together.
+    3. Signatures confirm the candidates; confirmed ones are links.
+    4. ``similarity.candidates`` finds what is left: all pairs of documents not yet
+       connected that may be similar, whatever was added, cut or changed.
     """
-    spark = signed.sparkSession
-    slices = signed.mapInArrow(_cell_counts, "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary").collect()
-    counts = np.zeros((16, CELLS // 16), np.int64)
-    for r in slices:
-        counts[r["slice"]] = np.frombuffer(r["counts"], "<i8")
-    shared = spark.sparkContext.broadcast(np.minimum(counts.ravel(), (1 << 31) - 1).astype(np.int32))
-    rows = signed.mapInArrow(_prefixes(shared, similarity), "k long, id long, n int, at int")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(_meeting(similarity), "a long, b long")
-    pairs = checkpoint(met.distinct())
-    a = signed.select(F.col("id").alias("a"), F.col("signature").alias("first"))
-    b = signed.select(F.col("id").alias("b"), "signature")
-    judged = pairs.join(a, "a").join(b, "b").select(F.col("b").alias("id"), F.col("a").alias("component"), "signature", "first")
-    judged = judged.mapInArrow(_alike(similarity), "id long, component long, signature binary, gone boolean")
-    return judged.filter("gone").select(F.col("component").alias("a"), F.col("id").alias("b"))
-
-
-def _cell(shingles: np.ndarray) -> np.ndarray:
-    return (shingles % np.uint64(CELLS)).astype(np.int64)
-
-
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for signature in batch.column("signature").to_pylist():
-            np.add.at(counts, _cell(np.frombuffer(signature, "<u8")), 1)
-    if counts.any():
-        yield pa.record_batch({"slice": pa.array(range(16), pa.int32()), "counts": pa.array([pack_ints(x, "<i8") for x in counts.reshape(16, -1)], pa.binary())})
-
-
-def _summed(group: pa.Table) -> pa.Table:
-    total = sum(unpack_ints(x, "<i8") for x in group.column("counts").to_pylist())
-    return pa.table({"slice": group.column("slice")[:1], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-
-def _prefixes(shared, similarity: float):
-    """The rarest shingles of each text with the number of all and the place in the order; a shingle whose cell counts one is in no other text."""
+    own = checkpoint(distinct_texts(docs), release=True)
+    plain = own.select(F.col("_node").alias("node"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text"))
+    pass_over = checkpoint(plain.mapInArrow(_prints_and_counts(words, seed), "node long, fp long, slice int, counts binary"))
+    close = checkpoint(neighbours(pass_over.filter("fp is not null").select(F.col("node").alias("id"), "fp"), radius, reach).distinct())
+    links = checkpoint(similar(close, plain, words, similarity), release=True)
+    groups = components(links)
+    counts = total_counts(pass_over.filter("slice is not null").select("slice", "counts"))
+    rest = checkpoint(candidates(plain, groups, counts, words, similarity))
+    more = checkpoint(similar(rest, plain, words, similarity), release=True)
+    groups = components(links.unionByName(more))
+    ranked = own.select(F.col("_node").alias("id"), _rank(docs).alias("rank")).join(groups, "id")
+    best = ranked.groupBy("component").agg(F.min_by("id", F.struct("rank", "id")).alias("best"))
+    gone = ranked.join(best, "component").filter("id <> best").select(F.col("id").alias("_gone"))
+    return own.join(gone, own["_node"] == gone["_gone"], "left_anti").select("_row.*")
+
+
+def _rank(docs: DataFrame) -> Column:
+    """Orders rows, the smallest doc_id first."""
+    others = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return F.struct(F.col("_row.doc_id").isNull().alias("none"), F.col("_row.doc_id").alias("doc_id"), (F.to_json(F.struct(*others)) if others else F.lit("")).alias("other"))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """_row, _node: one row of each text, the first by doc_id, combined before the shuffle; checkpoint it, as nodes are numbered on the way."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
+    first = rows.groupBy(F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha")).agg(F.min_by("_row", _rank(docs)).alias("_row"))
+    return first.select("_row", F.monotonically_increasing_id().alias("_node"))
+
+
+def neighbours(nodes: DataFrame, radius: int, reach: int) -> DataFrame:
+    """a, b: in each bucket of the covering tables each node (id, fp) and the next one, if ``reach`` bits or fewer differ."""
+    rows = buckets(nodes, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for i, signature in zip(batch.column("id").to_pylist(), batch.column("signature").to_pylist(), strict=True):
-                h = np.frombuffer(signature, "<u8")
-                often = counts[_cell(h)]
-                first = np.lexsort((h, often))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
-                at = np.flatnonzero(often[first] > 1)
-                out.append((h[first[at]].view(np.int64), np.full(len(at), i, np.int64), np.full(len(at), len(h), np.int32), at.astype(np.int32)))
-            if out:
-                yield pa.record_batch({c: pa.array(np.concatenate(x)) for c, x in zip(("k", "id", "n", "at"), zip(*out, strict=True), strict=True)})
-
-    return run
-
-
-def _meeting(similarity: float):
-    """Pairs of one shingle whose sizes, and shingles left after this one, allow the similarity; rows come by k."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def met(k: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
-            out, size = [], 0
-            for lo in np.flatnonzero(np.diff(bounds) > 1).tolist():
-                i, m, left = (x[bounds[lo] : bounds[lo + 1]] for x in (ids, n, n - at))
-                for j in range(0, len(i), 512):
-                    most = np.minimum(left[j : j + 512, None], left[None, :])
-                    x, y = np.nonzero((most >= similarity / (1 + similarity) * (m[j : j + 512, None] + m[None, :]) - 1e-6) & (i[j : j + 512, None] < i[None, :]))
-                    out.append(np.stack([i[x + j], i[y]]))
-                    size += len(x)
-                    if size > 1 << 20:
-                        out = [np.unique(np.concatenate(out, axis=1), axis=1)]
-                        yield pa.record_batch({"a": pa.array(out[0][0]), "b": pa.array(out[0][1])})
-                        out, size = [], 0
-            if size:
-                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
-
-        held: list[tuple[np.ndarray, ...]] = []
+        last = tuple(np.zeros(0, np.int64) for _ in range(4))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(tuple(batch.column(c).to_numpy() for c in ("k", "id", "n", "at")))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue  # one shingle still
-            whole = tuple(np.concatenate(c) for c in zip(*held, strict=True))
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last shingle may go on
-            yield from met(*(c[:cut] for c in whole))
-            held = [tuple(c[cut:] for c in whole)]
-        if held:
-            yield from met(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            t, k, ids, fps = last = tuple(np.concatenate([x[-1:], batch.column(c).to_numpy()]) for x, c in zip(last, ("t", "k", "id", "fp"), strict=True))
+            near = (t[1:] == t[:-1]) & (k[1:] == k[:-1]) & (np.bitwise_count((fps[1:] ^ fps[:-1]).view(np.uint64)) <= reach)
+            a, b = ids[:-1][near], ids[1:][near]
+            yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    return run
-
-
-def _several(seeds: tuple[int, ...]):
-    """Fingerprints of a text's different words under each seed, in one pass over the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [[fingerprint(x, 1, seed, distinct=True) for seed in seeds] for x in strings(batch.column("text"))]
-            signed = np.array(fps, np.uint64).view(np.int64).tolist()
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fps": pa.array(signed, pa.list_(pa.int64()))})
-
-    return run
-
-
-def _signatures(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("o", F.xxhash64("id")).repartition(n, "t", "k").sortWithinPartitions("t", "k", "o").select("id", "fp", "t", "k").mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            out = []
-            for text in strings(batch.column("text")):
-                own = text.encode().lower().split()
-                shingles = map(b" ".join, zip(*[own[i:] for i in range(words)], strict=False)) if len(own) >= words else [b" ".join(own)]
-                out.append(np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), "<u8")).tobytes())
-            yield pa.record_batch({"id": batch.column("id"), "component": batch.column("component"), "signature": pa.array(out, pa.binary())})
 
-    return run
+def _prints_and_counts(words: int, seed: int):
+    """One pass over the texts: fingerprints of their different words, and at its end the counts of shingles."""
 
-
-def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = CellCounts()
         for batch in batches:
-            out = []
-            for mine, first in zip(batch.column("signature").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                x, y = np.frombuffer(mine, "<u8"), np.frombuffer(first, "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.record_batch({"id": batch.column("id"), "component": batch.column("component"), "signature": batch.column("signature"), "gone": pa.array(out, pa.bool_())})
+            for at in range(0, batch.num_rows, 512):
+                part, fps = batch.slice(at, 512), []
+                for text in each_text(part):
+                    own = word_hashes(text)
+                    total.add(signature(own, words))
+                    fps.append(majority(mix64(np.unique(own) ^ np.uint64(seed))))
+                n = part.num_rows
+                yield pa.record_batch({"node": part.column("node"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
+        yield pa.record_batch({"node": pa.nulls(SLICES, pa.int64()), "fp": pa.nulls(SLICES, pa.int64()), "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(total.slices(), pa.binary())})
 
     return run

@@ -542,11 +542,11 @@ def _bucketed(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     n = bucket_count(text_bytes(own))
     parts = max(4, n // 2)
     rows = packed_documents(bucketed(own, n))
-    prints = checkpoint(rows.groupBy("bucket").applyInArrow(_prints(parts, n), _RUN_SCHEMA))
+    prints = checkpoint(rows.groupBy("bucket").applyInArrow(_prints(parts, n), _RUN_SCHEMA), release=True)
     sample = sorted(x[i : i + GRAM] for (x,) in prints.filter("kind = 1").select("a").collect() for x in [bytes(x)] for i in range(0, len(x), GRAM))  # about SAMPLE strings
     splitters = sorted(set(sample[len(sample) * k // parts] for k in range(1, parts))) if sample else []
     repeated = prints.filter("kind = 0").groupBy("part").applyInArrow(_repeated(hot), _RUN_SCHEMA)
-    runs = checkpoint(rows.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_suffixes(parts, splitters, parts), _RUN_SCHEMA))
+    runs = checkpoint(rows.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_suffixes(parts, splitters, parts), _RUN_SCHEMA), release=True)
     answers = runs.filter("kind < 2").groupBy("kind", "part").applyInArrow(_ranges(), _RUN_SCHEMA)
     return rows, runs.filter("kind = 2").unionByName(answers)
 

@@ -312,10 +312,13 @@ def test_representatives_find_added_and_cut_text(spark):
     rng.shuffle(texts)
     sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
     alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
-    want = []
+    group = list(range(len(sets)))
     for i, x in enumerate(sets):
-        if not any(alike(x, sets[j]) for j in want):
-            want.append(i)
+        for j in range(i):
+            if alike(x, sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    want = sorted(set(group))
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.representatives(df).collect()) == want and len(want) < 80
 
