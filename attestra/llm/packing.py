@@ -19,6 +19,7 @@ no sequences.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -35,15 +36,30 @@ from attestra.llm.common import bucket_count, checkpoint, strings, texts
 
 #: Words, and runs of letters or signs within words, kept in a worker's memos before one is emptied.
 MEMO_WORDS, MEMO_PARTS = 400_000, 800_000
+#: White space to Python alone, and a letter whose lower case depends on its neighbours.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3")
 #: Pieces in one bucket of the two-level ranks, and the fewest buckets.
 BUCKET_PIECES, BUCKETS = 20_000, 64
 
 
+# The normaliser, pre-tokenizer and word ending for which words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+WORD_END = "</w>"
+#: Runs that the library encodes in one call.
+JOINED = 512
+
+
 class WordBPE:
-    """Ids of a word-level BPE from ``tokenizers``, word by word with a bounded memo.
+    """Ids of a BPE from ``tokenizers``, word by word with a bounded memo where that is sound.
 
-    The pre-tokenizer never crosses white space, so a word's ids do not depend on
-    its neighbours; each new word goes through the library itself.
+    With the normaliser and pre-tokenizer above, a word's ids do not depend on its
+    neighbours, and each new run goes through the library itself.  A tokenizer of any
+    other kind gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -53,49 +69,67 @@ class WordBPE:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        model = own["model"]
+        self.by_word = own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and own.get("post_processor") is None and (model["type"], model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", WORD_END, None)
+        if self.by_word:
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(WORD_END)]] = True
         self.parts = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.odd = re.compile("[\x1c-\x1f\u03a3]")  # white space to Python alone; a letter whose lower case depends on its neighbours
-        self.runs = re.compile(r"[.,](?:_|[^\w\s])|(?:_|[^\w\s])[.,]")
+        self.runs = re.compile(r"[.,](?:(?=_|[^\w\s])|(?<=[^\w\s][.,])|(?<=_[.,]))")
         self.memo: dict[str, bytes] = {}
         self.part_memo: dict[str, bytes] = {}
 
     def whole(self, batch: list[str]) -> list[bytes]:
         return [packed(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
+    def each_run(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs of one class: encoded many in one text, and cut where the word-ending tokens are."""
+        out: list[bytes] = []
+        for at in range(0, len(runs), JOINED):
+            own = runs[at : at + JOINED]
+            (raw,) = self.whole([" ".join(own)])
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+            out += [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)] if len(cuts) == len(own) else self.whole(own)
+        return out
+
     def learn(self, words: list[str]) -> None:
         """Words without an apostrophe, outside which the pattern is runs of one class, are put together from their runs.
 
         A word that changes its length in lower case could change its runs too, and goes whole.
         """
         memo, parts, simple, other = self.memo, self.part_memo, [], []
-        lower = [w.lower() for w in words]
-        for w, x in zip(words, lower, strict=True):
+        for w in words:
+            x = w.lower()
             if "'" in x or "<|" in x or len(w) != len(x):
                 other.append(w)
             else:
                 simple.append((w, self.parts.findall(x)))
         if new := list({p for _, x in simple for p in x if p not in parts}):
-            parts.update(zip(new, self.whole(new), strict=True))
+            parts.update(zip(new, self.each_run(new), strict=True))
         for w, x in simple:
-            memo[w] = b"".join([parts[p] for p in x])
+            memo[w] = parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])
         if other:
             memo.update(zip(other, self.whole(other), strict=True))
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self.whole(batch)
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
         if len(self.part_memo) > MEMO_PARTS:
             self.part_memo.clear()
         cut = [self.words(text) for text in batch]
-        if unknown := [w for w in {w for words in cut if words for w in words} if w not in memo]:
-            self.learn(unknown)
-        return [self.whole([text])[0] if words is None else b"".join([memo[w] for w in words]) for text, words in zip(batch, cut, strict=True)]
+        if unknown := set().union(*[words for words in cut if words]) - memo.keys():
+            self.learn(list(unknown))
+        return [self.whole([text])[0] if words is None else b"".join(map(memo.__getitem__, words)) for text, words in zip(batch, cut, strict=True)]
 
     def words(self, text: str) -> list[str] | None:
         """Lower-case words; commas and full stops, where they stand alone, are words of their own, which leaves fewer distinct ones.  None: only the library can tell."""
         lower = text.lower()
-        if len(lower) != len(text) or self.odd.search(text) or not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        if len(lower) != len(text) or any(x in text for x in ODD) or not text.isascii() and not unicodedata.is_normalized("NFC", text):
             return None
         if not self.runs.search(lower):
             lower = lower.replace(",", " , ").replace(".", " . ")

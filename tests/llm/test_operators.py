@@ -465,3 +465,17 @@ def test_top_k_merges_rows_of_one_id(spark, shard):
         want += [(query, k, i, s) for k, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
     got = top_k.top_k(df, F.col("vec_id") % 10 == 0, shard=shard, block=3).collect()
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_word_codec_gives_other_tokenizers_whole_texts(tmp_path):
+    import json
+
+    path = P.path("word_bpe_49k.json")
+    own = packing.WordBPE(path)
+    odd = ["a.b,c .x _., a_. ._ don't IT'S x'll <|endoftext|> İstanbul ΣΑΣ é é 1,000.5 ...", "\x1c a", "", " \n", "日本語 🧾, x", "ß ﬁ Ǆ a,b", "x y z\u0085w", "ab " * 3000]
+    assert own.by_word and own.encode_batch(odd) == own.whole(odd)
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFC"}  # letters keep their case: not what the word path is made for
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    other = packing.WordBPE(str(tmp_path / "cased.json"))
+    assert not other.by_word and other.encode_batch(["Some Words", "some words"]) == other.whole(["Some Words", "some words"])
