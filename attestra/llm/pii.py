@@ -1,44 +1,57 @@
 """Format-preserving Feistel pseudonyms for personal data, in DataFrame operations alone.
 
-Card-like numbers, dates, telephone and social security numbers, IPv4 addresses,
-e-mail addresses and long hexadecimal secrets are found by one pattern.  Each value is
-permuted within its own format by a keyed Feistel network whose round function is a
-hash of the key, so equal values get equal pseudonyms in every document, different
+Card numbers, dates, telephone and social security numbers, IPv4 addresses, e-mail
+addresses and long hexadecimal secrets are found by one pattern and validated.  Each
+value is permuted within its own format by a keyed Feistel network whose round function
+is a hash of the key, so equal values get equal pseudonyms in every document, different
 values different ones, and no table of values is kept:
 
-* numbers keep their punctuation; a card-like number keeps its Luhn remainder, so a
-  valid one stays valid and an invalid one does not become valid;
-* a date that exists, from 1900 to 2099, becomes another such date in the same style
-  (the permutation is walked until it lands in the range);
-* an IPv4 address becomes another; of an e-mail address the letters and digits of the
+* a card number (13 to 19 digits, Luhn check) becomes another valid one of its length;
+  a run of digits that fails the check is no card number and stays;
+* a date that exists, from 1900 to 2099, becomes another such date in the same style,
+  and an assignable social security number another assignable one, by a network over
+  exactly those values;
+* a telephone number (+, 7 to 15 digits) keeps its country code and punctuation; an
+  IPv4 address becomes another; of an e-mail address the letters and digits of the
   local part change, and a secret becomes another of the same length;
 * a value in capitals gets the pseudonym of its small letters, in capitals.
 
+Every part of the pattern is bounded (an address has at most 64 characters before the
+@ and 315 after it), so a text of any length and kind costs time in proportion.
 Narrow: no shuffle, no Python code on rows.  Texts without a digit or an @ are passed
-through.  Defined results: a null text stays null, an empty one empty; a date-like
-string that is no date stays; repeated rows get equal results; other columns, whatever
-their names, are untouched.
+through.  Defined results: a null text stays null, an empty one empty; what looks like a
+value but is not valid stays; repeated rows get equal results; a null doc_id and other
+columns, whatever their names, are untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm.quality_rules import let
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9.-]{0,251}\.[A-Za-z]{2,63}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9/.])[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9]{0,63}+[a-fA-F])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, IP, PHONE, ISO_DATE, DAY_DATE, SSN, SECRET, CARD))
-#: Days from 1900-01-01 to 2099-12-31, and rounds of the network.
-DAYS, ROUNDS, WALK = 73049, 10, 64
+ROUNDS = 10
+#: Days from 1900-01-01 to 2099-12-31, 73,049, as a product for the network.
+DAYS = (4297, 17)
+#: Social security numbers: areas 001 to 899 but 666 with groups 01 to 99, and serials 0001 to 9999.
+NUMBERS = (898 * 99, 9999)
+#: Setting of the session that holds the key; a real corpus takes it from a secret store.
+KEY = "spark.attestra.pii.key"
+
+
+def session_key(spark: SparkSession, default: str = "attestra") -> str:
+    return spark.conf.get(KEY, default)
 
 
 def _round(key: str, tweak: str, i: Column, n: Column, side: Column, digits: int = 15) -> Column:
@@ -71,6 +84,16 @@ def permuted(x: Column, radix: int, key: str, tweak: str) -> Column:
     return let(x, network)
 
 
+def permuted_pair(a: Column, b: Column, sizes: tuple[int, int], key: str, tweak: str) -> Column:
+    """A keyed permutation of the pairs a < sizes[0], b < sizes[1]: struct(a, b), both long."""
+    value = lambda i, k, side: F.conv(_round(key, tweak, i, F.lit(k), side.cast("string")), 16, 10).cast("long")
+
+    def step(acc: Column, i: Column) -> Column:
+        return let((acc["a"] + value(i, 0, acc["b"]) % sizes[0]) % sizes[0], lambda x: F.struct(x.alias("a"), ((acc["b"] + value(i, 1, x) % sizes[1]) % sizes[1]).alias("b")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
+
+
 def in_blocks(x: Column, size: int, radix: int, key: str, tweak: str) -> Column:
     """``permuted`` for strings of any length, block by block."""
     starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(x), F.lit(1)) - 1) / size).cast("int"))
@@ -132,21 +155,34 @@ def _digits(m: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     def swap(d: Column) -> Column:
         head, last = F.substr(d, F.lit(1), F.length(d) - 1), F.substr(d, F.length(d)).cast("int")
-        return let(permuted(head, 10, key, "card"), lambda new: F.concat(new, ((luhn(new) + last - luhn(head) + 10) % 10).cast("string")))
+        return F.when(luhn(head) == last, let(permuted(head, 10, key, "card"), lambda new: woven(m, F.concat(new, luhn(new).cast("string")), "[0-9]"))).otherwise(m)
+
+    return let(_digits(m), swap)
+
+
+def _ssn(m: Column, key: str) -> Column:
+    number = lambda at, n: F.substr(m, F.lit(at), F.lit(n)).cast("long")
+    area, group, serial = number(1, 3), number(5, 2), number(8, 4)
+    assignable = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    place = (area - 1 - (area > 666).cast("int")) * 99 + group - 1
+
+    def shown(p: Column) -> Column:
+        x = F.floor(p["a"] / 99) + 1
+        pad = lambda v, n: F.lpad(v.cast("string"), n, "0")
+        return F.concat_ws("-", pad(x + (x >= 666).cast("int"), 3), pad(p["a"] % 99 + 1, 2), pad(p["b"] + 1, 4))
 
-    return woven(m, let(_digits(m), swap), "[0-9]")
+    return F.when(assignable, let(permuted_pair(place, serial - 1, NUMBERS, key, "ssn"), shown)).otherwise(m)
 
 
 def _date(day: Column, key: str) -> Column:
-    """A day number within the range, walked along the permutation of five digits."""
-    step = lambda x: permuted(F.lpad(x.cast("string"), 5, "0"), 10, key, "date").cast("int")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(day), lambda x, _: F.when(x >= DAYS, step(x)).otherwise(x))
+    """A day number within the range for each such number."""
+    return let(permuted_pair(F.floor(day / DAYS[1]), day % DAYS[1], DAYS, key, "date"), lambda p: (p["a"] * DAYS[1] + p["b"]).cast("int"))
 
 
 def _dated(m: Column, form: str, key: str) -> Column:
     origin = F.to_date(F.lit("1900-01-01"))
     day = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(form))), origin)
-    return let(day, lambda d: F.when((d >= 0) & (d < DAYS), F.date_format(F.date_add(origin, _date(d, key)), form)).otherwise(m))
+    return let(day, lambda d: F.when((d >= 0) & (d < DAYS[0] * DAYS[1]), F.date_format(F.date_add(origin, _date(d, key)), form)).otherwise(m))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -164,7 +200,7 @@ def _email(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^\+[0-9]{1,3}?(?=[ .(-]|[0-9]{7})", 0)
     rest = F.substr(m, F.length(country) + 1)
-    return F.concat(country, woven(rest, permuted(_digits(rest), 10, key, "phone"), "[0-9]"))
+    return F.when(F.length(_digits(m)).between(7, 15), F.concat(country, woven(rest, permuted(_digits(rest), 10, key, "phone"), "[0-9]"))).otherwise(m)
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -178,7 +214,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(whole("[0-9]{4}-[0-9]{2}-[0-9]{2}"), _dated(value, "yyyy-MM-dd", key))
         .when(whole("[0-9]{2}/[0-9]{2}/[0-9]{4}"), _dated(value, "dd/MM/yyyy", key))
         .when(whole(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"), _dated(value, "dd.MM.yyyy", key))
-        .when(whole("[0-9]{3}-[0-9]{2}-[0-9]{4}"), woven(value, permuted(_digits(value), 10, key, "ssn"), "[0-9]"))
+        .when(whole("[0-9]{3}-[0-9]{2}-[0-9]{4}"), _ssn(value, key))
         .when(whole("[0-9]*[a-f][0-9a-f]*"), xored(small, key, "secret"))
         .otherwise(_card(value, key))
     )

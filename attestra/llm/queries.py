@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from attestra.llm import byte_bpe, compression_classifier, fuzzy_passages, packing, pii, ppm, quality_rules, simhash, substring_dedup, top_k
 from attestra.llm.common import table
 
-#: The key of the queries; a real corpus takes its own from a secret store.
-PII_KEY = "attestra"
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -53,7 +50,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_found")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), count="n_found")
 
 
 def op8_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
