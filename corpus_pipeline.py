@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from attestra.llm import packing, pii, quality_rules, simhash, substring_dedup
 from attestra.llm.common import checkpoint, table
 
-#: The key of the pseudonyms; a real corpus takes its own from a secret store.
-PII_KEY = "attestra"
-
 
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows a changed text."""
@@ -35,7 +32,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(pii.pseudonymise(docs, PII_KEY))
+    return _counted(pii.pseudonymise(docs, pii.session_key(spark)))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
