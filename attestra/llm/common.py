@@ -10,11 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one bucket of documents holds on average.
 BUCKET_BYTES = 8 << 20
+#: Stands for a null doc_id where documents are ordered: after all others.
+NO_ID = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +46,23 @@ def checkpoint(df: DataFrame, release: bool = False) -> DataFrame:
     return out
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` alone (other columns, also clashing ones, go); a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, *keys: str) -> DataFrame:
+    """``doc_id`` and ``text`` (and ``keys``) alone, other columns, also clashing ones, go; a null text is empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``texts`` with NO_ID for a null doc_id, for operators that order documents."""
+    return texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+
+
+def unnumbered(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in columns})
+
+
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text's UTF-8 bytes; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -59,8 +75,8 @@ def bucket_count(total: int, each: int = BUCKET_BYTES) -> int:
 
 
 def bucketed(docs: DataFrame, n: int) -> DataFrame:
-    """Adds ``bucket``: documents dealt evenly by a hash of ``doc_id``, whatever their source or text."""
-    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    """Adds ``bucket``: documents dealt evenly by a hash of doc_id and text, even if many share one of the two."""
+    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

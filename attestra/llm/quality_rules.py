@@ -11,7 +11,7 @@ words are compared within the row by sorted 64-bit hashes, so a text of any leng
 costs n log n.
 
 Defined results: a null or empty text has no words, fails the base rule and is not
-kept; repeated rows get equal results; columns besides doc_id and text are not read;
+kept; a null doc_id is one like any other; repeated rows get equal results; columns besides doc_id and text are not read;
 an empty table gives an empty result.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import checkpoint, texts
+from attestra.llm.common import checkpoint, text_key, texts
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -63,11 +63,12 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of the base rules, and the measures of the other rules."""
+def measures(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id and the columns ``keys``, the counts of the base rules, and the measures of the other rules."""
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    per_text = texts(docs).select(
+    per_text = texts(docs, *keys).select(
         "doc_id",
+        *keys,
         let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r"))).alias("w"),
         F.length(_without(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
         (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -78,7 +79,7 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     n, r = F.col("w.n"), F.col("w.r")
     return per_text.select(
-        "doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), "n_lines", "n_capitals", "n_stops",
+        "doc_id", *keys, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), "n_lines", "n_capitals", "n_stops",
         ((n < 50) | (100 * r > 50 * n)).alias("base_failed"),
     )
 
@@ -141,10 +142,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], beliefs: tuple = BELIE
     return post
 
 
-def judge(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """doc_id, measures, base_failed, quality_probability, kept."""
+def judge(docs: DataFrame, *keys: str, keep_from: float = KEEP_FROM) -> DataFrame:
+    """doc_id and the columns ``keys``, measures, base_failed, quality_probability, kept."""
     rules = votes()
-    voted = checkpoint(measures(docs).withColumns({f"vote_{k}": v for k, v in rules.items()}))
+    voted = checkpoint(measures(docs, *keys).withColumns({f"vote_{k}": v for k, v in rules.items()}))
     names = [f"vote_{k}" for k in rules]
     rows = voted.groupBy(*names).count().collect()  # at most 3 to the number of rules
     post = estimate(sorted((tuple(r[n] for n in names), r["count"]) for r in rows))
@@ -154,6 +155,11 @@ def judge(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
 
 
 def keep(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents that are kept, with their columns as they came; repeated doc_ids are judged alike only if their texts are, so a doc_id stays if any of its rows is kept."""
-    kept = judge(docs, keep_from).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """The documents that are kept, with their columns as they came.
+
+    Rows are told apart by doc_id (which may be null or repeated) and text, so that
+    each is kept or not by its own text.
+    """
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
+    kept = judge(keyed, "_key", keep_from=keep_from).filter("kept").select(F.col("doc_id").alias("_id"), "_key").distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (text_key(docs["text"]) == kept["_key"]), "left_semi")

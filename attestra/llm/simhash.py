@@ -14,7 +14,8 @@ split by pigeonhole on the positions outside its mask, which loses no pair.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and
 is linked like any other; fewer words than a shingle make one shingle; repeated
-doc_ids are rows of one node each; columns besides doc_id and text are not read.
+doc_ids are rows of one node each; a null doc_id counts as greater than all others, and
+a component of such rows alone has a null id; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import checkpoint, mix64, strings, texts
+from attestra.llm.common import checkpoint, mix64, numbered, strings, text_key, unnumbered
 from attestra.llm.components import components, forest
 from attestra.llm.similarity import SLICES, CellCounts, candidates, each_text, signature, similar, total_counts, word_hashes
 
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
                 fps = np.array([fingerprint(x, words, seed) for x in strings(part.column("text"))], np.uint64)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(fps.view(np.int64))})
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return numbered(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -170,7 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
     found = components(links(nodes, radius)).withColumnRenamed("id", "_id")
     named = nodes.join(found, nodes["id"] == found["_id"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
     out = prints.join(named, prints["fp"] == named["_fp"])
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return unnumbered(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, reach: int = 8, seed: int = SEED, similarity: float = 0.8) -> DataFrame:
@@ -215,8 +216,7 @@ def _rank(docs: DataFrame) -> Column:
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """_row, _node: one row of each text, the first by doc_id, combined before the shuffle; checkpoint it, as nodes are numbered on the way."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
-    first = rows.groupBy(F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha")).agg(F.min_by("_row", _rank(docs)).alias("_row"))
+    first = rows.groupBy(text_key(F.col("_row.text")).alias("_sha")).agg(F.min_by("_row", _rank(docs)).alias("_row"))
     return first.select("_row", F.monotonically_increasing_id().alias("_node"))
 
 

@@ -25,8 +25,9 @@ exchanged whole instead, one suffix each, joined per bucket and spread by their
 content, so nothing is ever gathered per gram.
 
 Defined results: a null or empty text, or one shorter than ``LENGTH``, keeps all its
-bytes; rows that share a doc_id do not remove one another's bytes; columns besides
-doc_id and text are not read.
+bytes; rows that share a doc_id do not remove one another's bytes, and a null doc_id
+counts as one that is greater than all others; columns besides doc_id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bucket_count, bucketed, checkpoint, mix64, pack_ints, pack_sorted, packed_documents, text_bytes, texts, unpack_ints, unpack_sorted, unpack_texts
+from attestra.llm.common import bucket_count, bucketed, checkpoint, mix64, numbered, pack_ints, pack_sorted, packed_documents, text_bytes, text_key, unnumbered, unpack_ints, unpack_sorted, unpack_texts
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
@@ -521,7 +522,7 @@ def _kept():
     marks = _removed()
 
     def keep(group: pa.Table, answers: pa.Table) -> pa.Table:
-        own, ids, kept = Bucket(group), [], []
+        own, ids, keys, kept = Bucket(group), [], [], []
         for i, gone in marks(own, answers):
             raw = np.frombuffer(own.raw[own.offsets[i] : own.offsets[i + 1]], np.uint8)
             if gone.any():  # a character is kept whole or not at all
@@ -530,15 +531,16 @@ def _kept():
                 touched[lead[gone]] = True
                 gone = touched[lead]
             ids.append(int(own.ids[i]))
+            keys.append(hashlib.sha256(raw).digest())
             kept.append(raw[~gone].tobytes().decode())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.string())})
+        return pa.table({"_id": pa.array(ids, pa.int64()), "_key": pa.array(keys, pa.binary()), "_kept": pa.array(kept, pa.string())})
 
     return keep
 
 
 def _bucketed(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     """Documents in buckets, and for each bucket what its suffixes were answered."""
-    own = texts(docs)
+    own = numbered(docs)
     n = bucket_count(text_bytes(own))
     parts = max(4, n // 2)
     rows = packed_documents(bucketed(own, n))
@@ -555,15 +557,17 @@ def removal(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of each document."""
     rows, answers = _bucketed(docs, hot)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_digests(), schema)
+    return unnumbered(rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_digests(), schema), "doc_id")
 
 
 def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents with repeated passages cut from ``text``; a character loses all its bytes or none.
 
-    doc_ids are taken to be distinct, as a pipeline's documents are.
+    Rows are told apart by doc_id (which may be null or repeated) and text; a null text
+    stays null.
     """
     rows, answers = _bucketed(docs, hot)
-    kept = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(), "doc_id long, kept string").withColumnRenamed("doc_id", "_id")
-    out = docs.join(kept, docs["doc_id"] == kept["_id"])
-    return out.select(*[kept["kept"].alias("text") if c == "text" else docs[c] for c in docs.columns])
+    kept = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(), "_id long, _key binary, _kept string")
+    kept = unnumbered(kept, "_id").dropDuplicates(["_id", "_key"])  # rows of one id and text lose the same
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (text_key(docs["text"]) == kept["_key"]))
+    return out.select(*[F.when(docs["text"].isNotNull(), kept["_kept"]).alias("text") if c == "text" else docs[c] for c in docs.columns])

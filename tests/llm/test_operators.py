@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import byte_bpe, components, compression_classifier, fuzzy_passages, packing, pii, ppm, quality_rules, simhash, substring_dedup, top_k
 from attestra.llm.queries import OP10_SQL, fold
+from tests.llm.conftest import WORDS
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -562,3 +563,92 @@ def test_word_codec_gives_other_tokenizers_whole_texts(tmp_path):
     (tmp_path / "cased.json").write_text(json.dumps(spec))
     other = packing.WordBPE(str(tmp_path / "cased.json"))
     assert not other.by_word and other.encode_batch(["Some Words", "some words"]) == other.whole(["Some Words", "some words"])
+
+
+# --- null and repeated ids
+
+
+@pytest.fixture(scope="module")
+def odd_rows():
+    """Null ids, one id with equal and with unlike texts, and copies under several ids."""
+    rng = random.Random(9)
+    new = lambda n: " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ing."]) + str(rng.randrange(40)) for _ in range(n))
+    a, b, c, d, e = (new(90) for _ in range(5))
+    return [(5, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, None), (8, None), (9, c + " " + d), (3, e), (7, d + " " + e), (5, "")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, odd_rows):
+    return spark.createDataFrame(odd_rows, "doc_id long, text string").withColumn("_id", F.lit("clash")).withColumn("_key", F.lit("clash")).repartition(3)
+
+
+def removed_bytes(rows, length=50):
+    """doc_id, bytes kept of each row by the definition, a null id after all others."""
+    last = float("inf")
+    first = {}
+    for d, t in rows:
+        raw, own = (t or "").encode(), last if d is None else d
+        for i in range(len(raw) - length + 1):
+            first[raw[i : i + length]] = min(own, first.get(raw[i : i + length], last))
+    out = []
+    for d, t in rows:
+        raw, own = (t or "").encode(), last if d is None else d
+        gone = [False] * len(raw)
+        for i in range(len(raw) - length + 1):
+            if first[raw[i : i + length]] < own:
+                gone[i : i + length] = [True] * length
+        out.append((d, bytes(x for x, g in zip(raw, gone, strict=True) if not g)))
+    return out
+
+
+def order(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
+
+
+def test_row_by_row_operators_with_null_and_repeated_ids(odd, odd_rows, spark):
+    ids = order([(d,) for d, _ in odd_rows])
+    of = lambda df: order([(r["doc_id"],) for r in df.select("doc_id").collect()])
+    assert of(ppm.score(odd, fold(5) != 1, order=2)) == ids
+    assert of(quality_rules.judge(odd)) == ids
+    assert of(byte_bpe.round_trip(odd, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)) == ids
+    assert of(pii.pseudonymise(odd, "k")) == ids
+    labels = spark.createDataFrame([(3, 1), (7, 0), (None, 1)], "doc_id long, quality int")
+    assert of(compression_classifier.score(odd, compression_classifier.fit(odd, labels, F.lit(True)))) == ids
+    pieces = packing.pack(packing.pieces(odd, P.path("word_bpe_49k.json"))).collect()
+    assert order([(r["doc_id"],) for r in pieces if r["piece"] == 0]) == ids
+    fuzzy_passages.passages(odd).collect()
+
+
+def test_suffix_dedup_with_null_and_repeated_ids(odd, odd_rows):
+    want = removed_bytes(odd_rows)
+    got = substring_dedup.removal(odd).collect()
+    assert order([(r["doc_id"], r["n_bytes"] - r["n_removed"], r["kept_sha256"]) for r in got]) == order([(d, len(x), hashlib.sha256(x).hexdigest()) for d, x in want])
+    kept = [None if t is None else x.decode() for (_, t), (_, x) in zip(odd_rows, want, strict=True)]
+    out = substring_dedup.deduplicated(odd)
+    assert out.columns == odd.columns and order([(r["doc_id"], r["text"]) for r in out.collect()]) == order([(d, x) for (d, _), x in zip(odd_rows, kept, strict=True)])
+
+
+def test_simhash_with_null_and_repeated_ids(odd, odd_rows):
+    last = (1 << 63) - 1
+    prints = [brute_print(t) for _, t in odd_rows]
+    group = list(range(len(prints)))
+    for i, x in enumerate(prints):
+        for j in range(i):
+            if (x ^ prints[j]).bit_count() <= 4:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    low = {g: min(last if odd_rows[i][0] is None else odd_rows[i][0] for i in range(len(group)) if group[i] == g) for g in group}
+    want = [(d, f"{x:016x}", None if low[g] == last else low[g]) for (d, _), x, g in zip(odd_rows, prints, group, strict=True)]
+    got = simhash.near_duplicates(odd).select("doc_id", "fingerprint", "component_id").collect()
+    assert order([tuple(r) for r in got]) == order(want)
+
+
+def test_stages_with_null_and_repeated_ids(odd, odd_rows):
+    good = {t for _, t in odd_rows if t}
+    kept = quality_rules.keep(odd)
+    verdict = {r["text"] for r in quality_rules.judge(odd.withColumn("own", F.col("text")), "own").filter("kept").select(F.col("own").alias("text")).collect()}
+    assert order([(r["doc_id"], r["text"]) for r in kept.collect()]) == order([r for r in odd_rows if r[1] in verdict]) and verdict <= good and kept.columns == odd.columns
+    left = simhash.representatives(odd)
+    assert left.columns == odd.columns
+    a, b, c, d, e = (odd_rows[i][1] for i in (0, 2, 4, 10, 9))
+    assert order([(r["doc_id"], r["text"]) for r in left.collect()]) == order([(5, a), (5, b), (5, ""), (None, c), (9, odd_rows[8][1]), (3, e), (7, d)])
