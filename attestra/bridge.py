@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import calendar
+import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +16,6 @@ from attestra.functions import identity as I
 from attestra.operators import extract, provenance, report, verify
 from attestra.schemas import REQUEST, SOURCE_TYPES, Policy
 
-#: Distinct policies in one table of requests; each is one plan.
-MOST_POLICIES = 64
 UUID = r"(?i)\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
 
 
@@ -37,49 +38,45 @@ def _error(code: str, message: Column) -> Column:
     return F.to_json(F.struct(F.struct(F.lit(code).alias("code"), message.alias("message")).alias("error")))
 
 
-def _policies(good: DataFrame) -> list[Policy]:
-    p, d = F.col("r.policy"), Policy()
-    over = [F.coalesce(p[k], F.lit(v)).alias(k) for k, v in (("supportedThreshold", d.supported), ("ambiguousThreshold", d.ambiguous), ("contradictionThreshold", d.contradiction), ("maximumEvidenceMatches", d.maximum_evidence))]
-    found = good.select(*over).distinct().limit(MOST_POLICIES + 1).collect()
-    if len(found) > MOST_POLICIES:
-        raise ValueError(f"more than {MOST_POLICIES} policies in one table of requests; split it by policy")
-    return [Policy(*row) for row in found]
+def _policy(p: Column) -> Column:
+    """The request's policy, with the defaults for what it leaves out."""
+    d = Policy()
+    fields = (("supported", p["supportedThreshold"], d.supported), ("ambiguous", p["ambiguousThreshold"], d.ambiguous), ("contradiction", p["contradictionThreshold"], d.contradiction), ("maximum_evidence", p["maximumEvidenceMatches"], d.maximum_evidence))
+    return F.struct(*[F.coalesce(x, F.lit(v)).alias(k) for k, x, v in fields])
 
 
 def respond(requests: DataFrame) -> DataFrame:
-    """request_id, response (JSON) of each row of request_id, request (JSON)."""
+    """request_id, response (JSON) of each row of request_id, request (JSON); each under its own policy, all in one plan."""
     rows = parsed(requests)
     out = rows.filter("problem is not null").select("request_id", _error("invalidRequest", F.col("problem")).alias("response"))
-    good = rows.filter("problem is null")
-    p, d = F.col("r.policy"), Policy()
-    for policy in _policies(good):
-        mine = (
-            (F.coalesce(p["supportedThreshold"], F.lit(d.supported)) == policy.supported) & (F.coalesce(p["ambiguousThreshold"], F.lit(d.ambiguous)) == policy.ambiguous)
-            & (F.coalesce(p["contradictionThreshold"], F.lit(d.contradiction)) == policy.contradiction) & (F.coalesce(p["maximumEvidenceMatches"], F.lit(d.maximum_evidence)) == policy.maximum_evidence)
-        )
-        out = out.unionByName(_respond(good.filter(mine), policy))
-    return out
-
-
-def _respond(good: DataFrame, policy: Policy) -> DataFrame:
+    return out.unionByName(_respond(rows.filter("problem is null").withColumn("policy", _policy(F.col("r.policy")))))
+
+
+def _respond(good: DataFrame) -> DataFrame:
     docs = good.select(F.col("request_id").alias("doc_id"), F.col("r.document").alias("text"))
     e = good.select(F.col("request_id").alias("scope"), F.posexplode("r.evidence").alias("evidence_ordinal", "e"))
     evidence = e.select("scope", "evidence_ordinal", "e.id", "e.source", F.coalesce("e.sourceType", F.lit("unknown")).alias("source_type"), "e.text")
-    v = verify.verdicts(extract.claims(docs).withColumn("scope", F.col("doc_id")), evidence, policy)
-    reports = report.reports(v, docs)
-    events = provenance.events(v, reports, policy).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "type", "priority", "payload"))).alias("events"))
+    p = F.col("policy")
+    fingerprint = I.policy_fingerprints(p["supported"], p["ambiguous"], p["contradiction"], p["maximum_evidence"])
+    asked = good.select(F.col("request_id").alias("doc_id"), "policy", fingerprint.alias("policy_fingerprint"), F.coalesce("r.includeMarkdown", F.lit(False)).alias("markdown"), F.coalesce("r.includeProvenance", F.lit(False)).alias("trace"), F.coalesce("r.runID", F.uuid()).alias("run_id"), I.iso_utc(F.current_timestamp()).alias("now"))
+    most = good.agg(F.max("policy.maximum_evidence")).first()[0] or 0
+    claims = extract.claims(docs).withColumn("scope", F.col("doc_id")).join(asked.select("doc_id", "policy"), "doc_id")
+    v = verify.verdicts(claims, evidence, verify.PolicyColumns(p["supported"], p["ambiguous"], p["contradiction"], p["maximum_evidence"], most)).drop("policy")
+    reports = report.reports(v, docs).join(asked.select("doc_id", "policy_fingerprint"), "doc_id")
+    events = provenance.events(v, reports, F.col("policy_fingerprint"))
+    runs = provenance.runs(events)
+    edges = provenance.edges(v, reports).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("target_sequence", "source_sequence", "type"))).alias("edges"))
+    events = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "type", "priority", "payload"))).alias("events")).join(runs, "doc_id").join(edges, "doc_id", "left")
     shown = F.struct("ordinal", "claim_id", "text", "type", "parent_text", "fingerprint", "status", "confidence", "explanation", "evidence")
     listed = v.groupBy("doc_id").agg(F.array_sort(F.collect_list(shown)).alias("verdicts"))
-    asked = good.select(F.col("request_id").alias("doc_id"), F.coalesce("r.includeMarkdown", F.lit(False)).alias("markdown"), F.coalesce("r.includeProvenance", F.lit(False)).alias("trace"), F.coalesce("r.runID", F.uuid()).alias("run_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("now"))
-    joined = reports.join(listed, "doc_id", "left").join(events, "doc_id", "left").join(asked, "doc_id")
-    fingerprint = I.policy_fingerprint(policy)
-    packed = joined.select(F.col("doc_id").alias("request_id"), F.to_json(F.struct("verdicts", "events", "blocking_ids", "review_ids", "disposition", "report_fingerprint", "markdown", "trace", "run_id", "now")).alias("all"))
+    joined = reports.join(listed, "doc_id", "left").join(events, "doc_id", "left").join(asked.drop("policy", "policy_fingerprint"), "doc_id")
+    packed = joined.select(F.col("doc_id").alias("request_id"), F.to_json(F.struct("verdicts", "events", "edges", "run_fingerprint", "blocking_ids", "review_ids", "disposition", "report_fingerprint", "policy_fingerprint", "markdown", "trace", "run_id", "now")).alias("all"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
         for batch in batches:
-            yield pd.DataFrame({"request_id": batch["request_id"], "response": [response(json.loads(x), fingerprint) for x in batch["all"]]})
+            yield pd.DataFrame({"request_id": batch["request_id"], "response": [response(json.loads(x)) for x in batch["all"]]})
 
     return packed.mapInPandas(run, f"request_id {requests_type(good)}, response string")
 
@@ -88,7 +85,7 @@ def requests_type(rows: DataFrame) -> str:
     return rows.schema["request_id"].dataType.simpleString()
 
 
-def response(row: dict, policy_fingerprint: str) -> str:
+def response(row: dict) -> str:
     """A response with sorted keys; what is absent is left out."""
     import json
 
@@ -103,11 +100,21 @@ def response(row: dict, policy_fingerprint: str) -> str:
         "report": {"version": 1, "createdAt": row["now"], "verdicts": [{"claim": claim(v), "status": v["status"], "confidence": whole(v["confidence"]), "explanation": v["explanation"], "evidence": [match(e) for e in v["evidence"]]} for v in verdicts]},
         "decision": {"disposition": row["disposition"], "blockingClaimIDs": row["blocking_ids"], "reviewClaimIDs": row["review_ids"]},
         "reportFingerprint": row["report_fingerprint"],
-        "policyFingerprint": policy_fingerprint,
+        "policyFingerprint": row["policy_fingerprint"],
     }
     if row["markdown"]:
         out["markdown"] = render.proof_report(verdicts)
     if row["trace"]:
-        events = [{"runID": row["run_id"], "sequence": e["sequence"], "typeIdentifier": e["type"], "priorityValue": e["priority"], "rawJSON": e["payload"]} for e in row["events"]]
-        out["provenanceManifest"] = json.dumps({"events": events, "reportFingerprint": row["report_fingerprint"], "policyFingerprint": policy_fingerprint, "engineName": I.ENGINE, "contextID": I.CONTEXT}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        out["provenanceManifest"] = json.dumps(manifest(row), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
     return json.dumps(out, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def manifest(row: dict) -> dict:
+    """The same shape as ``provenance.manifests`` writes, for one response; event ids follow from the run and the sequence."""
+    created = int(calendar.timegm(time.strptime(row["now"], "%Y-%m-%dT%H:%M:%SZ"))) - provenance.REFERENCE_DATE
+    ids = {e["sequence"]: str(uuid.uuid5(uuid.UUID(row["run_id"]), str(e["sequence"]))).upper() for e in row["events"]}
+    envelope = lambda e: {"id": ids[e["sequence"]], "runID": row["run_id"].upper(), "contextID": I.CONTEXT, "engineName": I.ENGINE, "schemaVersion": I.SCHEMA_VERSION, "sequence": e["sequence"], "timestamp": created, "payload": {"typeIdentifier": e["type"], "priorityValue": e["priority"], "rawJSON": e["payload"]}}
+    return {
+        "bridgeVersion": provenance.BRIDGE_VERSION, "specVersion": I.SPEC_VERSION, "engineName": I.ENGINE, "contextID": I.CONTEXT, "runFingerprint": row["run_fingerprint"], "reportFingerprint": row["report_fingerprint"], "policyFingerprint": row["policy_fingerprint"],
+        "events": [envelope(e) for e in row["events"]], "edges": [{"sourceID": ids[e["source_sequence"]], "targetID": ids[e["target_sequence"]], "type": e["type"]} for e in row.get("edges") or []],
+    }

@@ -99,6 +99,17 @@ def policy_fingerprint(policy: Policy, verifier: str = VERIFIER, version: str =
     return hashlib.sha256("\n".join(f"{k}:{v}" for k, v in listing.items()).encode()).hexdigest()
 
 
+@F.pandas_udf(T.StringType())  # type: ignore[call-overload]
+def policy_fingerprints(supported: pd.Series, ambiguous: pd.Series, contradiction: pd.Series, maximum: pd.Series) -> pd.Series:
+    """``policy_fingerprint`` of a policy in each row."""
+    return pd.Series([policy_fingerprint(Policy(*p)) for p in zip(supported, ambiguous, contradiction, map(int, maximum), strict=True)], dtype=object)
+
+
+def iso_utc(timestamp: Column) -> Column:
+    """ISO 8601 in whole seconds, in UTC whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(timestamp.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def register(spark) -> None:
     """SQL functions claim_fingerprint(text) and passage_fingerprint(text)."""
     spark.udf.register("_fnv1a_lowered", _claim_fingerprint)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,34 @@ def clauses(sentence: Column) -> Column:
     return F.when((F.size(parts) > 1) & long, parts).otherwise(F.array(sentence))
 
 
+def running_sums(values: Column) -> Column:
+    """For an array of ints the array of its running sums.
+
+    A fold that appends copies its array each time, so the values are summed in blocks
+    of about the square root of their number, and then the blocks' totals.
+    """
+
+    def folded(xs: Column) -> Column:
+        grown = F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + x)))
+        return F.slice(grown, 2, F.size(xs))
+
+    def blocks(xs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / size).cast("int"))
+        return F.transform(starts, lambda k: folded(F.slice(xs, k * size + 1, size)))
+
+    def joined(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), folded(F.transform(parts, lambda p: F.coalesce(F.get(p, F.size(p) - 1), F.lit(0)))))
+        return _once(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda x: x + F.get(b, k)))))
+
+    return _once(values, lambda xs: _once(blocks(xs), joined))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     """array<struct<start_utf16, end_utf16, raw>> of all sentence matches, untrimmed, in order.
 
@@ -59,20 +89,19 @@ def sentences(text: Column) -> Column:
 
     def placed(t: Column) -> Column:
         n = F.size(t)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_utf16:int,end_utf16:int,raw:string>>").alias("out"))
 
-        def step(acc: Column, i: Column) -> Column:
-            tile = F.get(t, i)
-            end = acc["at"] + X.utf16_length(tile)
+        def one(tile: Column, i: Column, end: Column) -> Column:
             rest = F.when(i == n - 1, "").when(i >= n - 3, F.concat(F.get(t, i + 1), F.coalesce(F.get(t, i + 2), F.lit("")))).otherwise("more")
             ends = tile.rlike(r"[.!?]\z") | (rest == "") | (rest == "\r\n") | ((rest == "\n") & ~tile.endswith("\r"))
-            hit = tile.rlike(r"[^.!?\n]") & ends
-            found = F.struct(acc["at"].alias("start_utf16"), end.alias("end_utf16"), tile.alias("raw"))
-            return F.struct(end.alias("at"), F.when(hit, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+            found = F.struct((end - X.utf16_length(tile)).alias("start_utf16"), end.alias("end_utf16"), tile.alias("raw"))
+            return F.when(tile.rlike(r"[^.!?\n]") & ends, found)
+
+        def all_of(ends: Column) -> Column:
+            return F.filter(F.transform(t, lambda tile, i: one(tile, i, F.get(ends, i))), lambda x: x.isNotNull())
 
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), start, step, lambda acc: acc["out"])).otherwise(start["out"])
+        return _once(running_sums(F.transform(t, X.utf16_length)), all_of)
 
-    return F.get(F.transform(F.array(tiles), placed), F.lit(0))
+    return _once(tiles, placed)
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:

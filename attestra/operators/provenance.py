@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestra.functions import identity as I
 from attestra.schemas import Policy
 
-# Priorities, edge types, and what each payload's canonical text looks like.
-PRIORITY = {I.EXTRACTED: 2, I.VERIFIED: 3, I.FINALIZED: 3}
+# Priorities, edge types, the manifest's version, and what each payload's canonical text looks like.
+PRIORITIES = {"telemetry": 0, "diagnostic": 1, "structural": 2, "critical": 3}
+PRIORITY = {I.EXTRACTED: PRIORITIES["structural"], I.VERIFIED: PRIORITIES["critical"], I.FINALIZED: PRIORITIES["critical"]}
+BRIDGE_VERSION = "1.0"
+#: Seconds from 1970 to the reference date of timestamps, 2001-01-01.
+REFERENCE_DATE = 978307200
 EDGE_TYPES = ("derivedFrom", "influencedBy", "generatedFrom", "verifiedBy", "correctedBy", "informed")
 
 
@@ -28,6 +33,36 @@ def json_strings(xs: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(xs, json_string), ","), F.lit("]"))
 
 
+def canonical_json(x: Column, kind: T.DataType) -> Column:
+    """A value of any type as canonical payloads have it: keys in order, absent fields left out, / escaped."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        own = [F.when(x[f.name].isNotNull(), F.concat(json_string(F.lit(f.name)), F.lit(":"), canonical_json(x[f.name], f.dataType))) for f in fields]
+        return F.concat(F.lit("{"), F.concat_ws(",", *own), F.lit("}"))
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: F.coalesce(canonical_json(e, kind.elementType), F.lit("null"))), ","), F.lit("]"))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_entries(x), lambda e: F.struct(e["key"].cast("string").alias("k"), canonical_json(e["value"], kind.valueType).alias("v"))))
+        return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return json_number(x)
+    if isinstance(kind, (T.IntegralType, T.BooleanType, T.DecimalType)):
+        return x.cast("string")
+    return json_string(x.cast("string"))
+
+
+def erased(payload: Column, kind: T.DataType, type_identifier: str, priority: str) -> Column:
+    """struct(typeIdentifier, priorityValue, rawJSON): any payload as an event's, so that hosts can add events of their own types."""
+    return F.struct(F.lit(type_identifier).alias("typeIdentifier"), F.lit(PRIORITIES[priority]).alias("priorityValue"), canonical_json(payload, kind).alias("rawJSON"))
+
+
+def custom_events(rows: DataFrame, payload: str, type_identifier: str, priority: str, engine: str = I.ENGINE, context: str = I.CONTEXT) -> DataFrame:
+    """Rows of doc_id, sequence and a struct column ``payload`` as events that union with ``events``."""
+    e = erased(F.col(payload), rows.schema[payload].dataType, type_identifier, priority)
+    out = rows.select("doc_id", F.col("sequence").cast("long").alias("sequence"), e.alias("e"))
+    return out.select("doc_id", "sequence", F.col("e.typeIdentifier").alias("type"), F.col("e.priorityValue").alias("priority"), F.col("e.rawJSON").alias("payload"), F.lit(None).cast("string").alias("semantic_key"), F.lit(engine).alias("engine"), F.lit(context).alias("context"), F.lit(I.SCHEMA_VERSION).alias("schema_version"))
+
+
 def extracted_payload() -> Column:
     return F.concat(F.lit('{"claimID":'), json_string(F.col("claim_id")), F.lit(',"claimType":'), json_string(F.col("type")), F.lit(',"fingerprint":'), json_string(F.col("fingerprint")), F.lit(',"text":'), json_string(F.col("text")), F.lit("}"))
 
@@ -37,10 +72,10 @@ def verified_payload() -> Column:
     return F.concat(F.lit('{"claimFingerprint":'), json_string(F.col("fingerprint")), F.lit(',"confidence":'), json_number(F.col("confidence")), F.lit(',"evidenceFingerprints":'), json_strings(prints), F.lit(',"status":'), json_string(F.col("status")), F.lit("}"))
 
 
-def finalized_payload(policy_fingerprint: str) -> Column:
+def finalized_payload(policy_fingerprint: Column) -> Column:
     counts = F.array_join(F.transform(F.map_entries("status_counts"), lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"].cast("string"))), ",")
     return F.concat(
-        F.lit(f'{{"policyFingerprint":"{policy_fingerprint}","reportFingerprint":'), json_string(F.col("report_fingerprint")), F.lit(',"safeToPublish":'), F.col("safe_to_publish").cast("string"),
+        F.lit('{"policyFingerprint":'), json_string(policy_fingerprint), F.lit(',"reportFingerprint":'), json_string(F.col("report_fingerprint")), F.lit(',"safeToPublish":'), F.col("safe_to_publish").cast("string"),
         F.lit(f',"specVersion":"{I.SPEC_VERSION}","statusCounts":{{'), counts, F.lit("}}"),
     )
 
@@ -50,15 +85,17 @@ def semantic_key() -> Column:
     return F.concat_ws(":", F.lit(I.VERIFIED), "fingerprint", "status")
 
 
-def events(verdicts: DataFrame, reports: DataFrame, policy: Policy | None = None, engine: str = I.ENGINE, context: str = I.CONTEXT) -> DataFrame:
+def events(verdicts: DataFrame, reports: DataFrame, policy: Policy | Column | None = None, engine: str = I.ENGINE, context: str = I.CONTEXT) -> DataFrame:
     """run (doc_id), sequence, type, priority, payload, semantic_key, engine, context, schema_version.
 
     Two events a claim and one a report; the sequence is arithmetic on the ordinal, so
-    nothing is sorted.
+    nothing is sorted.  policy: the one in use, or a column of ``reports`` with its
+    fingerprint.
     """
+    fingerprint = policy if isinstance(policy, Column) else F.lit(I.policy_fingerprint(policy or Policy()))
     kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("type"), p.alias("payload"), s.alias("semantic_key")) for i, (k, p, s) in enumerate(((I.EXTRACTED, extracted_payload(), F.lit(None).cast("string")), (I.VERIFIED, verified_payload(), semantic_key())))]))
     own = verdicts.select("doc_id", "ordinal", kinds.alias("e")).select("doc_id", (F.col("ordinal") * 2 + F.col("e.i")).cast("long").alias("sequence"), "e.type", "e.payload", "e.semantic_key")
-    last = reports.select("doc_id", (F.col("n_claims") * 2).cast("long").alias("sequence"), F.lit(I.FINALIZED).alias("type"), finalized_payload(I.policy_fingerprint(policy or Policy())).alias("payload"), F.lit(None).cast("string").alias("semantic_key"))
+    last = reports.select("doc_id", (F.col("n_claims") * 2).cast("long").alias("sequence"), F.lit(I.FINALIZED).alias("type"), finalized_payload(fingerprint).alias("payload"), F.lit(None).cast("string").alias("semantic_key"))
     priority = F.when(F.col("type") == I.EXTRACTED, PRIORITY[I.EXTRACTED]).otherwise(PRIORITY[I.VERIFIED])
     return own.unionByName(last).select("doc_id", "sequence", "type", priority.alias("priority"), "payload", "semantic_key", F.lit(engine).alias("engine"), F.lit(context).alias("context"), F.lit(I.SCHEMA_VERSION).alias("schema_version"))
 
@@ -70,12 +107,20 @@ def edges(verdicts: DataFrame, reports: DataFrame) -> DataFrame:
     return own.select("doc_id", both.alias("e")).select("doc_id", "e.*")
 
 
-def with_ids(events: DataFrame, run_id: Column | None = None) -> DataFrame:
-    """Events with a fresh event id each and one run id a document.
+def name_uuid(*parts: Column) -> Column:
+    """A UUID that follows from its parts, for results that must be repeatable."""
+    h = F.upper(F.md5(F.concat_ws("|", *parts).cast("binary")))
+    cut = lambda at, n: F.substring(h, at, n)
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))
+
+
+def with_ids(events: DataFrame, run_id: Column | None = None, event_id: Column | None = None) -> DataFrame:
+    """Events with an event id each and one run id a document.
 
-    Fresh ids are not repeatable: write the result once and read it from there.
+    Fresh event ids, which is what they are unless given, are not repeatable: write the
+    result once and read it from there.
     """
-    return events.withColumns({"event_id": F.uuid(), "run_id": F.expr("sha2(concat('run', doc_id), 256)") if run_id is None else run_id})
+    return events.withColumns({"event_id": F.upper(F.uuid()) if event_id is None else event_id, "run_id": name_uuid(F.lit("run"), F.col("doc_id").cast("string")) if run_id is None else run_id})
 
 
 def resolved(edges: DataFrame, events: DataFrame) -> DataFrame:
@@ -88,3 +133,28 @@ def runs(events: DataFrame, engine: str = I.ENGINE) -> DataFrame:
     """doc_id, n_events, run_fingerprint over the events in order."""
     grouped = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "type"))).alias("e"))
     return grouped.select("doc_id", F.size("e").alias("n_events"), I.run_fingerprint(F.transform("e", lambda x: x["type"]), engine).alias("run_fingerprint"))
+
+
+def _event_json() -> Column:
+    """An envelope in the order of its keys; all events of a report carry the report's creation time."""
+    payload = F.struct(F.col("priority").alias("priorityValue"), F.col("payload").alias("rawJSON"), F.col("type").alias("typeIdentifier"))
+    return F.struct("sequence", F.struct(F.col("context").alias("contextID"), F.col("engine").alias("engineName"), F.col("event_id").alias("id"), payload.alias("payload"), F.col("run_id").alias("runID"), F.col("schema_version").alias("schemaVersion"), "sequence", F.col("_time").alias("timestamp")).alias("e"))
+
+
+def event_arrays(identified: DataFrame, created_at: Column) -> DataFrame:
+    """doc_id, events: a bare array of envelopes, in order, from events with ids."""
+    rows = identified.withColumn("_time", (F.unix_micros(created_at) / 1000000 - REFERENCE_DATE))
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(_event_json())).alias("events")).select("doc_id", F.transform("events", lambda e: e["e"]).alias("events"))
+
+
+def manifests(identified: DataFrame, edges: DataFrame, reports: DataFrame, created_at: Column, policy: Policy | None = None, engine: str = I.ENGINE, context: str = I.CONTEXT) -> DataFrame:
+    """doc_id, json: versions, identities, events and edges of each report; ``identified``: events with ids, written once if these are fresh."""
+    joined = resolved(edges, identified).select("doc_id", F.struct("target_sequence", "source_sequence", F.struct(F.col("source_id").alias("sourceID"), F.col("target_id").alias("targetID"), "type").alias("e")).alias("x"))
+    lines = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    own = event_arrays(identified, created_at).join(runs(identified, engine), "doc_id").join(reports.select("doc_id", "report_fingerprint"), "doc_id").join(lines, "doc_id", "left")
+    none = F.array().cast("array<struct<sourceID:string,targetID:string,type:string>>")
+    whole = F.struct(
+        F.lit(BRIDGE_VERSION).alias("bridgeVersion"), F.lit(context).alias("contextID"), F.coalesce(F.transform("x", lambda e: e["e"]), none).alias("edges"), F.lit(engine).alias("engineName"), "events",
+        F.lit(I.policy_fingerprint(policy or Policy())).alias("policyFingerprint"), F.col("report_fingerprint").alias("reportFingerprint"), F.col("run_fingerprint").alias("runFingerprint"), F.lit(I.SPEC_VERSION).alias("specVersion"),
+    )
+    return own.select("doc_id", F.to_json(whole).alias("json"))

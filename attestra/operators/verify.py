@@ -7,6 +7,8 @@ sees the evidence of its scope.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,19 @@ from attestra.functions import text as X
 from attestra.schemas import CLAIM_TYPES, SOURCE_TYPES, Policy
 
 KEY = ["scope", "doc_id", "ordinal"]
+
+
+@dataclass(frozen=True)
+class PolicyColumns:
+    """A policy that differs from row to row: columns of the claims; ``most`` is the largest maximum_evidence."""
+
+    supported: Column
+    ambiguous: Column
+    contradiction: Column
+    maximum_evidence: Column
+    most: int
+
+
 # Which kinds of source may support which type of claim (sources of unknown kind always may), and the explanations.
 ELIGIBLE = {
     "factual": ("evidence", "declaration", "courtRecord"),
@@ -85,7 +100,7 @@ def facts(evidence: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(claims: DataFrame, evidence: DataFrame, policy: Policy | None = None, candidates: DataFrame | None = None) -> DataFrame:
+def verdicts(claims: DataFrame, evidence: DataFrame, policy: Policy | PolicyColumns | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """``claims`` with status, confidence, explanation and evidence (array, best first).
 
     Only the best passage decides.  First of: type not verifiable; nothing in common;
@@ -93,7 +108,8 @@ def verdicts(claims: DataFrame, evidence: DataFrame, policy: Policy | None = Non
     else unsupported.
     """
     policy = policy or Policy()
-    top = ranked(matches(claims, evidence, candidates), max(1, policy.maximum_evidence))
+    most = policy.most if isinstance(policy, PolicyColumns) else policy.maximum_evidence
+    top = ranked(matches(claims, evidence, candidates), max(1, most))
     shown = F.struct("rank", "id", F.col("p_source").alias("source"), F.col("p_source_type").alias("source_type"), F.col("p_text").alias("text"), "score", "p_terms")
     first = F.col("rank") == 1
     best = (
