@@ -142,16 +142,23 @@ def unpack_ints(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
-    """bucket, packed: rows of (bucket, doc_id, text) as compressed blobs, one for each bucket and portion of a task's input, so that texts cross a shuffle at half the size."""
+def packed_documents(docs: DataFrame, carried: str | None = None) -> DataFrame:
+    """bucket, packed: rows of (bucket, doc_id, text) as compressed blobs, one for each bucket and portion of a task's input, so that texts cross a shuffle at half the size.
+
+    carried: a struct column that goes along, as the blob ``rest`` (Arrow, compressed).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[bytes]]] = {}
+        rest: dict[int, list[pa.Array]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             blobs = [pack_texts(ids, raw) for ids, raw in held.values()]
-            return pa.record_batch({"bucket": pa.array(list(held), pa.int32()), "packed": pa.array(blobs, pa.binary())})
+            columns = {"bucket": pa.array(list(held), pa.int32()), "packed": pa.array(blobs, pa.binary())}
+            if carried:
+                columns["rest"] = pa.array([pack_structs(rest[b]) for b in held], pa.binary())
+            return pa.record_batch(columns)
 
         for batch in batches:
             data, offsets = flat(batch.column("text"))
@@ -160,14 +167,36 @@ def packed_documents(docs: DataFrame) -> DataFrame:
                 ids, own = held.setdefault(bucket, ([], []))
                 ids.append(doc_id)
                 own.append(raw[at[i] : at[i + 1]])
+            if carried:
+                buckets = batch.column("bucket").to_numpy()
+                order = np.argsort(buckets, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1):
+                    if len(own):
+                        rest.setdefault(int(buckets[own[0]]), []).append(batch.column(carried).take(pa.array(own)))
             size += len(raw)
             if size > 4 * BUCKET_BYTES:
                 yield flush()
-                held, size = {}, 0
+                held, rest, size = {}, {}, 0
         if held:
             yield flush()
 
-    return docs.select("bucket", "doc_id", "text").mapInArrow(run, "bucket int, packed binary")
+    return docs.select("bucket", "doc_id", "text", *([carried] if carried else [])).mapInArrow(run, "bucket int, packed binary" + (", rest binary" if carried else ""))
+
+
+def pack_structs(parts: list[pa.Array]) -> bytes:
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    whole = pa.concat_arrays(parts)
+    with pa.ipc.new_stream(sink, pa.schema([("row", whole.type)])) as out:
+        out.write_batch(pa.record_batch({"row": whole}))
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(sink.getvalue())
+
+
+def unpack_structs(blobs: list[bytes]) -> pa.Array:
+    import zstandard
+
+    return pa.concat_arrays([pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all().column("row").combine_chunks() for b in blobs])
 
 
 def pack_texts(ids: list[int], raw: list[bytes]) -> bytes:

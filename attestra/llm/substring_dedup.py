@@ -40,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attestra.llm.common import bucket_count, bucketed, checkpoint, mix64, numbered, pack_ints, pack_sorted, packed_documents, text_bytes, text_key, unnumbered, unpack_ints, unpack_sorted, unpack_texts
+from attestra.llm.common import NO_ID, bucket_count, bucketed, checkpoint, mix64, numbered, pack_ints, pack_sorted, packed_documents, text_bytes, unnumbered, unpack_ints, unpack_sorted, unpack_structs, unpack_texts
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
@@ -518,11 +519,12 @@ def _digests():
     return digest
 
 
-def _kept():
+def _kept(columns: list[str]):
+    """A bucket's rows as they came, their texts cut."""
     marks = _removed()
 
     def keep(group: pa.Table, answers: pa.Table) -> pa.Table:
-        own, ids, keys, kept = Bucket(group), [], [], []
+        own, rest, at, kept = Bucket(group), unpack_structs(group.column("rest").to_pylist()), [], []
         for i, gone in marks(own, answers):
             raw = np.frombuffer(own.raw[own.offsets[i] : own.offsets[i + 1]], np.uint8)
             if gone.any():  # a character is kept whole or not at all
@@ -530,17 +532,18 @@ def _kept():
                 touched = np.zeros(lead[-1] + 1, bool)
                 touched[lead[gone]] = True
                 gone = touched[lead]
-            ids.append(int(own.ids[i]))
-            keys.append(hashlib.sha256(raw).digest())
+            at.append(i)
             kept.append(raw[~gone].tobytes().decode())
-        return pa.table({"_id": pa.array(ids, pa.int64()), "_key": pa.array(keys, pa.binary()), "_kept": pa.array(kept, pa.string())})
+        rest = rest.take(pa.array(at, pa.int64()))
+        absent = rest.field(len(columns)).to_pylist()
+        text = pa.array([None if none else x for none, x in zip(absent, kept, strict=True)], pa.string())
+        return pa.table([text if c == "text" else rest.field(k) for k, c in enumerate(columns)], columns)
 
     return keep
 
 
-def _bucketed(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Documents in buckets, and for each bucket what its suffixes were answered."""
-    own = numbered(docs)
+def _bucketed(own: DataFrame, hot: int) -> tuple[DataFrame, int]:
+    """For each bucket what its suffixes were answered, and the number of buckets; own: doc_id, text."""
     n = bucket_count(text_bytes(own))
     parts = max(4, n // 2)
     rows = packed_documents(bucketed(own, n))
@@ -550,12 +553,14 @@ def _bucketed(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     repeated = prints.filter("kind = 0").groupBy("part").applyInArrow(_repeated(hot), _RUN_SCHEMA)
     runs = checkpoint(rows.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_suffixes(parts, splitters, parts), _RUN_SCHEMA), release=True)
     answers = runs.filter("kind < 2").groupBy("kind", "part").applyInArrow(_ranges(), _RUN_SCHEMA)
-    return rows, runs.filter("kind = 2").unionByName(answers)
+    return runs.filter("kind = 2").unionByName(answers), n
 
 
 def removal(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of each document."""
-    rows, answers = _bucketed(docs, hot)
+    own = numbered(docs)
+    answers, n = _bucketed(own, hot)
+    rows = packed_documents(bucketed(own, n))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return unnumbered(rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_digests(), schema), "doc_id")
 
@@ -563,11 +568,14 @@ def removal(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents with repeated passages cut from ``text``; a character loses all its bytes or none.
 
-    Rows are told apart by doc_id (which may be null or repeated) and text; a null text
-    stays null.
+    Rows travel whole, so that a null or repeated doc_id makes no difference; a null
+    text stays null.
     """
-    rows, answers = _bucketed(docs, hot)
-    kept = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(), "_id long, _key binary, _kept string")
-    kept = unnumbered(kept, "_id").dropDuplicates(["_id", "_key"])  # rows of one id and text lose the same
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (text_key(docs["text"]) == kept["_key"]))
-    return out.select(*[F.when(docs["text"].isNotNull(), kept["_kept"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    own = numbered(docs)
+    answers, n = _bucketed(own, hot)
+    columns = docs.columns
+    rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else docs[c].alias(c) for c in columns], docs["text"].isNull().alias("_absent")).alias("rest")
+    whole = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), rest)
+    rows = packed_documents(bucketed(whole, n), "rest")
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields])
+    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(columns), schema)
