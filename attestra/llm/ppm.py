@@ -18,8 +18,8 @@ Tokens' counts for the base score travel in the same way.  What is gathered grow
 with the corpus, and nothing but the two-byte table and two totals reaches the driver.
 
 Defined results: a null or empty text, or one of blanks, is the end token alone; with
-no training document every symbol has probability 1/256; repeated doc_ids are scored
-row by row; columns besides doc_id, text and the training flag are not read.
+no training document every symbol has probability 1/256; null and repeated doc_ids are
+scored row by row, and a null one is for training only if the flag says so; columns besides doc_id, text and the training flag are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bucket_count, bucketed, checkpoint, flat, mix64, pack_ints, pack_sorted, text_bytes, texts, unpack_ints, unpack_sorted
+from attestra.llm.common import NO_ID, bucket_count, bucketed, by_part, checkpoint, mix64, pack_ints, pack_sorted, packed_documents, text_bytes, unpack_ints, unpack_sorted, unpack_structs, unpack_texts
 
 ORDER = 5
 #: Bytes that no UTF-8 text holds: before a text's first symbol, and its end.
@@ -40,15 +40,25 @@ START, END = 0xFE, 0xFF
 CHUNK = 1 << 20
 
 
-def documents(group: pa.Table) -> Iterator[tuple[int, bytes, bool]]:
-    """Row number, lower-cased text and training flag, in an order that does not depend on how rows arrive."""
-    data, offsets = flat(group.column("text"))
-    raw, ids, train = data.tobytes(), group.column("doc_id").to_numpy(), group.column("train").to_pylist()
-    for i in np.lexsort((np.arange(len(ids)), ids)).tolist():
-        yield i, raw[offsets[i] : offsets[i + 1]].lower(), bool(train[i])
+class Documents:
+    """A bucket's documents, lower-cased, in an order that does not depend on how rows arrive."""
 
+    def __init__(self, group: pa.Table):
+        order, offsets, self.raw = unpack_texts(group.column("packed").to_pylist())
+        rest = unpack_structs(group.column("rest").to_pylist())
+        self.ids, self.train = rest.field("doc_id"), rest.field("train").to_numpy(zero_copy_only=False).astype(bool)
+        self.offsets, self.order = offsets.tolist(), np.argsort(order, kind="stable").tolist()
 
-def streams(group: pa.Table, order: int) -> Iterator[tuple[np.ndarray, list[int], list[int], np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int, bytes, bool]]:
+        """Row number, text and training flag."""
+        for i in self.order:
+            yield i, self.raw[self.offsets[i] : self.offsets[i + 1]].lower(), bool(self.train[i])
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+
+def streams(docs: Documents, order: int) -> Iterator[tuple[np.ndarray, list[int], list[int], np.ndarray]]:
     """Chunks of documents: keys of all symbols, rows, symbols of each, and which keys are for training."""
     parts, rows, sizes, flags, held = [], [], [], [], 0
 
@@ -62,7 +72,7 @@ def streams(group: pa.Table, order: int) -> Iterator[tuple[np.ndarray, list[int]
         return keys[a[order:] != START], rows, sizes, np.repeat(np.array(flags, bool), sizes)
 
     pad, end = bytes([START]) * order, bytes([END])
-    for i, text, train in documents(group):
+    for i, text, train in docs:
         body = b" ".join(text.split())
         parts += [pad, body, end]
         rows.append(i)
@@ -86,26 +96,31 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def key_counts(group: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+def key_counts(docs: Documents, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket's distinct keys with training counts (0: only in documents that are not for training)."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for found, _, _, train in streams(group, order):
-        own, n = np.unique(found[train], return_counts=True)
-        other = np.unique(found[~train])
-        keys, counts = summed(np.concatenate([keys, own, other]), np.concatenate([counts, n, np.zeros(len(other), np.int64)]))
-    return keys, counts
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    one = np.uint64(1)
+    for found, _, _, train in streams(docs, order):
+        flagged = found << one | train  # a key and its flag fit 64 bits: one plain sort
+        flagged.sort()
+        first = np.flatnonzero(np.concatenate([[True], flagged[1:] != flagged[:-1]]))
+        own, n = flagged[first], np.diff(np.append(first, len(flagged)))
+        held.append((own >> one, np.where((own & one).astype(bool), n, 0)))
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
 
 def part_of(keys: np.ndarray, order: int, parts: int) -> np.ndarray:
     return (mix64(keys >> np.uint64(8 * (order - 1))) % np.uint64(parts)).astype(np.int64)
 
 
-def token_counts(group: pa.Table) -> tuple[list[bytes], np.ndarray, int]:
+def token_counts(docs: Documents) -> tuple[list[bytes], np.ndarray, int]:
     """The bucket's distinct words in order, their training counts, and training tokens with ends."""
     known: Counter = Counter()
     every: set[bytes] = set()
     total = 0
-    for _, text, train in documents(group):
+    for _, text, train in docs:
         words = text.split()
         every.update(words)
         if train:
@@ -180,19 +195,17 @@ def _runs(order: int, parts: int):
     """Step 1: rows of (kind, part, bucket, keys, counts) for a bucket."""
 
     def run(group: pa.Table) -> pa.Table:
-        bucket, rows = group.column("bucket")[0].as_py(), []
-        keys, counts = key_counts(group, order)
+        bucket, rows, docs = group.column("bucket")[0].as_py(), [], Documents(group)
+        keys, counts = key_counts(docs, order)
         part = part_of(keys, order, parts)
-        for r in np.unique(part).tolist():
-            own = part == r
+        for r, own in by_part(part):
             rows.append((0, r, bucket, pack_sorted(keys[own]), pack_ints(counts[own], "<u4"), 0))
         pair = (keys >> np.uint64(8 * order)) << np.uint64(8) | (keys & np.uint64(0xFF))
         low, n = summed(pair, counts)
         rows.append((2, 0, bucket, pack_ints(low[n > 0], "<u2"), pack_ints(n[n > 0], "<u8"), 0))
-        tokens, n, total = token_counts(group)
+        tokens, n, total = token_counts(docs)
         part = token_parts(tokens, parts)
-        for r in np.unique(part).tolist():
-            own = np.flatnonzero(part == r)
+        for r, own in by_part(part):
             rows.append((1, r, bucket, _squeeze(b"\n".join([tokens[i] for i in own.tolist()])), pack_ints(n[own], "<u4"), 0))
         rows.append((3, 0, bucket, b"", b"", total))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
@@ -246,26 +259,30 @@ def _scores(order: int, parts: int, n_train: int, n_known: int, ends: int):
         if not group.num_rows:
             return pa.table({n: pa.array([], t) for n, t in _SCORED.items()})
         got = {(k, p): a for k, p, a in zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(), answers.column("answer").to_pylist(), strict=True)}
-        keys, _ = key_counts(group, order)
+        docs = Documents(group)
+        keys, _ = key_counts(docs, order)
         part, logs = part_of(keys, order, parts), np.zeros(len(keys), np.float32)
-        for r in np.unique(part).tolist():
-            logs[part == r] = np.frombuffer(got[0, r], "<f4")
-        model = np.zeros(group.num_rows)
-        for found, rows, sizes, _train in streams(group, order):
-            each = logs[np.searchsorted(keys, found)].astype(float)
+        for r, own in by_part(part):
+            logs[own] = np.frombuffer(got[0, r], "<f4")
+        model = np.zeros(len(docs))
+        for found, rows, sizes, _train in streams(docs, order):
+            at = np.argsort(found)  # look-ups in order stay in the cache
+            each = np.zeros(len(found))
+            each[at] = logs[np.searchsorted(keys, found[at])]
             model[rows] = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        tokens, _, _ = token_counts(group)
+        tokens, _, _ = token_counts(docs)
         part, counts = token_parts(tokens, parts), np.zeros(len(tokens), np.int64)
-        for r in np.unique(part).tolist():
-            counts[part == r] = unpack_ints(got[1, r], "<u8").astype(np.int64)
-        count = dict(zip(tokens, counts.tolist(), strict=True))
-        base, n_tokens, known = np.zeros(group.num_rows), np.zeros(group.num_rows, np.int64), np.zeros(group.num_rows, np.int64)
+        for r, own in by_part(part):
+            counts[own] = unpack_ints(got[1, r], "<u8").astype(np.int64)
         whole = n_train + 0.5 * (n_known + 1)
-        for i, text, _train in documents(group):
-            c = np.array([*[count[w] for w in text.split()], ends], float)
-            base[i], n_tokens[i], known[i] = np.log10((c + 0.5) / whole).sum(), len(c), (c > 0).sum()
-        held = ~np.array(group.column("train").to_pylist(), bool)
-        columns = (group.column("doc_id"), held, n_tokens, known, np.full(group.num_rows, n_train), base, model)
+        logged = np.log10((np.append(counts, ends) + 0.5) / whole)
+        place = {t: i for i, t in enumerate(tokens)}
+        base, n_tokens, known = np.zeros(len(docs)), np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+        some = np.append(counts, ends) > 0
+        for i, text, _train in docs:
+            c = np.array([*map(place.__getitem__, text.split()), len(tokens)])
+            base[i], n_tokens[i], known[i] = logged[c].sum(), len(c), some[c].sum()
+        columns = (docs.ids, ~docs.train, n_tokens, known, np.full(len(docs), n_train), base, model)
         return pa.table({n: pa.array(c, t) if isinstance(c, np.ndarray) else c for (n, t), c in zip(_SCORED.items(), columns, strict=True)})
 
     return score
@@ -279,10 +296,13 @@ def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
 
     training: which documents the model and the counts learn from.
     """
-    own = texts(docs).withColumn("train", F.coalesce(training, F.lit(False)))
+    if not 1 <= order <= 6:
+        raise ValueError(f"order must be 1 to 6: {order}")
+    flags = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), flags.alias("flags"))
     n = bucket_count(text_bytes(own))
     parts = max(4, n // 2)
-    rows = bucketed(own, n).select("bucket", "doc_id", "text", "train")
+    rows = packed_documents(bucketed(own, n), "flags")
     runs = checkpoint(rows.groupBy("bucket").applyInArrow(_runs(order, parts), "kind int, part int, bucket int, keys binary, counts binary, total long"), release=True)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import NO_ID, bucket_count, bucketed, checkpoint, mix64, numbered, pack_ints, pack_sorted, packed_documents, text_bytes, unnumbered, unpack_ints, unpack_sorted, unpack_structs, unpack_texts
+from attestra.llm.common import NO_ID, bucket_count, bucketed, by_part, checkpoint, mix64, numbered, pack_ints, pack_sorted, packed_documents, text_bytes, unnumbered, unpack_ints, unpack_sorted, unpack_structs, unpack_texts
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: Documents of one anchor gram from which its strings are exchanged whole.
 HOT = 20_000
-#: Suffixes that the splitters are picked from, and bytes of text treated at a time.
+#: Suffixes that the splitters are picked from, at least (more ranges take more), and bytes of text treated at a time.
 SAMPLE, CHUNK = 8192, 1 << 20
 #: Runs that one loser tree merges.
 FAN_IN = 256
@@ -142,6 +142,8 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _prints(parts: int, buckets: int):
+    wanted = max(SAMPLE, 4 * parts)  # strings of the sample, a few for each range
+
     def run(group: pa.Table) -> pa.Table:
         number, own = group.column("bucket")[0].as_py(), Bucket(group)
         grams, counts, sample = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
@@ -160,13 +162,12 @@ def _prints(parts: int, buckets: int):
             both, n = both[order], np.concatenate([counts, n])[order]
             first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
             grams, counts = both[first], np.add.reduceat(n, first)
-            if mix64(np.array([number], np.uint64))[0] % np.uint64(max(1, buckets // SAMPLE)) == 0:
-                every = max(1, len(at) * buckets * (len(own.raw) // CHUNK + 1) // SAMPLE)
+            if mix64(np.array([number], np.uint64))[0] % np.uint64(max(1, buckets // wanted)) == 0:
+                every = max(1, len(at) * buckets * (len(own.raw) // CHUNK + 1) // wanted)
                 sample += [raw[p : p + GRAM] for p in at[::every].tolist()]
         rows = [(1, 0, number, b"".join(sample), b"")]
         part = (grams % np.uint64(parts)).astype(np.int64)
-        for r in np.unique(part).tolist():
-            mine = part == r
+        for r, mine in by_part(part):
             rows.append((0, r, number, pack_sorted(grams[mine] >> np.uint64(16)), pack_ints(np.minimum(counts[mine], 65535), "<u2")))
         return _table(rows)
 
@@ -347,9 +348,8 @@ def _suffixes(parts: int, splitters: list[bytes], fingerprint_parts: int):
         rank = np.zeros(len(keys), np.int64)
         rank[order] = np.arange(len(keys))
         cuts = [bisect.bisect_right(splitters, keys[i][0][:GRAM]) for i in order]
-        bounds = np.searchsorted(cuts, np.arange(parts + 1)).tolist()
-        for r in range(parts):
-            mine = order[bounds[r] : bounds[r + 1]]
+        for r, at in by_part(np.array(cuts, np.int64)):
+            mine = [order[i] for i in at.tolist()]
             if mine:
                 lefts = [keys[i][1] for i in mine]
                 body = _squeeze(bytes(map(len, lefts)) + b"".join(lefts))
@@ -360,9 +360,8 @@ def _suffixes(parts: int, splitters: list[bytes], fingerprint_parts: int):
         hot_order = sorted(range(len(hot_keys)), key=lambda i: (hot_part[i], hot_keys[i]))
         hot_rank = np.zeros(len(hot_keys), np.int64)
         hot_rank[hot_order] = np.arange(len(hot_keys))
-        bounds = np.searchsorted([hot_part[i] for i in hot_order], np.arange(parts + 1)).tolist()
-        for r in range(parts):
-            mine = hot_order[bounds[r] : bounds[r + 1]]
+        for r, at in by_part(np.array([hot_part[i] for i in hot_order], np.int64)):
+            mine = [hot_order[i] for i in at.tolist()]
             if mine:
                 rows.append((1, r, number, front_coded([hot_keys[i] for i in mine]), pack_ints(np.array([hot_first[i] for i in mine], np.int64), "<i8")))
         # where each suffix came from, with entries by their rank in the runs
@@ -384,8 +383,8 @@ def self_prints(own: Bucket, parts: int, got: dict[int, bytes]) -> list[tuple[np
     found = [anchors(np.frombuffer(raw, np.uint8), ends) for raw, ends, _, _ in own.chunks()]
     grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *[f[3] for f in found]]))
     part, level = (grams % np.uint64(parts)).astype(np.int64), np.zeros(len(grams), np.uint8)
-    for r in np.unique(part).tolist():
-        level[part == r] = unpack_ints(got[r], "<u1")
+    for r, mine in by_part(part):
+        level[mine] = unpack_ints(got[r], "<u1")
     return [(at, lo, hi, level[np.searchsorted(grams, h)]) for at, lo, hi, h in found]
 
 
@@ -548,7 +547,7 @@ def _bucketed(own: DataFrame, hot: int) -> tuple[DataFrame, int]:
     parts = max(4, n // 2)
     rows = packed_documents(bucketed(own, n))
     prints = checkpoint(rows.groupBy("bucket").applyInArrow(_prints(parts, n), _RUN_SCHEMA), release=True)
-    sample = sorted(x[i : i + GRAM] for (x,) in prints.filter("kind = 1").select("a").collect() for x in [bytes(x)] for i in range(0, len(x), GRAM))  # about SAMPLE strings
+    sample = sorted(x[i : i + GRAM] for (x,) in prints.filter("kind = 1").select("a").collect() for x in [bytes(x)] for i in range(0, len(x), GRAM))  # a few for each range
     splitters = sorted(set(sample[len(sample) * k // parts] for k in range(1, parts))) if sample else []
     repeated = prints.filter("kind = 0").groupBy("part").applyInArrow(_repeated(hot), _RUN_SCHEMA)
     runs = checkpoint(rows.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_suffixes(parts, splitters, parts), _RUN_SCHEMA), release=True)
