@@ -39,6 +39,13 @@ def parser() -> Parser:
     b.add_argument("corpus")
     b.add_argument("--json", action="store_true")
     b.add_argument("--release", action="store_true")
+    for group in (sub, sub.add_parser("annotation").add_subparsers(dest="command", required=True, parser_class=Parser)):
+        _annotation(group)
+    return out
+
+
+def _annotation(sub) -> None:
+    """prepare, audit and finalize, with or without the word annotation before them."""
     p = sub.add_parser("prepare")
     p.add_argument("candidates")
     p.add_argument("ledger")
@@ -47,13 +54,13 @@ def parser() -> Parser:
     a = sub.add_parser("audit")
     a.add_argument("manifest")
     a.add_argument("submissions", nargs=2)
+    a.add_argument("--json", action="store_true")
     f = sub.add_parser("finalize")
     f.add_argument("manifest")
     f.add_argument("submissions", nargs=3, help="two primary ones, then the adjudicator's")
     f.add_argument("out")
-    f.add_argument("--origin", required=True)
-    f.add_argument("--split", required=True)
-    return out
+    f.add_argument("--origin", default="publicRecord")
+    f.add_argument("--split", default="sealedHoldout")
 
 
 def run_verify(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -61,15 +68,27 @@ def run_verify(spark: SparkSession, args: argparse.Namespace) -> int:
     verdicts = verify.verdicts(extract.claims(docs).withColumn("scope", F.col("doc_id")), evidence).cache()
     reports = report.reports(verdicts, docs)
     safe = reports.select(F.bool_and("safe_to_publish")).first()[0]
-    for (doc_id,) in docs.select("doc_id").orderBy("doc_id").collect():
-        print(render.proof_report([r.asDict(recursive=True) for r in verdicts.filter(F.col("doc_id") == doc_id).orderBy("ordinal").collect()]))
+    for row in render.proof_reports(verdicts, docs).orderBy("doc_id").toLocalIterator():
+        print(row["markdown"])
     if args.trace:
-        _write(provenance.events(verdicts, reports), f"{args.trace}/events")
-        _write(provenance.edges(verdicts, reports), f"{args.trace}/edges")
+        events = provenance.events(verdicts, reports)
+        _write(provenance.with_ids(events), f"{args.trace}/events")  # ids are fresh: written once, then read
+        identified = spark.read.schema(provenance.with_ids(events).schema).json(f"{args.trace}/events")
+        edges = provenance.edges(verdicts, reports)
+        _write(edges, f"{args.trace}/edges")
+        _write_text(provenance.manifests(identified, edges, reports, F.current_timestamp()).select("json"), f"{args.trace}/manifests")
     verdicts.unpersist()
     return 0 if safe else 2
 
 
+def _write_text(df: DataFrame, path: str) -> None:
+    """A text file of each partition, refused where there is one already."""
+    try:
+        df.write.mode("errorifexists").text(path)
+    except Exception as e:
+        raise OSError(f"{path}: {e}") from e
+
+
 def _write(df: DataFrame, path: str) -> None:
     try:
         df.write.mode("errorifexists").json(path)
@@ -98,22 +117,30 @@ def run_prepare(spark: SparkSession, args: argparse.Namespace) -> int:
     prepared = annotation.prepare(corpus, ledger, args.reviewers)
     _write(prepared, f"{args.out}/assignments")  # ids are fresh: written once, then read
     prepared = spark.read.schema(prepared.schema).json(f"{args.out}/assignments")
-    _write(annotation.packets(prepared).repartition("reviewer"), f"{args.out}/packets")
-    _write(annotation.templates(prepared).repartition("reviewer"), f"{args.out}/templates")
+    _write(annotation.coordinator_manifest(corpus, prepared).coalesce(1), f"{args.out}/manifest")
+    forms = annotation.submission_forms(corpus, prepared)
+    for alias in annotation.reviewers(args.reviewers):  # three
+        name = spark.range(1).select(safe_file_name(F.lit(alias))).first()[0]
+        _write(annotation.packets(prepared).filter(F.col("reviewer") == alias).orderBy("position").coalesce(1), f"{args.out}/packets/{name}")
+        _write_text(forms.filter(F.col("reviewer") == alias).select("json").coalesce(1), f"{args.out}/forms/{name}")
     return 0
 
 
 def run_audit(spark: SparkSession, args: argparse.Namespace) -> int:
     audited = annotation.audit(sources.manifest(spark, args.manifest), [sources.submission(spark, s) for s in args.submissions])
-    print(json.dumps(audited, sort_keys=True, indent=2, ensure_ascii=False))
+    if args.json:
+        print(json.dumps(audited, sort_keys=True, indent=2, ensure_ascii=False))
+    else:
+        k = audited["binaryLabelAgreement"]
+        said = [f"Reviewers: {', '.join(audited['reviewerAliases'])}", f"Agreement: {audited['binaryAgreementCount']} of {audited['candidateCount']}", f"Cohen's kappa: {'undefined' if k is None else render.fixed(k, 3)}", f"Disputed candidates: {len(audited['detailedDisagreementCandidateIDs'])}"]
+        print("\n".join([*said, *[f"Issue: {x}" for x in audited["issues"]]]))
     return 0 if annotation.reliable(audited) else 3
 
 
 def run_finalize(spark: SparkSession, args: argparse.Namespace) -> int:
     own = [sources.submission(spark, s) for s in args.submissions]
     head, cases = annotation.finalize(sources.manifest(spark, args.manifest), own[:2], own[2], args.origin, args.split)
-    _write(cases.orderBy("place").drop("place"), f"{args.out}/cases")
-    _write(spark.createDataFrame([(json.dumps(head),)], "head string"), f"{args.out}/head")
+    _write_text(annotation.finalized_corpus(head, cases).coalesce(1), args.out)
     return 0
 
 

@@ -38,6 +38,7 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+# The texts of all issues below are the workflow's own.
 def _checks(rows: DataFrame, section: int, place: str, rules: list[tuple[Column, Column | str]]) -> DataFrame:
     """section, place, rule, issue: a row for each rule that a row breaks, in the order of the rules."""
     said = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(i).alias("rule"), (F.lit(text) if isinstance(text, str) else text).alias("issue"))) for i, (bad, text) in enumerate(rules)])
@@ -127,6 +128,34 @@ def prepare(corpus: DataFrame, ledger: DataFrame, aliases: list[str], seed: int
     return assignments(own, aliases, seed).join(own.select("place", "matterID", "claimText", "claimType", "evidence"), "place")
 
 
+def coordinator_manifest(corpus: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The one-row document that ``audit`` and ``finalize`` read: the corpus, who reviews what, and that the intake passed."""
+    one = F.struct("reviewer_place", "place", F.struct(F.col("assignment_id").alias("assignmentID"), F.col("reviewer").alias("reviewerAlias"), F.col("id").alias("candidateID")).alias("a"))
+    listed = prepared.groupBy().agg(F.array_sort(F.collect_list(one)).alias("x")).select(F.transform("x", lambda r: r["a"]).alias("assignments"))
+    own = corpus.select(F.struct("version", "name", "sourceLedgerVersion", "annotationPolicyVersion", "candidates").alias("candidateCorpus"))
+    return own.crossJoin(listed).select(F.lit("1").alias("schemaVersion"), "candidateCorpus", "assignments", F.lit(True).alias("intakeValidationPassed"))
+
+
+def submission_forms(corpus: DataFrame, prepared: DataFrame) -> DataFrame:
+    """reviewer, json: each reviewer's submission with empty responses in packet order, ready to be filled in."""
+    null = F.lit(None).cast("string")
+    form = F.struct(F.col("assignment_id").alias("assignmentID"), F.lit(None).cast("boolean").alias("approvalEligible"), null.alias("status"), null.alias("rationale"), F.array().cast("array<string>").alias("evidenceSpans"))
+    listed = prepared.groupBy("reviewer").agg(F.array_sort(F.collect_list(F.struct("position", form.alias("f")))).alias("x"))
+    both = listed.crossJoin(corpus.select("version", "annotationPolicyVersion"))
+    whole = F.struct(F.lit("1").alias("schemaVersion"), F.col("version").alias("corpusVersion"), F.col("reviewer").alias("reviewerAlias"), "annotationPolicyVersion", F.transform("x", lambda r: r["f"]).alias("responses"))
+    return both.select("reviewer", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def finalized_corpus(head: dict, cases: DataFrame) -> DataFrame:
+    """json: the one-row corpus that the benchmark reads, of a head and cases that ``finalize`` made."""
+    import json
+
+    spark = cases.sparkSession
+    listed = cases.select("place", F.to_json(F.struct(*[c for c in cases.columns if c != "place"])).alias("c")).groupBy().agg(F.array_sort(F.collect_list(F.struct("place", "c"))).alias("x"))
+    top = spark.createDataFrame([(json.dumps(head, ensure_ascii=False)[1:-1],)], "head string")
+    return top.crossJoin(listed).select(F.concat(F.lit("{"), "head", F.lit(',"claimCases":['), F.array_join(F.transform("x", lambda r: r["c"]), ","), F.lit('],"extractionCases":[]}')).alias("json"))
+
+
 def packets(prepared: DataFrame) -> DataFrame:
     """What reviewers see, in packet order; no candidate id, tag or source record."""
     return prepared.select("reviewer", "position", F.col("assignment_id").alias("assignmentID"), "matterID", "claimText", "claimType", "evidence")
@@ -193,6 +222,17 @@ def _labels(manifest: DataFrame, submission: DataFrame) -> DataFrame:
     return r.join(assigned, "assignmentID", "left").join(own, F.col("candidateID") == F.col("candidate_id"), "left")
 
 
+def _assigned_labels(manifest: DataFrame, submission: DataFrame) -> DataFrame:
+    """Labels of the reviewer's own assignments."""
+    return _labels(manifest, submission).filter((F.col("assigned_to") == F.col("reviewer")) & F.col("candidate_id").isNotNull())
+
+
+def _last_labels(labels: DataFrame) -> DataFrame:
+    """One label of each candidate, the last one submitted."""
+    last = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("place")))
+    return labels.withColumn("_k", last).filter("_k = 1").select("candidate_id", "approvalEligible", "status")
+
+
 def audit(manifest: DataFrame, primaries: list[DataFrame]) -> dict:
     """Counts, disagreements, kappa, the adjudicator with their assignments, and issues.
 
@@ -228,10 +268,9 @@ def audit(manifest: DataFrame, primaries: list[DataFrame]) -> dict:
             issues.append(f"{prefix} is missing {missing} assignments")
         if extra:
             issues.append(f"{prefix} contains {extra} unexpected assignments")
-        own = _labels(manifest, submission).filter((F.col("assigned_to") == F.col("reviewer")) & F.col("candidate_id").isNotNull())
+        own = _assigned_labels(manifest, submission)
         issues += [r["issue"] for r in label_issues(own).orderBy("place", "rule").collect()]
-        last = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("place")))
-        kept.append(own.withColumn("_k", last).filter("_k = 1").select("candidate_id", "approvalEligible", "status"))
+        kept.append(_last_labels(own))
     pairs = disagreements(*kept)
     k = kappa(pairs, "approvalEligible", "other").first()
     apart = pairs.filter("apart").select("candidate_id")
@@ -272,8 +311,8 @@ def finalize(manifest: DataFrame, primaries: list[DataFrame], adjudication: Data
         raise WorkflowError("invalidReviewers", ["adjudicator must be distinct from primary reviewers"])
     if (a["corpusVersion"], a["annotationPolicyVersion"]) != (m["version"], m["annotationPolicyVersion"]):
         raise WorkflowError("invalidSubmissions", ["adjudication submission has the wrong corpus or annotation policy version"])
-    spark = manifest.sparkSession
-    disputed = spark.createDataFrame([(x,) for x in audited["detailedDisagreementCandidateIDs"]], "disputed string")
+    pairs = disagreements(*[_last_labels(_assigned_labels(manifest, s)) for s in primaries])
+    disputed = pairs.filter("apart").select(F.col("candidate_id").alias("disputed"))
     labels = _labels(manifest, adjudication)
     fits = (F.col("assigned_to") == F.col("reviewer")) & F.col("candidate_id").isNotNull()
     labels = labels.withColumn("fits", F.coalesce(fits, F.lit(False))).join(disputed, F.col("candidate_id") == F.col("disputed"), "left")

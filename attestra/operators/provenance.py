@@ -13,7 +13,7 @@ from attestra.schemas import Policy
 PRIORITIES = {"telemetry": 0, "diagnostic": 1, "structural": 2, "critical": 3}
 PRIORITY = {I.EXTRACTED: PRIORITIES["structural"], I.VERIFIED: PRIORITIES["critical"], I.FINALIZED: PRIORITIES["critical"]}
 BRIDGE_VERSION = "1.0"
-#: Seconds from 1970 to the reference date of timestamps, 2001-01-01.
+#: Seconds from 1970 to the reference date of timestamps, 2001-01-01; these are whole seconds.
 REFERENCE_DATE = 978307200
 EDGE_TYPES = ("derivedFrom", "influencedBy", "generatedFrom", "verifiedBy", "correctedBy", "informed")
 
@@ -143,7 +143,7 @@ def _event_json() -> Column:
 
 def event_arrays(identified: DataFrame, created_at: Column) -> DataFrame:
     """doc_id, events: a bare array of envelopes, in order, from events with ids."""
-    rows = identified.withColumn("_time", (F.unix_micros(created_at) / 1000000 - REFERENCE_DATE))
+    rows = identified.withColumn("_time", F.unix_seconds(created_at) - REFERENCE_DATE)
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(_event_json())).alias("events")).select("doc_id", F.transform("events", lambda e: e["e"]).alias("events"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from attestra import queries_workflow  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -170,21 +174,15 @@ scored AS (
 ),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY score DESC, id, evidence_ordinal) AS INTEGER) AS rank FROM scored)"""
 _OPPOSED = " OR ".join(f"(list_contains(c_terms, '{a}') AND list_contains(p_terms, '{b}')) OR (list_contains(c_terms, '{b}') AND list_contains(p_terms, '{a}'))" for a, b in X.OPPOSITES)
-_VERDICTS = f"""
-facts AS (SELECT evidence_ordinal, {_terms("text")} AS p_terms, {_values("text")} AS p_values, {_any("text", X.NEGATIONS)} AS p_negated, {_any("text", X.SPECULATIVE)} AS p_speculative FROM evidence),
-best AS (SELECT r.doc_id, r.ordinal, r.score, r.id AS best_id, f.* FROM ranked r JOIN facts f USING (evidence_ordinal) WHERE rank = 1),
-shown AS (SELECT doc_id, ordinal, count(*) AS n_evidence, string_agg(id, ',' ORDER BY rank) AS evidence_ids FROM ranked WHERE rank <= 3 GROUP BY doc_id, ordinal),
-prepared AS (
-  SELECT c.*, b.score, b.best_id, b.p_speculative, s.n_evidence, s.evidence_ids, {_any("c.text", X.SPECULATIVE)} AS c_speculative, {_terms("c.text")} AS c_terms, {_values("c.text")} AS c_values, {_any("c.text", X.NEGATIONS)} AS c_negated,
-    b.p_terms, b.p_values, b.p_negated
-  FROM claims c LEFT JOIN best b USING (doc_id, ordinal) LEFT JOIN shown s USING (doc_id, ordinal)
-),
+def _ladder(supported: str = "0.8", ambiguous: str = "0.4", contradiction: str = "0.55") -> str:
+    """The verdict of rows ``prepared`` with the claim's and the best passage's terms, values and flags."""
+    return f"""
 laddered AS (
   SELECT *, CASE WHEN type IN ('recommendation', 'unknown') THEN 'type' WHEN score IS NULL THEN 'none'
-    WHEN score >= 0.4 AND p_speculative AND NOT c_speculative THEN 'speculative'
-    WHEN score >= 0.55 AND (c_negated <> p_negated OR {_OPPOSED}
+    WHEN score >= {ambiguous} AND p_speculative AND NOT c_speculative THEN 'speculative'
+    WHEN score >= {contradiction} AND (c_negated <> p_negated OR {_OPPOSED}
       OR (len(c_values) > 0 AND len(p_values) > 0 AND len(list_filter(c_values, lambda v: NOT list_contains(p_values, v))) > 0 AND len(list_filter(p_values, lambda v: NOT list_contains(c_values, v))) > 0)) THEN 'contradicted'
-    WHEN score >= 0.8 THEN 'supported' WHEN score >= 0.4 THEN 'partial' ELSE 'weak' END AS rung
+    WHEN score >= {supported} THEN 'supported' WHEN score >= {ambiguous} THEN 'partial' ELSE 'weak' END AS rung
   FROM prepared
 ),
 verdicts AS (
@@ -193,6 +191,18 @@ verdicts AS (
     CASE WHEN rung = 'type' THEN 0 ELSE coalesce(n_evidence, 0) END AS n_shown, CASE WHEN rung = 'type' THEN '' ELSE coalesce(evidence_ids, '') END AS shown_ids
   FROM laddered
 )"""
+
+
+_VERDICTS = f"""
+facts AS (SELECT evidence_ordinal, {_terms("text")} AS p_terms, {_values("text")} AS p_values, {_any("text", X.NEGATIONS)} AS p_negated, {_any("text", X.SPECULATIVE)} AS p_speculative FROM evidence),
+best AS (SELECT r.doc_id, r.ordinal, r.score, r.id AS best_id, f.* FROM ranked r JOIN facts f USING (evidence_ordinal) WHERE rank = 1),
+shown AS (SELECT doc_id, ordinal, count(*) AS n_evidence, string_agg(id, ',' ORDER BY rank) AS evidence_ids FROM ranked WHERE rank <= 3 GROUP BY doc_id, ordinal),
+prepared AS (
+  SELECT c.*, b.score, b.best_id, b.p_speculative, s.n_evidence, s.evidence_ids, {_any("c.text", X.SPECULATIVE)} AS c_speculative, {_terms("c.text")} AS c_terms, {_values("c.text")} AS c_values, {_any("c.text", X.NEGATIONS)} AS c_negated,
+    b.p_terms, b.p_values, b.p_negated
+  FROM claims c LEFT JOIN best b USING (doc_id, ordinal) LEFT JOIN shown s USING (doc_id, ordinal)
+),"""
+_VERDICTS += _ladder()
 _FNV = "lower(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, octet_length(encode(lower({x}))) + 1), lambda i: CAST('0x' || hex(encode(lower({x})))[2 * i - 1 : 2 * i] AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT)))"
 _PRINTS = f"printed AS (SELECT *, {_FNV.format(x='text')} AS fingerprint FROM verdicts)"
 _REPORTS = """
@@ -339,33 +349,49 @@ def governance_signal(spark, sf_dir):
 
 
 _JSON = "replace(CAST(to_json({x}) AS VARCHAR), '/', '\\/')"
+_NUMBER = "CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST(CAST({x} AS DOUBLE) AS VARCHAR) END"
+_EVENTS = f"""
+printed_passages AS (
+  SELECT doc_id, ordinal, string_agg('"' || sha256(text) || '"', ',' ORDER BY rank) AS prints FROM ranked JOIN evidence USING (evidence_ordinal) WHERE rank <= 3 GROUP BY doc_id, ordinal
+),
+counted AS (
+  SELECT doc_id, string_agg('"' || status || '":' || n, ',' ORDER BY status) AS counts FROM (SELECT doc_id, status, count(*) AS n FROM printed GROUP BY doc_id, status) GROUP BY doc_id
+),
+events AS (
+  SELECT doc_id, CAST(2 * ordinal AS BIGINT) AS sequence, 'cpk_claim_extracted' AS type, 2 AS priority,
+    '{{"claimID":"' || claim_id || '","claimType":"' || type || '","fingerprint":"' || fingerprint || '","text":' || {_JSON.format(x="text")} || '}}' AS payload, NULL AS semantic_key FROM printed
+  UNION ALL SELECT doc_id, 2 * ordinal + 1, 'cpk_claim_verified', 3,
+    '{{"claimFingerprint":"' || fingerprint || '","confidence":' || {_NUMBER.format(x="confidence")} || ',"evidenceFingerprints":[' || CASE WHEN rung = 'type' THEN '' ELSE coalesce(prints, '') END || '],"status":"' || status || '"}}',
+    'cpk_claim_verified:' || fingerprint || ':' || status
+  FROM printed LEFT JOIN printed_passages USING (doc_id, ordinal)
+  UNION ALL SELECT doc_id, 2 * n_claims, 'cpk_report_finalized', 3,
+    '{{"policyFingerprint":"{policy_fingerprint(Policy())}","reportFingerprint":"' || report_fingerprint || '","safeToPublish":' || ({_SAFE}) || ',"specVersion":"1.0","statusCounts":{{' || coalesce(counts, '') || '}}}}', NULL
+  FROM reports LEFT JOIN counted USING (doc_id)
+)"""
+
+
+def _traced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Verdicts, computed once though used twice, and their reports."""
+    v = _verdicts(spark, sf_dir, True).persist(StorageLevel.DISK_ONLY)
+    return v, report.reports(v, _documents(spark, sf_dir))
 
 
-@query(_with(*_ALL, _PRINTS, _REPORTS) + f"""
-SELECT doc_id, CAST(2 * ordinal AS BIGINT) AS sequence, 'cpk_claim_extracted' AS type, 2 AS priority, '{{"claimID":"' || claim_id || '","claimType":"' || type || '","fingerprint":"' || fingerprint || '","text":' || {_JSON.format(x="text")} || '}}' AS payload FROM printed
-UNION ALL SELECT doc_id, 2 * ordinal + 1, 'cpk_claim_verified', 3, fingerprint || ':' || status FROM printed
-UNION ALL SELECT doc_id, 2 * n_claims, 'cpk_report_finalized', 3, report_fingerprint FROM reports""")
+@query(_with(*_ALL, _PRINTS, _REPORTS, _EVENTS) + "SELECT doc_id, sequence, type, priority, payload, coalesce(semantic_key, '') AS semantic_key FROM events")
 def provenance_events(spark, sf_dir):
-    v = _verdicts(spark, sf_dir, True)
-    e = provenance.events(v, report.reports(v, _documents(spark, sf_dir)))
-    get = lambda *names: F.concat_ws(":", *[F.get_json_object("payload", f"$.{n}") for n in names])
-    payload = F.when(F.col("type") == "cpk_claim_verified", get("claimFingerprint", "status")).when(F.col("type") == "cpk_report_finalized", get("reportFingerprint")).otherwise(F.col("payload"))
-    return e.select("doc_id", "sequence", "type", "priority", payload.alias("payload"))
+    return provenance.events(*_traced(spark, sf_dir)).select("doc_id", "sequence", "type", "priority", "payload", F.coalesce("semantic_key", F.lit("")).alias("semantic_key"))
 
 
 @query(_with(_CTE) + """, n AS (SELECT doc_id, count(*) AS n FROM claims GROUP BY doc_id)
 SELECT doc_id, CAST(2 * ordinal AS BIGINT) AS source_sequence, CAST(2 * ordinal + 1 AS BIGINT) AS target_sequence, 'verifiedBy' AS type FROM claims
 UNION ALL SELECT doc_id, 2 * ordinal + 1, 2 * n, 'derivedFrom' FROM claims JOIN n USING (doc_id)""")
 def provenance_edges(spark, sf_dir):
-    v = _verdicts(spark, sf_dir, True)
-    return provenance.edges(v, report.reports(v, _documents(spark, sf_dir)))
+    return provenance.edges(*_traced(spark, sf_dir))
 
 
 @query(_with(_CTE) + """, n AS (SELECT d.doc_id, count(c.ordinal) AS n FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN claims c USING (doc_id) GROUP BY d.doc_id)
 SELECT doc_id, CAST(2 * n + 1 AS INTEGER) AS n_events, sha1(repeat('cpk_claim_extracted:attestra|cpk_claim_verified:attestra|', n) || 'cpk_report_finalized:attestra|') AS run_fingerprint FROM n""")
 def run_fingerprints(spark, sf_dir):
-    v = _verdicts(spark, sf_dir, True)
-    return provenance.runs(provenance.events(v, report.reports(v, _documents(spark, sf_dir))))
+    return provenance.runs(provenance.events(*_traced(spark, sf_dir)))
 
 
 # --- benchmark metrics
@@ -429,11 +455,11 @@ def extraction_prf(spark, sf_dir):
     return benchmark.precision_recall(benchmark.extraction_results(cases)).select("tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-@query("""SELECT item_id, instr(text, substr(text, 6, 20)) > 0 AS quoted, item_id % 3 <> 1 AS bounded FROM benchmark WHERE length(text) >= 30""")
+@query("""SELECT item_id, coalesce(substr(text, 6, 20) <> '', false) AS quoted, coalesce(length(text) >= 25 AND item_id % 3 <> 1, false) AS bounded FROM benchmark""")
 def gold_span_check(spark, sf_dir):
-    """A quote of each passage, with right bounds, with wrong ones where the id is 1 modulo 3."""
+    """A quote of each passage, with right bounds, with wrong ones where the id is 1 modulo 3; a short passage has none."""
     t = F.col("text")
-    own = _table(spark, sf_dir, "benchmark").filter(F.length("text") >= 30).withColumns({"evidence": F.array(F.struct(F.lit("p").alias("id"), t.alias("text"))), "quote": F.substring("text", 6, 20)})
+    own = _table(spark, sf_dir, "benchmark").withColumns({"evidence": F.array(F.struct(F.lit("p").alias("id"), t.alias("text"))), "quote": F.substring("text", 6, 20)})
     start = F.when(F.col("item_id") % 3 == 1, F.lit(6)).otherwise(F.lit(5))
     span = lambda s, e: F.struct(F.lit("p").alias("evidenceID"), F.col("quote").alias("exactQuote"), s.alias("startUTF16"), e.alias("endUTF16"))
     null = F.lit(None).cast("int")

@@ -1,10 +1,17 @@
-"""Markdown of one report or one benchmark, on the driver over collected rows."""
+"""Markdown of reports, as a column or from collected rows, and of one benchmark.
+
+Fixed values: headings, labels and table heads below are the format's own.
+"""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from attestra.operators.benchmark import Report
+from attestra.operators.report import approved
 from attestra.schemas import APPROVED
 
 
@@ -35,10 +42,39 @@ def proof_report(verdicts: list[dict], title: str = "Claim Report") -> str:
     return "\n".join(out)
 
 
+def proof_reports(verdicts: DataFrame, documents: DataFrame, title: str = "Claim Report") -> DataFrame:
+    """doc_id, markdown: ``proof_report`` of every document as a column; one shuffle by document."""
+    c = F.col
+    whole = lambda x: F.floor(x * 100 + 0.5).cast("string")  # noqa: E731  (rates are not negative)
+    lines = lambda *xs: F.array_join(F.array(*xs), "\n")
+    match = lambda e: lines(F.concat(F.lit("- `"), e["id"], F.lit("` "), e["source"], F.lit(" — "), whole(e["score"]), F.lit("% term coverage")), F.concat(F.lit("  > "), _one_line(e["text"])))
+    head = F.concat(F.lit("## ["), F.upper("status"), F.lit("] "), c("text"))
+    kind = F.concat(F.lit("Type: `"), c("type"), F.lit("` · Fingerprint: `"), c("fingerprint"), F.lit("`"))
+    block = F.array_join(F.concat(F.array(head, F.lit(""), kind, F.lit(""), c("explanation")), F.transform("evidence", match), F.array(F.lit(""))), "\n")
+    blocks = verdicts.select("doc_id", F.struct("ordinal", block.alias("block"), approved(c("status")).alias("good")).alias("b")).groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    every = documents.select("doc_id").distinct().join(blocks, "doc_id", "left")
+    n, good = F.coalesce(F.size("b"), F.lit(0)), F.coalesce(F.size(F.filter("b", lambda b: b["good"])), F.lit(0))
+    n, good = F.greatest(n, F.lit(0)), F.greatest(good, F.lit(0))
+    rate = F.when(n > 0, good / n).otherwise(0.0)
+    first = lines(
+        F.lit(f"# {title}"), F.lit(""), F.concat(F.lit("**Publish status:** "), F.when((n > 0) & (n == good), "PASS").otherwise("BLOCKED")),
+        F.concat(F.lit("**Supported claims:** "), whole(rate), F.lit("% ("), good.cast("string"), F.lit("/"), n.cast("string"), F.lit(")")), F.lit(""),
+    )
+    return every.select("doc_id", F.array_join(F.concat(F.array(first), F.coalesce(F.transform("b", lambda b: b["block"]), F.array().cast("array<string>"))), "\n").alias("markdown"))
+
+
+def _one_line(text: Column) -> Column:
+    return F.replace(text, F.lit("\n"), F.lit(" "))
+
+
 def _table(head: str, rows: list[str], right: int) -> list[str]:
     return [head, "| --- |" + " ---: |" * right, *rows]
 
 
+def calibration_line(b: dict) -> str:
+    return f"| {fixed(b['lower'], 1)}–{fixed(b['upper'], 1)} | {b['n_cases']} | {fixed(b['mean_confidence'], 2)} | {percent(b['exact_rate'])} |"
+
+
 def benchmark_report(r: Report, title: str = "Benchmark", command: str = "attestra benchmark <corpus> --release") -> str:
     m, x, g, q = r.m, r.extraction, r.gate, r.release
     least = lambda name, value, bound: f"| {name} | {percent(value)} | ≥ {percent(bound)} |"
@@ -69,7 +105,7 @@ def benchmark_report(r: Report, title: str = "Benchmark", command: str = "attest
     ], 2)
     out += ["", f"Required challenge coverage: {q.cases_per_tag}+ cases each for {', '.join(sorted(q.tags))}.", "", "Release blockers:", *([f"- {f}" for f in r.release_failures] or ["- None."])]
     out += ["", "## Per-category outcomes", "", *_table("| Category | Cases | Exact | Dangerous approvals |", [f"| {k} | {c['n_cases']} | {c['n_exact']} ({percent(c['exact_rate'])}) | {c['n_dangerous']} |" for k, c in sorted(r.categories.items())], 3)]
-    bins = [f"| {fixed(b['lower'], 1)}–{fixed(b['upper'], 1)} | {b['n_cases']} | {fixed(b['mean_confidence'], 2)} | {percent(b['exact_rate'])} |" for b in r.bins if b["n_cases"]]
+    bins = [calibration_line(b) for b in r.bins if b["n_cases"]]
     out += ["", "## Calibration", "", *_table("| Confidence | Cases | Avg confidence | Exact-match rate |", bins, 3)]
     if r.mismatches:
         out += ["", "## Verdict mismatches", "", *[f"- `{c['id']}` [{c['category']}]: expected `{c['expected']}`, predicted `{c['predicted']}`" for c in r.mismatches]]

@@ -61,6 +61,7 @@ class Policy:
             raise ValueError(f"maximumEvidenceMatches must be non-negative: {self.maximum_evidence}")
 
 
+# The numbers of the two gates.
 @dataclass(frozen=True)
 class Gate:
     """What a benchmark has to reach on a development corpus, and to ship."""

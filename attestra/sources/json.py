@@ -24,9 +24,19 @@ def passages(array: Column) -> Column:
     return F.transform(array, lambda e: F.struct(e["id"].alias("id"), e["source"].alias("source"), source_type(e["sourceType"]).alias("sourceType"), e["text"].alias("text")))
 
 
+def parsed(rows: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+    """Rows whose JSON string ``column`` is decoded in place, malformed ones an error."""
+    return rows.withColumn(column, F.from_json(column, schema, {"mode": "FAILFAST"}))
+
+
 def inputs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Documents and evidence of verify inputs, one file a document."""
-    rows = read(spark, path, S.INPUT).select(F.input_file_name().alias("doc_id"), "document", passages(F.col("evidence")).alias("evidence"))
+    return split_inputs(read(spark, path, S.INPUT).withColumn("doc_id", F.input_file_name()))
+
+
+def split_inputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and evidence of rows of doc_id, document, evidence."""
+    rows = rows.select("doc_id", "document", passages(F.col("evidence")).alias("evidence"))
     docs = rows.select("doc_id", F.col("document").alias("text"))
     e = rows.select(F.col("doc_id").alias("scope"), F.posexplode("evidence").alias("evidence_ordinal", "e"))
     return docs, e.select("scope", "evidence_ordinal", "e.id", "e.source", F.col("e.sourceType").alias("source_type"), "e.text")
@@ -34,7 +44,10 @@ def inputs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def corpus(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
     """A benchmark corpus: version, name and metadata, claim cases, extraction cases."""
-    rows = read(spark, path, S.CORPUS)
+    return split_corpus(read(spark, path, S.CORPUS))
+
+
+def split_corpus(rows: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
     head = rows.select("version", "name", "metadata").first().asDict(recursive=True)
     cases = rows.select(F.explode("claimCases").alias("c")).select("c.*").withColumn("evidence", passages(F.col("evidence")))
     return head, cases, rows.select(F.explode("extractionCases").alias("c")).select("c.*")

@@ -149,3 +149,40 @@ def test_categories_and_first_values(spark):
     df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a")], "k string, at int, v string")
     assert A.first_values(df, "k", "at").first()["v"] == "a"
     assert df.select(A.category(F.lit("ambiguous"))).first()[0] == "notVerifiable"
+
+
+def test_annotation_round_trip_through_files(spark, tmp_path, capsys):
+    """prepare -> the reviewers' forms -> audit -> adjudication -> finalize -> benchmark, each from the files of the one before."""
+    from attestra import cli
+
+    corpus, ledger = corpus_and_ledger(spark, 40)
+    for name, df in (("corpus", corpus), ("ledger", ledger)):
+        (tmp_path / f"{name}.json").write_text(df.toJSON().first())
+    run = tmp_path / "run"
+    where = [str(tmp_path / "corpus.json"), str(tmp_path / "ledger.json"), str(run)]
+    assert cli.main(["annotation", "prepare", *where, "--reviewers", "x 1", "y", "z"], spark) == 0
+    assert cli.main(["prepare", *where, "--reviewers", "x", "y", "z"], spark) == 73 and cli.main(["prepare", where[0], where[1], str(tmp_path / "q"), "--reviewers", "a b", "a-b", "c"], spark) == 73
+    one = lambda path: next(p for p in path.iterdir() if p.name.startswith("part-"))
+    of = {a["assignmentID"]: a["candidateID"] for a in json.loads(one(run / "manifest").read_text())["assignments"]}
+    assert len(of) == 120 and [len(one(run / "packets" / n).read_text().splitlines()) for n in ("x-1", "y", "z")] == [40] * 3
+
+    def filled(name, decide, only=None):
+        form = json.loads(one(run / "forms" / name).read_text())
+        assert len(form["responses"]) == 40 and all(r["status"] is None for r in form["responses"])
+        form["responses"] = [r for r in form["responses"] if only is None or of[r["assignmentID"]] in only]
+        for r in form["responses"]:
+            status = decide(int(of[r["assignmentID"]][1:]))
+            r |= {"status": status, "approvalEligible": status == "directlySupported", "rationale": "because", "evidenceSpans": [] if status == "unsupported" else [{"evidenceID": "p", "exactQuote": TEXT}]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(form))
+        return str(tmp_path / f"{name}.json")
+
+    base = lambda i: "directlySupported" if i % 2 else "unsupported"
+    first, second = filled("x-1", base), filled("y", lambda i: "contradicted" if i == 0 else base(i))
+    assert cli.main(["audit", str(run / "manifest"), first, second], spark) == 0
+    assert "Cohen's kappa: 1.000" in capsys.readouterr().out
+    third = filled("z", lambda i: "partiallySupported", {"c0"})
+    out = tmp_path / "final"
+    assert cli.main(["finalize", str(run / "manifest"), first, second, third, str(out)], spark) == 0 and cli.main(["finalize", str(run / "manifest"), first, second, third, str(out)], spark) == 73
+    assert cli.main(["benchmark", str(out), "--json"], spark) == 3
+    got = json.loads(capsys.readouterr().out)
+    assert got["metrics"]["n_cases"] == 40 and got["confusion"]["partiallySupported>directlySupported"] == 1 and got["confusion"]["directlySupported>directlySupported"] == 20

@@ -82,3 +82,12 @@ def test_types(spark):
 def test_null_and_empty_documents(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert extract.claims(df).count() == 0
+
+
+def test_running_sums_and_many_sentences(spark):
+    for n in (0, 1, 2, 3, 10, 1000):
+        got = spark.range(1).select(extract.running_sums(F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda i: i.cast("int")) if n else F.array().cast("array<int>")).alias("x")).first()["x"]
+        assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+    text = ("The court granted it. " * 20000).strip()
+    last = extract.sentence_rows(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy(F.desc("sentence_ordinal")).first()
+    assert (last["sentence_ordinal"], last["start_utf16"], last["end_utf16"]) == (19999, 22 * 19999 - 1, len(text))

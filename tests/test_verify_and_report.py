@@ -127,3 +127,23 @@ def test_pipeline_with_a_custom_verifier(spark):
     custom = row_verifier(lambda c, ps: ("directlySupported" if len(ps) else "unsupported", 2.0, "counted"))
     verdicts, reports = Pipeline(verifier=custom).run(docs, evidence)
     assert [r["confidence"] for r in verdicts.collect()] == [1.0, 1.0] and reports.first()["safe_to_publish"]
+
+
+def test_bm25_in_place_equals_the_join(spark, monkeypatch):
+    texts = ["the court granted the motion", "a motion to deny", "the court court court", "rent was paid", "", "the motion the court"]
+    evidence = spark.createDataFrame([(s, i, f"p{i % 4}", "s", "unknown", t) for s in ("a", "b") for i, t in enumerate(texts)], "scope string, evidence_ordinal int, id string, source string, source_type string, text string")
+    own = spark.createDataFrame([("a", 1, 0, "The court granted the motion."), ("b", 2, 0, "the the rent"), ("a", 3, 1, "nothing known"), ("c", 4, 0, "court"), ("b", 5, 2, None)], "scope string, doc_id long, ordinal int, text string")
+    rows = lambda k: sorted((r["scope"], r["doc_id"], r["rank"], r["id"], r["evidence_ordinal"], round(r["score"], 9)) for r in retrieve.bm25(own, evidence, k).collect())
+    small = {k: rows(k) for k in (0, 1, 2, 10)}
+    monkeypatch.setattr(retrieve, "SENT_WEIGHTS", 0)
+    assert small == {k: rows(k) for k in small} and small[0] == [] and len(small[10]) > 5
+
+
+def test_payloads_of_any_type(spark):
+    from pyspark.sql import Row
+
+    df = spark.createDataFrame([Row(doc_id="d", sequence=0, payload=Row(z=1.0, b=0.25, a='x/"\n', none=None, xs=[Row(k="é", n=2)], m={"q": True, "p": False}))], "doc_id string, sequence int, payload struct<z:double,b:double,a:string,none:string,xs:array<struct<k:string,n:int>>,m:map<string,boolean>>")
+    row = provenance.custom_events(df, "payload", "mine", "telemetry").first()
+    assert (row["type"], row["priority"], row["payload"]) == ("mine", 0, '{"a":"x\\/\\"\\n","b":0.25,"m":{"p":false,"q":true},"xs":[{"k":"é","n":2}],"z":1}')
+    with pytest.raises(KeyError):
+        provenance.custom_events(df, "payload", "mine", "urgent")
