@@ -97,6 +97,16 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def by_bytes(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in portions of about ``most`` bytes of text; a longer text is one by itself."""
+    _, offsets = flat(batch.column("text"))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (splitmix64's finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -150,10 +160,11 @@ def unpack_ints(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
-def packed_documents(docs: DataFrame, carried: str | None = None) -> DataFrame:
+def packed_documents(docs: DataFrame, carried: str | None = None, each: int = BUCKET_BYTES) -> DataFrame:
     """bucket, packed: rows of (bucket, doc_id, text) as compressed blobs, one for each bucket and portion of a task's input, so that texts cross a shuffle at half the size.
 
     carried: a struct column that goes along, as the blob ``rest`` (Arrow, compressed).
+    each: bytes of a bucket; a task holds four times as many before it lets go.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +193,7 @@ def packed_documents(docs: DataFrame, carried: str | None = None) -> DataFrame:
                     if len(own):
                         rest.setdefault(int(buckets[own[0]]), []).append(batch.column(carried).take(pa.array(own)))
             size += len(raw)
-            if size > 4 * BUCKET_BYTES:
+            if size > 4 * each:
                 yield flush()
                 held, rest, size = {}, {}, 0
         if held:

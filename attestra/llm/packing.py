@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import bucket_count, checkpoint, strings, texts
+from attestra.llm.common import bucket_count, by_bytes, checkpoint, strings, texts
 
 #: Words, and runs of letters or signs within words, kept in a worker's memos before one is emptied.
-MEMO_WORDS, MEMO_PARTS = 400_000, 800_000
+MEMO_WORDS, MEMO_PARTS = 200_000, 300_000
 #: White space to Python alone, and a letter whose lower case depends on its neighbours.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3")
 #: Pieces in one bucket of the two-level ranks, and the fewest buckets.
@@ -153,8 +153,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0)
         bpe = _codec(path)
         end = int(separator).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
+            for part in by_bytes(batch):
+                rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), bpe.encode_batch(strings(part.column("text"))), strict=True):
                     ids += end
                     rows += [(doc_id, k, k * capacity, len(x) // 4, zlib.crc32(x)) for k, i in enumerate(range(0, len(ids), 4 * capacity)) if (x := ids[i : i + 4 * capacity])]
