@@ -1,9 +1,13 @@
 """Quality rules by weak supervision, in DataFrame operations alone.
 
 Each rule looks at one measure of a text and votes good (1), bad (-1) or abstains
-(0).  Expectation-maximisation over the table of vote patterns estimates how often
-each rule abstains, and is right, in either class; the posterior probability of the
-good class decides, in place of a demand that every rule passes.
+(0).  Expectation-maximisation over the table of vote patterns estimates the share of
+good documents and how often each rule abstains, and is right, in either class; the
+posterior probability of the good class decides, in place of a demand that every rule
+passes.  Beliefs count as much as PSEUDO documents, so they vanish in a corpus.  One
+thing data alone cannot tell, what a sign of junk means that never occurs together with
+another: there a bound holds, that such a sign is wrong about at most FALSE_ALARMS of
+the good documents.
 
 The pattern table has at most 3^6 = 729 rows whatever the input, so only it reaches
 the driver; measures are computed once, narrowly, row by row.  Windows of three
@@ -18,6 +22,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +31,8 @@ from attestra.llm.common import checkpoint, text_key, texts
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Posterior probability of the good class from which a document is kept: the votes must not leave it below the prior.
-KEEP_FROM = 0.8
+#: Posterior probability of the good class from which a document is kept.
+KEEP_FROM = 0.5
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -113,33 +118,51 @@ def votes() -> dict[str, Column]:
 TWO_SIDED = ({-1: 0.2, 0: 0.15, 1: 0.65}, {-1: 0.05, 0: 0.15, 1: 0.8})
 ONE_SIDED = ({-1: 0.4, 0: 0.6, 1: 1e-9}, {-1: 0.005, 0: 0.995, 1: 1e-9})
 BELIEFS = (TWO_SIDED,) * 3 + (ONE_SIDED,) * 3
-#: Share of good documents, a parameter as is usual where rules alone cannot settle it; beliefs weigh as much as this part of the data.
-BALANCE, WEIGHT = 0.8, 1.0
+#: Share of good documents to begin with, documents that beliefs count as, and the bound on false alarms of one-sided rules.
+BALANCE, PSEUDO, FALSE_ALARMS = 0.8, 50.0, 0.0002
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], beliefs: tuple = BELIEFS, balance: float = BALANCE, weight: float = WEIGHT, rounds: int = 40) -> dict[tuple[int, ...], float]:
-    """Expectation-maximisation over vote patterns and their counts: the posterior of the good class by pattern.
+@dataclass
+class Estimate:
+    """The posterior of the good class by pattern, the share of good documents, and each rule's rate of each vote by class (0 bad, 1 good)."""
+
+    posterior: dict[tuple[int, ...], float]
+    balance: float
+    rates: list[list[dict[int, float]]]
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], beliefs: tuple = BELIEFS, balance: float = BALANCE, pseudo: float = PSEUDO, false_alarms: float = FALSE_ALARMS, rounds: int = 100) -> Estimate:
+    """Expectation-maximisation over vote patterns and their counts.
 
     Votes are independent given the class, and each rule has its own rate of each vote
-    in each class.  The beliefs start the rates and stay in every round as a prior,
-    which settles which class is the good one and keeps rates above zero.
+    in each class.  The beliefs start the rates, which settles which class is the good
+    one, and stay as ``pseudo`` documents of either class, which keeps rates above zero.
+    Rules that are believed never to vote good are the one-sided ones, to which the
+    bound applies.
     """
     rate = [[dict(b[side]) for b in beliefs] for side in (0, 1)]
+    one_sided = [j for j, b in enumerate(beliefs) if b[1][1] < 1e-6]
+    whole = sum(c for _, c in patterns)
     post: dict[tuple[int, ...], float] = {}
+    share = balance
     for _ in range(rounds):
         for p, _c in patterns:
-            odds = [1 - balance, balance]
+            odds = [1 - share, share]
             for side in (0, 1):
                 for j, v in enumerate(p):
                     odds[side] *= rate[side][j][v]
             post[p] = odds[1] / (odds[0] + odds[1])
+        share = (sum(c * post[p] for p, c in patterns) + pseudo * balance) / (whole + pseudo)
         for side in (0, 1):
-            mass = sum(c * (post[p] if side else 1 - post[p]) for p, c in patterns) or 1e-9
+            mass = sum(c * (post[p] if side else 1 - post[p]) for p, c in patterns)
             for j, b in enumerate(beliefs):
                 for v in (-1, 0, 1):
                     seen = sum(c * (post[p] if side else 1 - post[p]) for p, c in patterns if p[j] == v)
-                    rate[side][j][v] = (seen + weight * mass * b[side][v]) / (mass * (1 + weight))
-    return post
+                    rate[side][j][v] = (seen + pseudo * b[side][v]) / (mass + pseudo)
+        for j in one_sided:
+            if rate[1][j][-1] > false_alarms:
+                rate[1][j] = {-1: false_alarms, 0: 1 - false_alarms, 1: rate[1][j][1]}
+    return Estimate(post, share, rate)
 
 
 def judge(docs: DataFrame, *keys: str, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -148,7 +171,7 @@ def judge(docs: DataFrame, *keys: str, keep_from: float = KEEP_FROM) -> DataFram
     voted = checkpoint(measures(docs, *keys).withColumns({f"vote_{k}": v for k, v in rules.items()}))
     names = [f"vote_{k}" for k in rules]
     rows = voted.groupBy(*names).count().collect()  # at most 3 to the number of rules
-    post = estimate(sorted((tuple(r[n] for n in names), r["count"]) for r in rows))
+    post = estimate(sorted((tuple(r[n] for n in names), r["count"]) for r in rows)).posterior
     table = voted.sparkSession.createDataFrame([(*p, x) for p, x in post.items()], ", ".join(f"{n} int" for n in names) + ", quality_probability double")
     out = voted.join(F.broadcast(table), names)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= keep_from)).drop(*names)
