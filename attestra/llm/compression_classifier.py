@@ -6,14 +6,14 @@ says which class it resembles.  A logistic curve, fitted on labelled texts that
 dictionaries have not seen, turns the difference (and the better of the two ratios,
 which shows how repetitive the text is) into a probability of label 1.
 
-The model is fitted on a bounded sample of labelled rows: ``sample`` texts of each
-class, the first by a hash of doc_id.  Scoring is narrow: each whole text meets the
+The model is fitted on a bounded sample of labelled rows: ``sample`` documents of each
+class and ``sample_bytes`` of their texts, the first by a hash of doc_id.  Scoring is narrow: each whole text meets the
 model in its own task, and only the model (two dictionaries, four weights) is sent.
 
 Defined results: a null or empty text scores the base rate of label 1 in the sample;
 a label other than 0 or 1 is ignored; of several labels of a doc_id the smallest
-counts; a class without labels gives the other class's base rate to all; columns of
-other names are ignored.
+counts; a class without labels gives the other class's base rate to all; null doc_ids are scored and
+never learned from; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import strings, texts
+from attestra.llm.common import checkpoint, strings, texts
 
-#: Labelled texts of each class that a fit uses at most, and bytes of a dictionary.
-SAMPLE, DICTIONARY_BYTES, LEVEL = 1500, 16384, 3
+#: Labelled documents of each class that a fit uses at most, bytes of their texts, and bytes of a dictionary.
+SAMPLE, SAMPLE_BYTES = 1500, 32 << 20
+DICTIONARY_BYTES, LEVEL = 16384, 3
 
 
 @dataclass(frozen=True)
@@ -82,13 +83,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
     return w / scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, dictionary_bytes: int = DICTIONARY_BYTES, level: int = LEVEL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, level: int = LEVEL) -> Model:
     """training: the rows of ``labels`` that may be learned from."""
     import zstandard
 
     known = labels.filter(training & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     picked = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    rows = texts(docs).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").collect()  # at most 2 x sample rows
+    found = checkpoint(texts(docs).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").withColumn("_hash", F.xxhash64("doc_id", "text")))
+    key = ["quality", "doc_id", "_hash"]
+    sizes = found.groupBy(*key).agg(F.max(F.octet_length("text")).cast("long").alias("_size"))  # without texts; repeated rows count once
+    before = F.sum("_size").over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "_hash"))
+    within = sizes.withColumn("_sum", before).filter(F.col("_sum") <= sample_bytes).drop("_size", "_sum")
+    rows = found.dropDuplicates(key).join(within, key).collect()  # at most 2 x sample_bytes
     counts = known.groupBy("quality").count().collect()
     total = {r["quality"]: r["count"] for r in counts}
     base = total.get(1, 0) / sum(total.values()) if total else 0.5
