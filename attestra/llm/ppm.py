@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import NO_ID, bucket_count, bucketed, by_part, checkpoint, mix64, pack_ints, pack_sorted, packed_documents, text_bytes, unpack_ints, unpack_sorted, unpack_structs, unpack_texts
+from attestra.llm.common import BUCKET_BYTES, NO_ID, bucket_count, bucketed, by_part, checkpoint, mix64, pack_ints, pack_sorted, packed_documents, text_bytes, unpack_ints, unpack_sorted, unpack_structs, unpack_texts
 
 ORDER = 5
 #: Bytes that no UTF-8 text holds: before a text's first symbol, and its end.
@@ -291,7 +291,7 @@ def _scores(order: int, parts: int, n_train: int, n_known: int, ends: int):
 _SCORED = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, training: Column, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (words' counts), score (the PPM model).
 
     training: which documents the model and the counts learn from.
@@ -300,9 +300,9 @@ def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
         raise ValueError(f"order must be 1 to 6: {order}")
     flags = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), flags.alias("flags"))
-    n = bucket_count(text_bytes(own))
+    n = bucket_count(text_bytes(own), bucket_bytes)
     parts = max(4, n // 2)
-    rows = packed_documents(bucketed(own, n), "flags")
+    rows = packed_documents(bucketed(own, n), "flags", bucket_bytes)
     runs = checkpoint(rows.groupBy("bucket").applyInArrow(_runs(order, parts), "kind int, part int, bucket int, keys binary, counts binary, total long"), release=True)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import NO_ID, bucket_count, bucketed, by_part, checkpoint, mix64, numbered, pack_ints, pack_sorted, packed_documents, text_bytes, unnumbered, unpack_ints, unpack_sorted, unpack_structs, unpack_texts
+from attestra.llm.common import BUCKET_BYTES, NO_ID, bucket_count, bucketed, by_part, checkpoint, mix64, numbered, pack_ints, pack_sorted, packed_documents, text_bytes, unnumbered, unpack_ints, unpack_sorted, unpack_structs, unpack_texts
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
@@ -541,11 +541,11 @@ def _kept(columns: list[str]):
     return keep
 
 
-def _bucketed(own: DataFrame, hot: int) -> tuple[DataFrame, int]:
+def _bucketed(own: DataFrame, hot: int, each: int) -> tuple[DataFrame, int]:
     """For each bucket what its suffixes were answered, and the number of buckets; own: doc_id, text."""
-    n = bucket_count(text_bytes(own))
+    n = bucket_count(text_bytes(own), each)
     parts = max(4, n // 2)
-    rows = packed_documents(bucketed(own, n))
+    rows = packed_documents(bucketed(own, n), each=each)
     prints = checkpoint(rows.groupBy("bucket").applyInArrow(_prints(parts, n), _RUN_SCHEMA), release=True)
     sample = sorted(x[i : i + GRAM] for (x,) in prints.filter("kind = 1").select("a").collect() for x in [bytes(x)] for i in range(0, len(x), GRAM))  # a few for each range
     splitters = sorted(set(sample[len(sample) * k // parts] for k in range(1, parts))) if sample else []
@@ -555,26 +555,26 @@ def _bucketed(own: DataFrame, hot: int) -> tuple[DataFrame, int]:
     return runs.filter("kind = 2").unionByName(answers), n
 
 
-def removal(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def removal(docs: DataFrame, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of each document."""
     own = numbered(docs)
-    answers, n = _bucketed(own, hot)
-    rows = packed_documents(bucketed(own, n))
+    answers, n = _bucketed(own, hot, bucket_bytes)
+    rows = packed_documents(bucketed(own, n), each=bucket_bytes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return unnumbered(rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_digests(), schema), "doc_id")
 
 
-def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The documents with repeated passages cut from ``text``; a character loses all its bytes or none.
 
     Rows travel whole, so that a null or repeated doc_id makes no difference; a null
     text stays null.
     """
     own = numbered(docs)
-    answers, n = _bucketed(own, hot)
+    answers, n = _bucketed(own, hot, bucket_bytes)
     columns = docs.columns
     rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else docs[c].alias(c) for c in columns], docs["text"].isNull().alias("_absent")).alias("rest")
     whole = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), rest)
-    rows = packed_documents(bucketed(whole, n), "rest")
+    rows = packed_documents(bucketed(whole, n), "rest", bucket_bytes)
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields])
     return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_kept(columns), schema)

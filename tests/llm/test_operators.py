@@ -207,8 +207,48 @@ def test_quality_rules(docs, rows, empty):
 
 def test_estimate_finds_the_bad_class():
     clean, junk = (1, 1, 1, 0, 0, 0), (1, 1, 1, -1, 0, 0)
-    post = quality_rules.estimate([(clean, 900), (junk, 60), ((1, 1, -1, 0, -1, -1), 40)])
-    assert post[clean] > 0.9 > 0.8 > post[junk] and quality_rules.estimate([]) == {}
+    post = quality_rules.estimate([(clean, 900), (junk, 60), ((1, 1, -1, 0, -1, -1), 40)]).posterior
+    assert post[clean] > 0.9 > 0.5 > post[junk] and quality_rules.estimate([]).posterior == {}
+
+
+def test_estimate_recovers_planted_accuracies():
+    rng = np.random.default_rng(5)
+    n, share = 60000, 0.7
+    good = rng.random(n) < share
+    two = [((0.5, 0.2, 0.3), (0.1, 0.1, 0.8)), ((0.3, 0.3, 0.4), (0.05, 0.15, 0.8)), ((0.6, 0.1, 0.3), (0.02, 0.08, 0.9))]
+    one = [((0.5, 0.5), (0.0001, 0.9999)), ((0.3, 0.7), (0.0001, 0.9999)), ((0.4, 0.6), (0.0001, 0.9999))]
+    columns = [np.where(good, rng.choice([-1, 0, 1], n, p=g), rng.choice([-1, 0, 1], n, p=b)) for b, g in two] + [np.where(good, rng.choice([-1, 0], n, p=g), rng.choice([-1, 0], n, p=b)) for b, g in one]
+    patterns = sorted(collections.Counter(map(tuple, np.stack(columns, axis=1).tolist())).items())
+    e = quality_rules.estimate(patterns, rounds=300)
+    assert abs(e.balance - share) < 0.02
+    for j, (b, g) in enumerate(two):
+        for side, want in ((0, b), (1, g)):
+            assert all(abs(e.rates[side][j][v] - w) < 0.03 for v, w in zip((-1, 0, 1), want, strict=True)), (j, side)
+    for j, (b, g) in enumerate(one, 3):
+        assert abs(e.rates[0][j][-1] - b[0]) < 0.03 and e.rates[1][j][-1] <= 0.0002
+    wrong = sum(c * (1 - e.posterior[p] if e.posterior[p] >= 0.5 else e.posterior[p]) for p, c in patterns) / n
+    assert wrong < 0.1
+
+
+def test_verdicts_equal_an_estimate_row_by_row(docs):
+    """The same model without the table of patterns, over a matrix of votes."""
+    rules = quality_rules.votes()
+    rows = quality_rules.measures(docs).select("doc_id", "base_failed", *[c.alias(k) for k, c in rules.items()]).collect()
+    v = np.array([[r[k] for k in rules] for r in rows])
+    rate = np.array([[[b[s][x] for x in (-1, 0, 1)] for b in quality_rules.BELIEFS] for s in (0, 1)])
+    first, share = rate.copy(), 0.8
+    for _ in range(100):
+        odds = np.array([(1 - share) * np.prod([rate[0, j, v[:, j] + 1] for j in range(6)], axis=0), share * np.prod([rate[1, j, v[:, j] + 1] for j in range(6)], axis=0)])
+        post = odds[1] / odds.sum(axis=0)
+        share = (post.sum() + 50 * 0.8) / (len(v) + 50)
+        for s, w in ((0, 1 - post), (1, post)):
+            for j in range(6):
+                rate[s, j] = (np.array([w[v[:, j] == x].sum() for x in (-1, 0, 1)]) + 50 * first[s, j]) / (w.sum() + 50)
+        for j in (3, 4, 5):
+            if rate[1, j, 0] > 0.0002:
+                rate[1, j, :2] = 0.0002, 0.9998
+    want = {r["doc_id"]: (not r["base_failed"] and x >= 0.5, round(float(x), 9)) for r, x in zip(rows, post, strict=True)}
+    assert {r["doc_id"]: (r["kept"], round(r["quality_probability"], 9)) for r in quality_rules.judge(docs).collect()} == want
 
 
 # --- 5
@@ -652,3 +692,60 @@ def test_stages_with_null_and_repeated_ids(odd, odd_rows):
     assert left.columns == odd.columns
     a, b, c, d, e = (odd_rows[i][1] for i in (0, 2, 4, 10, 9))
     assert order([(r["doc_id"], r["text"]) for r in left.collect()]) == order([(5, a), (5, b), (5, ""), (None, c), (9, odd_rows[8][1]), (3, e), (7, d)])
+
+
+# --- many buckets, long texts
+
+
+def test_many_buckets_give_the_same_results(docs, rows, spark):
+    """The exchange between buckets and parts, which one bucket never reaches."""
+    want = {d: (len((t or "").encode()) - len(x), hashlib.sha256(x).hexdigest()) for (d, t, *_), (_, x) in zip(rows, removed_bytes([r[:2] for r in rows]), strict=True)}
+    for hot in (2, 20000):
+        got = substring_dedup.removal(docs, hot=hot, bucket_bytes=3000).collect()
+        assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in got} == want
+    scores = lambda df: {r["doc_id"]: (r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 4)) for r in df.collect()}
+    assert scores(ppm.score(docs, fold(5) != 1, bucket_bytes=3000)) == scores(ppm.score(docs, fold(5) != 1))
+    found = lambda df: sorted(tuple(r) for r in df.collect())
+    assert found(fuzzy_passages.passages(docs, bucket_bytes=3000)) == found(fuzzy_passages.passages(docs)) != []
+
+
+def test_texts_longer_than_a_chunk(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, n))
+    a, b = words(220_000), words(120_000)
+    at = (1 << 20) - 100  # the copy lies across the edge of a chunk
+    text = b[:at] + "~" + a[at : at + 400] + "~" + b[at:]
+    df = spark.createDataFrame([(1, a), (2, text), (3, "short")], "doc_id long, text string")
+    got = by_id(substring_dedup.removal(df))
+    assert len(a) > 2 << 20 < 2 * len(text) and [got[d]["n_removed"] for d in (1, 2, 3)] == [0, 400, 0]
+    assert got[2]["kept_sha256"] == hashlib.sha256((b[:at] + "~~" + b[at:]).encode()).hexdigest()
+    score = by_id(ppm.score(df, F.col("doc_id") != 3, order=2))
+    assert score[1]["n_tokens"] == 220_001 and all(-1e8 < r["score"] < 0 for r in score.values())
+    pieces = packing.pieces(df, P.path("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("most")).collect()
+    assert all(r["most"] <= 2048 for r in pieces) and len(pieces) == 3
+    fps = by_id(simhash.near_duplicates(df))
+    assert fps[1]["fingerprint"] == f"{brute_print(a):016x}"
+
+
+def test_classifier_scores_equal_the_formula(spark):
+    import zstandard
+
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(40, 90))) + "."
+    bad = lambda: " ".join(rng.choice(["CLICK", "$$$", "win", "now!!", "free"]) for _ in range(rng.randint(20, 60)))
+    texts = [(i, good() if i % 2 else bad()) for i in range(200)] + [(900, ""), (901, None), (None, good())]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("quality", F.lit("clash")).withColumn("_hash", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(120)], "doc_id long, quality int, text string")
+    model = compression_classifier.fit(df, labels, F.col("doc_id") < 100)
+    sizes = [[len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_dict_id=False).compress((t or "").encode())) for d in model.dictionaries] for _, t in texts]
+    got = compression_classifier.score(df, model).collect()
+    want = []
+    for (i, t), (x, y) in zip(texts, sizes, strict=True):
+        n = max(1, len((t or "").encode()))
+        z = sum(w * f for w, f in zip(model.weights, (1, 100 * (x - y) / n, (x - y) / math.sqrt(n), min(x, y) / n, math.log(n)), strict=True))
+        want.append((i, round(1 / (1 + math.exp(-z)) if t else model.base, 6)))
+    assert order([(r["doc_id"], round(r["score"], 6)) for r in got]) == order(want)
+    held = {r["doc_id"]: r["score"] for r in got if r["doc_id"] is not None and 120 <= r["doc_id"] < 200}
+    assert sum((s > 0.5) == (i % 2 == 1) for i, s in held.items()) >= 0.9 * len(held)
+    few = compression_classifier.fit(df, labels, F.col("doc_id") < 100, sample_bytes=4000)
+    assert 0 < len(few.dictionaries[0]) + len(few.weights) and compression_classifier.fit(df, labels.limit(0), F.lit(True)).weights == ()
