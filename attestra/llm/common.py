@@ -39,13 +39,28 @@ def checkpoint(df: DataFrame, release: bool = False) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestra-"))
     out = df.checkpoint()
     del df
-    for _ in range(2 * release):
-        gc.collect()
-        time.sleep(0.2)  # the gateway lets go of Java objects a moment after Python does
-        spark.sparkContext._jvm.System.gc()  # type: ignore[union-attr]
+    if release:
+        _let_go(spark)
     return out
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Shuffles that no DataFrame needs any more are found by the driver's garbage collection.
+
+    Listeners hold on to a query until they have seen its end, so their queue comes
+    first; the gateway lets go of Java objects a moment after Python does.
+    """
+    context = spark.sparkContext
+    try:
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)  # type: ignore[union-attr]
+    except Exception:  # noqa: BLE001  (a slow listener: files then stay a while longer)
+        pass
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        context._jvm.System.gc()  # type: ignore[union-attr]
+
+
 def texts(docs: DataFrame, *keys: str) -> DataFrame:
     """``doc_id`` and ``text`` (and ``keys``) alone, other columns, also clashing ones, go; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
