@@ -1,0 +1,95 @@
+"""Claims against evidence that every task can hold: postings are sent once, each claim is scored where it is, without a shuffle.
+
+For evidence of a checked size only; the joins of ``retrieve`` and ``verify`` give the
+same rows for evidence of any size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Postings (a term of a passage each) up to which they are sent to every task; some 64 MB.
+SENT = 2_000_000
+
+
+def small(rows: DataFrame) -> bool:
+    return rows.limit(SENT + 1).count() <= SENT
+
+
+class Postings:
+    """Passages of each term; passages are numbered in the order that breaks ties (id in bytes, then place)."""
+
+    def __init__(self, rows: pa.Table):
+        columns = {c: rows.column(c).to_pylist() for c in rows.column_names}
+        kinds = columns.get("source_type") or [None] * rows.num_rows
+        passages = sorted(set(zip(columns["scope"], columns["id"], columns["evidence_ordinal"], kinds, strict=True)), key=lambda p: (str(p[0]), (p[1] or "").encode(), p[2]))
+        number = {p: i for i, p in enumerate(passages)}
+        self.ids = pa.array([p[1] for p in passages], pa.string())
+        self.ordinals = np.array([p[2] for p in passages], np.int64)
+        self.kinds = [p[3] for p in passages]
+        weights = columns.get("w") or [1] * rows.num_rows
+        of: dict = {}
+        for scope, term, name, ordinal, kind, w in zip(columns["scope"], columns["term"], columns["id"], columns["evidence_ordinal"], kinds, weights, strict=True):
+            of.setdefault((scope, term), []).append((number[scope, name, ordinal, kind], w))
+        self.of = {k: (np.array([x[0] for x in v], np.int64), np.array([x[1] for x in v], np.int64)) for k, v in of.items()}
+        self.range: dict = {}
+        for i, p in enumerate(passages):
+            self.range.setdefault(p[0], [i, i])[1] = i + 1
+
+    def allowed(self, pairs: set[tuple[str, str]], kind: str) -> np.ndarray:
+        """Which passages have a source type that may support a claim of this type."""
+        return np.array([(kind, s) in pairs for s in self.kinds], bool)
+
+    def best(self, scope, terms: list[str] | None, limit: int, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and summed weights of the ``limit`` best passages that share a term, the greatest sum first."""
+        found = [p for t in terms or () if (p := self.of.get((scope, t))) is not None]
+        if not found or limit < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low, high = self.range[scope]
+        total, hit = np.zeros(high - low, np.int64), np.zeros(high - low, bool)
+        for places, weights in found:  # a term names a passage once
+            total[places - low] += weights
+            hit[places - low] = True
+        place = np.flatnonzero(hit if mask is None else hit & mask[low:high])
+        if len(place) > 4 * limit:
+            least = np.partition(total[place], len(place) - limit)[len(place) - limit]
+            place = place[total[place] >= least]
+        place = place[np.argsort(-total[place], kind="stable")[:limit]]
+        return place + low, total[place]
+
+
+def best(claims: DataFrame, key: list[str], rows: DataFrame, limit: int, eligible: set[tuple[str, str]] | None = None) -> DataFrame:
+    """key, evidence_ordinal, id, total (long), rank of the ``limit`` best passages of each claim.
+
+    claims: key (with scope), terms, and with ``eligible``, pairs of claim and source
+    type, their type.  rows: scope, term, evidence_ordinal, id and perhaps w (else 1)
+    and source_type, a ``small`` table.
+    """
+    shared = claims.sparkSession.sparkContext.broadcast(rows.toArrow())  # at most SENT rows
+    names = [*key, "terms", *(["type"] if eligible is not None else [])]
+    own = claims.select(*names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*key).schema.fields) + ", evidence_ordinal int, id string, total long, rank int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        postings = Postings(shared.value)
+        masks: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = []
+                kinds = part.column("type").to_pylist() if eligible is not None else [None] * part.num_rows
+                for scope, terms, kind in zip(part.column("scope").to_pylist(), part.column("terms").to_pylist(), kinds, strict=True):
+                    if eligible is not None and kind not in masks:
+                        masks[kind] = postings.allowed(eligible, kind)
+                    found.append(postings.best(scope, terms, limit, masks.get(kind)))
+                claim = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
+                place = np.concatenate([f[0] for f in found])
+                rank = np.concatenate([np.arange(1, len(f[0]) + 1) for f in found])
+                columns = [*(part.column(c).take(pa.array(claim)) for c in key), pa.array(postings.ordinals[place], pa.int32()), postings.ids.take(pa.array(place)), pa.array(np.concatenate([f[1] for f in found])), pa.array(rank, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [*key, "evidence_ordinal", "id", "total", "rank"])
+
+    return own.mapInArrow(run, schema)

@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as X
+from attestra.operators import postings
 from attestra.operators.verify import KEY
 
 #: Bits after the point of a term's weight.
 FRACTION = 40
-#: Weights (a term of a passage each) up to which they are sent to every task; some 64 MB.
-SENT_WEIGHTS = 2_000_000
 
 
 def clamped(k1: float = 1.2, b: float = 0.75) -> tuple[float, float]:
@@ -42,7 +38,7 @@ def bm25(claims: DataFrame, evidence: DataFrame, limit: int, k1: float = 1.2, b:
     norm = k1 * (1 - b + b * F.col("_length") / F.greatest(F.col("_mean"), F.lit(1.0)))
     weight = idf * (F.col("_tf") * (k1 + 1)) / (F.col("_tf") + norm)
     weighted = tf.join(df, ["scope", "term"]).join(corpus, "scope").select("scope", "term", "evidence_ordinal", "id", F.round(weight * float(1 << FRACTION)).cast("long").alias("w"))
-    if weighted.limit(SENT_WEIGHTS + 1).count() <= SENT_WEIGHTS:
+    if postings.small(weighted):
         return _scored_in_place(claims, weighted, limit)
     scored = wanted.join(weighted, ["scope", "term"]).groupBy(*KEY, "evidence_ordinal", "id").agg((F.sum("w") / float(1 << FRACTION)).alias("score"))
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "id", "evidence_ordinal"))
@@ -51,62 +47,9 @@ def bm25(claims: DataFrame, evidence: DataFrame, limit: int, k1: float = 1.2, b:
 
 def _scored_in_place(claims: DataFrame, weighted: DataFrame, limit: int) -> DataFrame:
     """The same rows for evidence whose weights every task can hold: each claim adds up its terms' weights where it is, without a shuffle."""
-    rows = weighted.toArrow()  # at most SENT_WEIGHTS rows
-    shared = claims.sparkSession.sparkContext.broadcast(rows)
-    kind = claims.select(*KEY).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind.fields) + ", evidence_ordinal int, id string, score double, rank int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        postings = Postings(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                best = [postings.best(s, t, limit) for s, t in zip(part.column("scope").to_pylist(), part.column("terms").to_pylist(), strict=True)]
-                claim = np.repeat(np.arange(part.num_rows), [len(b[0]) for b in best])
-                place = np.concatenate([b[0] for b in best])
-                own = [part.column(c).take(pa.array(claim)) for c in KEY]
-                ids = postings.ids.take(pa.array(place))
-                score = np.concatenate([b[1] for b in best]) / float(1 << FRACTION)
-                rank = np.concatenate([np.arange(1, len(b[0]) + 1) for b in best])
-                yield pa.RecordBatch.from_arrays([*own, pa.array(postings.ordinals[place], pa.int32()), ids, pa.array(score), pa.array(rank, pa.int32())], [*KEY, "evidence_ordinal", "id", "score", "rank"])
-
-    terms = F.array_distinct(X.tokens(F.col("text"))).alias("terms")
-    return claims.select(*KEY, terms).mapInArrow(run, schema)
-
-
-class Postings:
-    """Passages of each term with their weights; passages are numbered in the order that breaks ties."""
-
-    def __init__(self, rows: pa.Table):
-        passages = sorted(set(zip(*(rows.column(c).to_pylist() for c in ("scope", "id", "evidence_ordinal")), strict=True)), key=lambda p: (str(p[0]), p[1].encode(), p[2]))
-        number = {p: i for i, p in enumerate(passages)}
-        self.ids = pa.array([p[1] for p in passages], pa.string())
-        self.ordinals = np.array([p[2] for p in passages], np.int64)
-        of = {}
-        for scope, term, ordinal, name, w in zip(*(rows.column(c).to_pylist() for c in ("scope", "term", "evidence_ordinal", "id", "w")), strict=True):
-            of.setdefault((scope, term), []).append((number[scope, name, ordinal], w))
-        self.of = {k: (np.array([x[0] for x in v], np.int64), np.array([x[1] for x in v], np.int64)) for k, v in of.items()}
-        first: dict = {}
-        for i, p in enumerate(passages):
-            first.setdefault(p[0], [i, i])[1] = i + 1
-        self.range = first
-
-    def best(self, scope, terms: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and summed weights of the ``limit`` best passages that share a term."""
-        found = [p for t in terms or () if (p := self.of.get((scope, t))) is not None]
-        if not found or limit < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low, high = self.range[scope]
-        total, hit = np.zeros(high - low, np.int64), np.zeros(high - low, bool)
-        for places, weights in found:  # a term names a passage once
-            total[places - low] += weights
-            hit[places - low] = True
-        place = np.flatnonzero(hit)
-        if len(place) > 4 * limit:
-            least = np.partition(total[place], len(place) - limit)[len(place) - limit]
-            place = place[total[place] >= least]
-        place = place[np.argsort(-total[place], kind="stable")[:limit]]
-        return place + low, total[place]
+    own = claims.select(*KEY, F.array_distinct(X.tokens(F.col("text"))).alias("terms"))
+    found = postings.best(own, KEY, weighted.select("scope", "term", "evidence_ordinal", "id", "w"), limit)
+    return found.select(*KEY, "evidence_ordinal", "id", (F.col("total") / float(1 << FRACTION)).alias("score"), "rank")
 
 
 def passthrough(claims: DataFrame, evidence: DataFrame, limit: int) -> DataFrame:

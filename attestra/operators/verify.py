@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as X
+from attestra.operators import postings
 from attestra.schemas import CLAIM_TYPES, SOURCE_TYPES, Policy
 
 KEY = ["scope", "doc_id", "ordinal"]
@@ -69,6 +70,14 @@ def eligibility(spark) -> DataFrame:
     return spark.createDataFrame(rows, "type string, source_type string, eligible boolean")
 
 
+def _claim_terms(claims: DataFrame) -> DataFrame:
+    return claims.filter(verifiable(F.col("type"))).select(*KEY, "type", X.significant_terms(F.col("text")).alias("terms"))
+
+
+def _passage_terms(evidence: DataFrame) -> DataFrame:
+    return evidence.select("scope", "evidence_ordinal", "id", "source_type", F.explode(X.significant_terms(F.col("text"))).alias("term"))
+
+
 def matches(claims: DataFrame, evidence: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """scope, doc_id, ordinal, evidence_ordinal, id, score: every eligible pair that shares a term.
 
@@ -76,15 +85,24 @@ def matches(claims: DataFrame, evidence: DataFrame, candidates: DataFrame | None
     term score 0 and can neither be best nor be shown.  ``candidates`` (KEY and
     evidence_ordinal), if given, are the only pairs considered.
     """
-    terms = claims.filter(verifiable(F.col("type"))).select(*KEY, "type", X.significant_terms(F.col("text")).alias("terms"))
-    left = terms.select(*KEY, "type", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    right = evidence.select("scope", "evidence_ordinal", "id", "source_type", F.explode(X.significant_terms(F.col("text"))).alias("term"))
-    pairs = left.join(right, ["scope", "term"]).filter(eligible(F.col("source_type"), F.col("type")))
+    left = _claim_terms(claims).select(*KEY, "type", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    pairs = left.join(_passage_terms(evidence), ["scope", "term"]).filter(eligible(F.col("source_type"), F.col("type")))
     out = pairs.groupBy(*KEY, "evidence_ordinal", "id", "n_terms").agg(F.count("*").alias("_n"))
     out = out.select(*KEY, "evidence_ordinal", "id", (F.col("_n") / F.col("n_terms")).alias("score"))
     return out if candidates is None else out.join(candidates, [*KEY, "evidence_ordinal"], "left_semi")
 
 
+def best_matches(claims: DataFrame, evidence: DataFrame, keep: int, candidates: DataFrame | None = None) -> DataFrame:
+    """The ``keep`` best ``matches`` of each claim with their rank; without a shuffle where every task can hold the evidence's terms."""
+    terms = _passage_terms(evidence)
+    if candidates is not None or not postings.small(terms):
+        return ranked(matches(claims, evidence, candidates), keep)
+    pairs = {(c, s) for c in CLAIM_TYPES for s in SOURCE_TYPES if s == "unknown" or s in ELIGIBLE[c]}
+    own = _claim_terms(claims).withColumn("_size", F.size("terms"))
+    found = postings.best(own, [*KEY, "_size"], terms, keep, pairs)
+    return found.select(*KEY, "evidence_ordinal", "id", (F.col("total") / F.col("_size")).alias("score"), "rank")
+
+
 def ranked(found: DataFrame, keep: int) -> DataFrame:
     """The ``keep`` best matches of each claim: score descending, then id, then place."""
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "id", "evidence_ordinal"))
@@ -109,7 +127,7 @@ def verdicts(claims: DataFrame, evidence: DataFrame, policy: Policy | PolicyColu
     """
     policy = policy or Policy()
     most = policy.most if isinstance(policy, PolicyColumns) else policy.maximum_evidence
-    top = ranked(matches(claims, evidence, candidates), max(1, most))
+    top = best_matches(claims, evidence, max(1, most), candidates)
     shown = F.struct("rank", "id", F.col("p_source").alias("source"), F.col("p_source_type").alias("source_type"), F.col("p_text").alias("text"), "score", "p_terms")
     first = F.col("rank") == 1
     best = (

@@ -289,7 +289,7 @@ def eligibility_matrix(spark, sf_dir):
 
 @query(_with(_CTE, _EVIDENCE, _MATCHES) + "SELECT doc_id, ordinal, rank, id, round(score, 9) AS score FROM ranked WHERE rank <= 3")
 def evidence_topk(spark, sf_dir):
-    top = verify.ranked(verify.matches(_claims(spark, sf_dir), _evidence(spark, sf_dir)), 3)
+    top = verify.best_matches(_claims(spark, sf_dir, False), _evidence(spark, sf_dir), 3)
     return top.select("doc_id", "ordinal", "rank", "id", F.round("score", 9).alias("score"))
 
 

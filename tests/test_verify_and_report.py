@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import extract, provenance, report, retrieve, verify
+from attestra.operators import extract, postings, provenance, report, retrieve, verify
 from attestra.plans.pipeline import Pipeline, row_verifier
 from attestra.schemas import Policy
 
@@ -135,10 +135,22 @@ def test_bm25_in_place_equals_the_join(spark, monkeypatch):
     own = spark.createDataFrame([("a", 1, 0, "The court granted the motion."), ("b", 2, 0, "the the rent"), ("a", 3, 1, "nothing known"), ("c", 4, 0, "court"), ("b", 5, 2, None)], "scope string, doc_id long, ordinal int, text string")
     rows = lambda k: sorted((r["scope"], r["doc_id"], r["rank"], r["id"], r["evidence_ordinal"], round(r["score"], 9)) for r in retrieve.bm25(own, evidence, k).collect())
     small = {k: rows(k) for k in (0, 1, 2, 10)}
-    monkeypatch.setattr(retrieve, "SENT_WEIGHTS", 0)
+    monkeypatch.setattr(postings, "SENT", 0)
     assert small == {k: rows(k) for k in small} and small[0] == [] and len(small[10]) > 5
 
 
+def test_matches_in_place_equal_the_join(spark, monkeypatch):
+    kinds = ["unknown", "statute", "evidence", "courtRecord", "calculationInput", "evidence"]
+    texts = ["the court granted the motion", "a motion to deny", "court motions granted", "rent was paid", "", "the motion the court"]
+    evidence = spark.createDataFrame([(s, i, f"p{i % 4}", "s", k, t) for s in ("a", "b") for i, (k, t) in enumerate(zip(kinds, texts, strict=True))], "scope string, evidence_ordinal int, id string, source string, source_type string, text string")
+    own = spark.createDataFrame([("a", 1, 0, "The court granted the motion.", "factual"), ("b", 2, 0, "the motion", "legalRule"), ("a", 3, 1, "nothing known", "factual"), ("a", 4, 0, "court", "recommendation"), ("b", 5, 2, None, "factual"), ("b", 6, 1, "court motion", "quotation")], "scope string, doc_id long, ordinal int, text string, type string")
+    rows = lambda k: sorted((r["scope"], r["doc_id"], r["rank"], r["id"], r["evidence_ordinal"], r["score"]) for r in verify.best_matches(own, evidence, k).collect())
+    statuses = lambda: sorted((r["doc_id"], r["status"], r["confidence"], [e["id"] for e in r["evidence"]]) for r in verify.verdicts(own, evidence).collect())
+    small, judged = {k: rows(k) for k in (1, 2, 10)}, statuses()
+    monkeypatch.setattr(postings, "SENT", 0)
+    assert small == {k: rows(k) for k in small} and len(small[10]) > 6 and judged == statuses()
+
+
 def test_payloads_of_any_type(spark):
     from pyspark.sql import Row
 
