@@ -48,16 +48,16 @@ def _let_go(spark: SparkSession) -> None:
     """Shuffles that no DataFrame needs any more are found by the driver's garbage collection.
 
     Listeners hold on to a query until they have seen its end, so their queue comes
-    first; the gateway lets go of Java objects a moment after Python does.
+    first; the gateway lets go of Java objects up to a second after Python does.
     """
     context = spark.sparkContext
     try:
         context._jsc.sc().listenerBus().waitUntilEmpty(30_000)  # type: ignore[union-attr]
     except Exception:  # noqa: BLE001  (a slow listener: files then stay a while longer)
         pass
-    for _ in range(2):
+    for pause in (1.3, 0.5, 0.5):  # what one collection frees may hold what the next one frees
         gc.collect()
-        time.sleep(0.2)
+        time.sleep(pause)
         context._jvm.System.gc()  # type: ignore[union-attr]
 
 
