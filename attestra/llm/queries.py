@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, compression_classifier, fuzzy_passages, packing, pii, ppm, quality_rules, simhash, substring_dedup, top_k
+from attestra.llm import byte_bpe, compression_classifier, fill_in_middle, fuzzy_passages, packing, pii, ppm, quality_rules, simhash, substring_dedup, top_k
 from attestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,14 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ppm, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii, op8_fuzzy_passages, op9_quality_classifier, op10_top_k)}
+    return {f.__name__: f for f in (op1_ppm, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii, op8_fuzzy_passages, op9_quality_classifier, op10_top_k, op12_fill_in_middle)}
 
 
 OP10_SQL = """
@@ -89,5 +95,29 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+'), lambda u: length(u)) AS units
+  FROM documents
+), h AS (
+  SELECT doc_id, t, units, len(units) AS n,
+    CAST('0x' || substr(digest, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(digest, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(digest, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(digest, 25, 8) AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, CAST(coalesce(list_sum(units[1:least(h1 % (n + 1), h2 % (n + 1))]), 0) AS BIGINT) AS low, CAST(coalesce(list_sum(units[1:greatest(h1 % (n + 1), h2 % (n + 1))]), 0) AS BIGINT) AS high,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(low AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(high - low AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || substr(t, 1, low) || '<S>' || substr(t, high + 1) || '<M>' || substr(t, low + 1, high - low)
+    WHEN 'spm' THEN '<S>' || substr(t, high + 1) || '<P>' || substr(t, 1, low) || '<M>' || substr(t, low + 1, high - low) ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_k": OP10_SQL}
+    return {"op10_top_k": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
