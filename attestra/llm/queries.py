@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import byte_bpe, compression_classifier, fill_in_middle, fuzzy_passages, packing, pii, ppm, quality_rules, simhash, substring_dedup, top_k
+from attestra.llm import byte_bpe, compression_classifier, decontamination, fill_in_middle, fuzzy_passages, packing, pii, ppm, quality_rules, simhash, substring_dedup, top_k, whitening
 from attestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,14 +68,26 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.transform(vectors, whitening.fit(vectors)).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["length"])
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ppm, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii, op8_fuzzy_passages, op9_quality_classifier, op10_top_k, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_ppm, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii, op8_fuzzy_passages, op9_quality_classifier, op10_top_k, op11_whitening, op12_fill_in_middle, op13_decontamination)}
 
 
 OP10_SQL = """
@@ -119,5 +131,30 @@ FROM c
 """
 
 
+_WORDS_13 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS_13} AS words FROM documents
+), i AS (
+  SELECT item_id, words, least(len(words), 10) AS k FROM (SELECT item_id, {_WORDS_13} AS words FROM benchmark) WHERE len(words) > 0
+), w AS (
+  SELECT DISTINCT item_id, k, array_to_string(words[s:s + k - 1], ' ') AS win FROM (SELECT item_id, k, words, unnest(generate_series(1, len(words) - k + 1)) AS s FROM i)
+), p AS (
+  SELECT doc_id, k, s, array_to_string(words[s:s + k - 1], ' ') AS win
+  FROM (SELECT doc_id, k, words, unnest(generate_series(1, len(words) - k + 1)) AS s FROM d, (SELECT DISTINCT k FROM w) WHERE len(words) >= k)
+), m AS (
+  SELECT p.doc_id, p.k, p.s, w.item_id FROM p JOIN w USING (k, win)
+), h AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS place FROM (SELECT DISTINCT doc_id, k, s FROM m)) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_k": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op10_top_k": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_decontamination": OP13_SQL}
