@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -99,13 +100,13 @@ class Suite:
 
 @dataclass
 class Found:
-    """Of a shard: its covered words, which windows (as groups of test suffixes) are in which documents, and each test suffix's longest match."""
+    """Of a shard: its covered words, which windows (as groups of test suffixes) are in which documents, and each test suffix's longest match (from the shortest window on) with its first place."""
 
     covered: np.ndarray
+    length: np.ndarray
+    place: np.ndarray
     documents: list[tuple[int, int]] = field(default_factory=list)
     groups: list[np.ndarray] = field(default_factory=list)
-    length: np.ndarray | None = None
-    place: np.ndarray | None = None
 
 
 class SuffixArray:
@@ -162,7 +163,7 @@ class SuffixArray:
         return low, self._bound(low, high, depth, word + 1)
 
 
-def _search(suite: Suite, ids: np.ndarray, owner: np.ndarray, found: Found, at: np.ndarray) -> None:
+def _search(suite: Suite, ids: np.ndarray, owner: np.ndarray, rank: np.ndarray, found: Found, at: np.ndarray) -> None:
     """Every test suffix against the suffixes of ``ids`` that start at ``at``."""
     array = SuffixArray(ids, at, int(len(suite.vocabulary)).bit_length(), int(suite.window.max()))
     bounds = np.searchsorted(ids[array.order], np.arange(len(suite.vocabulary) + 2))
@@ -170,6 +171,7 @@ def _search(suite: Suite, ids: np.ndarray, owner: np.ndarray, found: Found, at:
     word = suite.ids[suite.starts]
     low, high = bounds[word], bounds[word + 1]
     at_window: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+    reach, first, last = (np.zeros(len(suite.starts), np.int64) for _ in range(3))
     depth = 0
     while True:
         on = low < high
@@ -177,8 +179,7 @@ def _search(suite: Suite, ids: np.ndarray, owner: np.ndarray, found: Found, at:
         if not len(alive):
             break
         depth += 1
-        better = depth > found.length[alive]
-        found.length[alive[better]], found.place[alive[better]] = depth, array.order[low[better]]
+        reach[alive], first[alive], last[alive] = depth, low, high
         if (full := suite.window[alive] == depth).any():
             at_window.append((alive[full], low[full], high[full], depth))
         word = suite.ids[suite.starts[alive] + depth]
@@ -190,24 +191,31 @@ def _search(suite: Suite, ids: np.ndarray, owner: np.ndarray, found: Found, at:
             np.add.at(reached, high, -1)
             array.deepen(np.cumsum(reached)[:-1] > 0)
         low, high = array.narrowed(low, high, depth, word)
+    if (test := np.flatnonzero((reach >= suite.shortest) & (reach >= found.length))).size:
+        ends, own = np.unique(np.stack([first[test], last[test]]), axis=1, return_inverse=True)  # equal matches have one interval
+        least = np.minimum.reduceat(np.append(rank[owner[array.order]] * len(ids) + array.order, 0), ends.T.ravel())[::2][own.ravel()]
+        found.place[test] = np.where(reach[test] > found.length[test], least, np.minimum(least, found.place[test]))
+        found.length[test] = reach[test]
     for test, low, high, size in at_window:
-        _, first, group = np.unique(low, return_index=True, return_inverse=True)  # equal windows have one interval
-        count = high[first] - low[first]
-        occurs = array.order[np.repeat(low[first], count) + places(count)]
+        _, one, group = np.unique(low, return_index=True, return_inverse=True)  # equal windows have one interval
+        count = high[one] - low[one]
+        occurs = array.order[np.repeat(low[one], count) + places(count)]
         edge = np.bincount(occurs, minlength=len(ids)) - np.bincount(occurs + size, minlength=len(ids))[: len(ids)]
         found.covered |= np.cumsum(edge) > 0
-        document, own = np.divmod(np.unique(owner[occurs] * len(first) + np.repeat(np.arange(len(first)), count)), len(first))
+        document, own = np.divmod(np.unique(owner[occurs] * len(one) + np.repeat(np.arange(len(one)), count)), len(one))
         by = np.argsort(group.ravel(), kind="stable")
         members = np.split(suite.item[test[by]], np.cumsum(np.bincount(group.ravel()))[:-1])
         found.documents += zip(document.tolist(), (own + len(found.groups)).tolist(), strict=True)
         found.groups += [np.unique(m) for m in members]
 
 
-def search(suite: Suite, raw: bytes, ends: np.ndarray) -> tuple[Found, np.ndarray, np.ndarray]:
+def search(suite: Suite, raw: bytes, ends: np.ndarray, rank: np.ndarray | None = None) -> tuple[Found, np.ndarray, np.ndarray]:
     """What a shard holds of the items, the document of each place (a word, or the 0 after a document), and where documents start.
 
-    ``raw``: texts with a 0 after each; ``ends``: where those are.
+    ``raw``: texts with a 0 after each; ``ends``: where those are; ``rank``: the documents'
+    order, in which a match's first place is the first (else as they lie).
     """
+    rank = np.arange(len(ends) + 1) if rank is None else np.append(rank, len(ends))
     text, start, end = words(raw)
     sizes = end - start
     owner = np.searchsorted(ends, start, "right")
@@ -226,9 +234,10 @@ def search(suite: Suite, raw: bytes, ends: np.ndarray) -> tuple[Found, np.ndarra
         index = np.arange(len(ids))
         ahead = np.minimum.accumulate(np.where(ids == 0, index, len(ids))[::-1])[::-1] - index
         begins = np.flatnonzero(ahead >= suite.shortest)
-        found = Found(np.zeros(len(ids), bool), length=np.zeros(len(suite.starts), np.int32), place=np.zeros(len(suite.starts), np.int64))
+        found = Found(np.zeros(len(ids), bool), np.zeros(len(suite.starts), np.int32), np.zeros(len(suite.starts), np.int64))
         for i in range(0, len(begins), STARTS):
-            _search(suite, ids, place, found, begins[i : i + STARTS])
+            _search(suite, ids, place, rank, found, begins[i : i + STARTS])
+        found.place %= len(ids)
         # an exact check of the words found; one that only has the hash of a known word is unknown
         hit = np.flatnonzero(found.covered)
         own, spelled, their, size = word_of[hit], ids[hit] - 1, suite.spelled[1], suite.spelled[2]
@@ -319,7 +328,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
     """item_id, item_word, n_words, doc_id, doc_word: the longest verbatim match of each test suffix that no longer one of the item holds, and the first place that has it.
 
     Matches shorter than the block's shortest window are not looked for.  Of places with
-    equally long matches the smallest doc_id counts, then the first word.
+    equally long matches the smallest doc_id counts (null after all others), then the
+    first word.
     """
     own, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), None
 
@@ -327,7 +337,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, blo
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             suite = Suite.of(shared.value, window)
             for part, raw, ends in _shards(batches) if suite is not None else ():
-                found, place, first = search(suite, raw, ends)
+                order = np.array(pc.array_sort_indices(part.column("doc_id"), null_placement="at_end")) if part.num_rows else np.zeros(0, np.int64)
+                found, place, first = search(suite, raw, ends, np.argsort(order))
                 item_word = places(np.bincount(suite.item)[np.unique(suite.item)])
                 before = np.where(item_word > 0, np.roll(found.length, 1), 0)
                 test = np.flatnonzero((found.length >= suite.shortest) & (found.length >= before))
