@@ -110,6 +110,15 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "sentence_ordinal", "s.start_utf16", "s.end_utf16", X.trimmed(F.col("s.raw")).alias("sentence"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt evenly, whatever files and row groups they came in.
+
+    To extract claims takes some thirty times the work of a shuffle of the same text, so
+    that one large row group, or one folder of long documents, is worth dealing out.
+    """
+    return docs.repartition(F.xxhash64("doc_id", "text"))
+
+
 def claims(docs: DataFrame, fingerprint: bool = True) -> DataFrame:
     """doc_id, ordinal, claim_id, text, type, parent_text, start_utf16, end_utf16 (, fingerprint)."""
 

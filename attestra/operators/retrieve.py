@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as X
-from attestra.operators import postings
+from attestra.operators import topk
 from attestra.operators.verify import KEY
 
 #: Bits after the point of a term's weight.
@@ -25,11 +25,17 @@ def bm25(claims: DataFrame, evidence: DataFrame, limit: int, k1: float = 1.2, b:
 
     Source types play no part.  Terms keep stop words.  Terms' weights add up as fixed-
     point numbers of FRACTION bits: the sum does not depend on the order, so ties are
-    ties wherever rows lie, and partial sums combine before the shuffle.  Corpus
-    statistics are computed once per scope.
+    ties wherever rows lie.  Corpus statistics are computed once per scope.  Frequent
+    terms weigh little and bring in candidates only where they can decide (``topk``).
     """
+    own = claims.select(*KEY, F.lit("").alias("class"), F.array_distinct(X.tokens(F.col("text"))).alias("terms"))
+    found = topk.best(own, KEY, weights(evidence, k1, b), limit)
+    return found.select(*KEY, "evidence_ordinal", "id", (F.col("total") / float(1 << FRACTION)).alias("score"), "rank")
+
+
+def weights(evidence: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """scope, term, evidence_ordinal, id, w: what a term of a passage adds to the score of a claim that has it, as postings of ``topk``."""
     k1, b = clamped(k1, b)
-    wanted = claims.select(*KEY, F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     passages = evidence.select("scope", "evidence_ordinal", "id", X.tokens(F.col("text")).alias("_terms")).withColumn("_length", F.size("_terms"))
     corpus = passages.groupBy("scope").agg(F.count("*").alias("_n"), (F.sum("_length") / F.count("*")).alias("_mean"))
     tf = passages.select("scope", "evidence_ordinal", "id", "_length", F.explode("_terms").alias("term")).groupBy("scope", "evidence_ordinal", "id", "_length", "term").agg(F.count("*").alias("_tf"))
@@ -37,19 +43,8 @@ def bm25(claims: DataFrame, evidence: DataFrame, limit: int, k1: float = 1.2, b:
     idf = F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
     norm = k1 * (1 - b + b * F.col("_length") / F.greatest(F.col("_mean"), F.lit(1.0)))
     weight = idf * (F.col("_tf") * (k1 + 1)) / (F.col("_tf") + norm)
-    weighted = tf.join(df, ["scope", "term"]).join(corpus, "scope").select("scope", "term", "evidence_ordinal", "id", F.round(weight * float(1 << FRACTION)).cast("long").alias("w"))
-    if postings.small(weighted):
-        return _scored_in_place(claims, weighted, limit)
-    scored = wanted.join(weighted, ["scope", "term"]).groupBy(*KEY, "evidence_ordinal", "id").agg((F.sum("w") / float(1 << FRACTION)).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "id", "evidence_ordinal"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= max(0, limit))
-
-
-def _scored_in_place(claims: DataFrame, weighted: DataFrame, limit: int) -> DataFrame:
-    """The same rows for evidence whose weights every task can hold: each claim adds up its terms' weights where it is, without a shuffle."""
-    own = claims.select(*KEY, F.array_distinct(X.tokens(F.col("text"))).alias("terms"))
-    found = postings.best(own, KEY, weighted.select("scope", "term", "evidence_ordinal", "id", "w"), limit)
-    return found.select(*KEY, "evidence_ordinal", "id", (F.col("total") / float(1 << FRACTION)).alias("score"), "rank")
+    w = F.greatest(F.round(weight * float(1 << FRACTION)).cast("long"), F.lit(1))
+    return tf.join(df, ["scope", "term"]).join(corpus, "scope").select("scope", "term", "evidence_ordinal", "id", w.alias("w"), F.array(F.lit("")).alias("classes"))
 
 
 def passthrough(claims: DataFrame, evidence: DataFrame, limit: int) -> DataFrame:

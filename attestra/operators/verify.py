@@ -1,4 +1,4 @@
-"""Claims against evidence: overlap scores by an inverted-index join, ranks, verdicts.
+"""Claims against evidence: overlap scores, ranks, verdicts.
 
 Claims carry ``scope``, ``doc_id``, ``ordinal``, ``text``, ``type``; evidence carries
 ``scope``, ``evidence_ordinal``, ``id``, ``source``, ``source_type``, ``text``.  A claim
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as X
-from attestra.operators import postings
+from attestra.operators import topk
 from attestra.schemas import CLAIM_TYPES, SOURCE_TYPES, Policy
 
 KEY = ["scope", "doc_id", "ordinal"]
@@ -74,33 +74,34 @@ def _claim_terms(claims: DataFrame) -> DataFrame:
     return claims.filter(verifiable(F.col("type"))).select(*KEY, "type", X.significant_terms(F.col("text")).alias("terms"))
 
 
-def _passage_terms(evidence: DataFrame) -> DataFrame:
-    return evidence.select("scope", "evidence_ordinal", "id", "source_type", F.explode(X.significant_terms(F.col("text"))).alias("term"))
+def _classes(source_type: Column) -> Column:
+    """The claim types that a source type may support."""
+    return F.filter(F.array(*[F.when(eligible(source_type, F.lit(c)), F.lit(c)) for c in ELIGIBLE if c not in NOT_VERIFIABLE]), lambda c: c.isNotNull())
 
 
-def matches(claims: DataFrame, evidence: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """scope, doc_id, ordinal, evidence_ordinal, id, score: every eligible pair that shares a term.
+def best_matches(claims: DataFrame, evidence: DataFrame, keep: int, candidates: DataFrame | None = None) -> DataFrame:
+    """KEY, evidence_ordinal, id, score, rank: the ``keep`` best of the eligible passages that share a term with a claim.
 
-    An equi-join on (scope, term) in place of claim x passage; pairs without a common
-    term score 0 and can neither be best nor be shown.  ``candidates`` (KEY and
-    evidence_ordinal), if given, are the only pairs considered.
+    The score is the share of the claim's terms that the passage has; ties go by id and
+    then by place.  ``candidates`` (KEY and evidence_ordinal), if given, are the only
+    pairs considered, and each is scored where it stands; without them the pairs come
+    from the terms' lists (``topk``), never from claims x passages.
     """
-    left = _claim_terms(claims).select(*KEY, "type", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    pairs = left.join(_passage_terms(evidence), ["scope", "term"]).filter(eligible(F.col("source_type"), F.col("type")))
-    out = pairs.groupBy(*KEY, "evidence_ordinal", "id", "n_terms").agg(F.count("*").alias("_n"))
-    out = out.select(*KEY, "evidence_ordinal", "id", (F.col("_n") / F.col("n_terms")).alias("score"))
-    return out if candidates is None else out.join(candidates, [*KEY, "evidence_ordinal"], "left_semi")
+    own = _claim_terms(claims)
+    if candidates is not None:
+        return ranked(_candidate_scores(own, evidence, candidates), keep)
+    passages = evidence.select("scope", "evidence_ordinal", "id", _classes(F.col("source_type")).alias("classes"), F.explode(X.significant_terms(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("w"))
+    sized = own.withColumnRenamed("type", "class").withColumn("_size", F.size("terms"))
+    found = topk.best(sized, [*KEY, "_size"], passages, keep)
+    return found.select(*KEY, "evidence_ordinal", "id", (F.col("total") / F.col("_size")).alias("score"), "rank")
 
 
-def best_matches(claims: DataFrame, evidence: DataFrame, keep: int, candidates: DataFrame | None = None) -> DataFrame:
-    """The ``keep`` best ``matches`` of each claim with their rank; without a shuffle where every task can hold the evidence's terms."""
-    terms = _passage_terms(evidence)
-    if candidates is not None or not postings.small(terms):
-        return ranked(matches(claims, evidence, candidates), keep)
-    pairs = {(c, s) for c in CLAIM_TYPES for s in SOURCE_TYPES if s == "unknown" or s in ELIGIBLE[c]}
-    own = _claim_terms(claims).withColumn("_size", F.size("terms"))
-    found = postings.best(own, [*KEY, "_size"], terms, keep, pairs)
-    return found.select(*KEY, "evidence_ordinal", "id", (F.col("total") / F.col("_size")).alias("score"), "rank")
+def _candidate_scores(own: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
+    """KEY, evidence_ordinal, id, score of the candidate pairs that are eligible and share a term: no pair beside them is formed."""
+    passages = evidence.select("scope", "evidence_ordinal", "id", "source_type", X.significant_terms(F.col("text")).alias("_theirs"))
+    pairs = candidates.select(*KEY, "evidence_ordinal").distinct().join(own, KEY).join(passages, ["scope", "evidence_ordinal"]).filter(eligible(F.col("source_type"), F.col("type")))
+    scored = pairs.select(*KEY, "evidence_ordinal", "id", (F.size(F.array_intersect("terms", "_theirs")) / F.size("terms")).alias("score"))
+    return scored.filter(F.col("score") > 0)
 
 
 def ranked(found: DataFrame, keep: int) -> DataFrame:

@@ -64,7 +64,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, sf_dir: str, fingerprint: bool = False) -> DataFrame:
-    return extract.claims(_documents(spark, sf_dir), fingerprint).withColumn("scope", F.lit("all"))
+    return extract.claims(extract.spread(_documents(spark, sf_dir)), fingerprint).withColumn("scope", F.lit("all"))
 
 
 def _verdicts(spark: SparkSession, sf_dir: str, fingerprint: bool = False) -> DataFrame:
