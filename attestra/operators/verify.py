@@ -100,7 +100,7 @@ def _candidate_scores(own: DataFrame, evidence: DataFrame, candidates: DataFrame
     """KEY, evidence_ordinal, id, score of the candidate pairs that are eligible and share a term: no pair beside them is formed."""
     passages = evidence.select("scope", "evidence_ordinal", "id", "source_type", X.significant_terms(F.col("text")).alias("_theirs"))
     pairs = candidates.select(*KEY, "evidence_ordinal").distinct().join(own, KEY).join(passages, ["scope", "evidence_ordinal"]).filter(eligible(F.col("source_type"), F.col("type")))
-    scored = pairs.select(*KEY, "evidence_ordinal", "id", (F.size(F.array_intersect("terms", "_theirs")) / F.size("terms")).alias("score"))
+    scored = pairs.select(*KEY, "evidence_ordinal", "id", F.try_divide(F.size(F.array_intersect("terms", "_theirs")), F.size("terms")).alias("score"))
     return scored.filter(F.col("score") > 0)
 
 
