@@ -129,12 +129,14 @@ def run_prepare(spark: SparkSession, args: argparse.Namespace) -> int:
 def run_audit(spark: SparkSession, args: argparse.Namespace) -> int:
     audited = annotation.audit(sources.manifest(spark, args.manifest), [sources.submission(spark, s) for s in args.submissions])
     if args.json:
-        print(json.dumps(audited, sort_keys=True, indent=2, ensure_ascii=False))
+        print(json.dumps(audited.document(), sort_keys=True, indent=2, ensure_ascii=False))
     else:
-        k = audited["binaryLabelAgreement"]
-        said = [f"Reviewers: {', '.join(audited['reviewerAliases'])}", f"Agreement: {audited['binaryAgreementCount']} of {audited['candidateCount']}", f"Cohen's kappa: {'undefined' if k is None else render.fixed(k, 3)}", f"Disputed candidates: {len(audited['detailedDisagreementCandidateIDs'])}"]
-        print("\n".join([*said, *[f"Issue: {x}" for x in audited["issues"]]]))
-    return 0 if annotation.reliable(audited) else 3
+        own = audited.summary
+        k = own["binaryLabelAgreement"]
+        print("\n".join([f"Reviewers: {', '.join(own['reviewerAliases'])}", f"Agreement: {own['binaryAgreementCount']} of {own['candidateCount']}", f"Cohen's kappa: {'undefined' if k is None else render.fixed(k, 3)}", f"Disputed candidates: {audited.disputed.count()}"]))
+        for row in audited.issues.orderBy("ordinal").toLocalIterator():
+            print(f"Issue: {row['issue']}")
+    return 0 if audited.reliable else 3
 
 
 def run_finalize(spark: SparkSession, args: argparse.Namespace) -> int:

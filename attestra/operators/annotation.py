@@ -1,31 +1,51 @@
 """Human annotation: intake checks, blinded assignments, audit, adjudication.
 
-Inputs are the nested documents of ``schemas`` (one row each for a corpus, ledger and
-manifest; one row for each submission).  Rows are exploded once and checked by joins;
-what reaches the driver is the list of issues and a summary row.
+Inputs are documents as rows (``sources.elements.Document``): the head of a corpus,
+ledger, manifest or submission is one row, its candidates, sources, assignments and
+responses are tables, checked by joins.  Issues stay tables in order; what reaches the
+driver are heads, counts and a summary row.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import text as X
+from attestra.operators import ordinals
 from attestra.operators.benchmark import utf16_matches
 from attestra.operators.report import approved
+from attestra.sources.elements import Document
 
 #: Cohen's kappa that two primary reviewers have to reach.
 KAPPA = 0.80
 
 
 class WorkflowError(ValueError):
-    """Intake, reviewers or submissions that cannot be used; ``issues`` says why."""
+    """Intake, reviewers or submissions that cannot be used; ``issues`` says why, ``table`` has all issues in order where they are many."""
 
-    def __init__(self, kind: str, issues: list[str]):
+    def __init__(self, kind: str, issues: list[str], table: DataFrame | None = None):
         super().__init__(f"{kind}: {'; '.join(issues)}")
-        self.kind, self.issues = kind, issues
+        self.kind, self.issues, self.table = kind, issues, table
+
+
+#: Issues that an error names; its table has the others.
+NAMED = 100
+
+
+def in_order(issues: DataFrame) -> DataFrame:
+    """ordinal, section, place, rule, issue: a place over the whole table for each issue."""
+    return ordinals.numbered(issues, "section", "place", "rule", "issue", name="ordinal").select("ordinal", "section", "place", "rule", "issue")
+
+
+def _refused(kind: str, issues: DataFrame) -> None:
+    """Raises if there are issues."""
+    table = in_order(issues)
+    if first := [r["issue"] for r in table.filter(F.col("ordinal") < NAMED).orderBy("ordinal").collect()]:
+        raise WorkflowError(kind, first, table)
 
 
 def first_values(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -50,20 +70,22 @@ def _listed(issues: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, issues)
 
 
-def exploded(document: DataFrame, array: str) -> DataFrame:
-    return document.select(F.posexplode(array).alias("place", "x")).select("place", "x.*")
+def document(rows: DataFrame, *arrays: str) -> Document:
+    """A document that is one row with nested arrays, as head and lists."""
+    return Document(rows, {a.rpartition(".")[2]: rows.select(F.posexplode(a).alias("place", "x")).select("place", "x.*") for a in arrays})
 
 
-def intake_issues(corpus: DataFrame, ledger: DataFrame) -> DataFrame:
+def intake_issues(corpus: Document, ledger: Document) -> DataFrame:
     """section, place, rule, issue of a candidate corpus and its source ledger; none: it is fit for annotation."""
-    head = corpus.select("version", "annotationPolicyVersion", "sourceLedgerVersion", F.size("candidates").alias("n"), F.size("candidates") - F.size(F.array_distinct(F.transform("candidates", lambda c: c["id"])))).toDF("version", "policy", "ledgerVersion", "n", "twice")
-    both = head.crossJoin(ledger.select(F.col("version").alias("of"), (F.size("sources") - F.size(F.array_distinct(F.transform("sources", lambda s: s["id"])))).alias("s_twice"))).withColumn("place", F.lit(0))
+    sources, own = ledger.lists["sources"], corpus.lists["candidates"]
+    twice = F.count("*") - F.count_distinct("id") - F.coalesce(F.max(F.col("id").isNull().cast("int")), F.lit(0))
+    head = corpus.head.select("version", F.col("annotationPolicyVersion").alias("policy"), F.col("sourceLedgerVersion").alias("ledgerVersion"))
+    both = head.crossJoin(ledger.head.select(F.col("version").alias("of"))).crossJoin(own.agg(F.count("*").alias("n"), twice.alias("twice"))).crossJoin(sources.agg(twice.alias("s_twice"))).withColumn("place", F.lit(0))  # four single rows
     general = _checks(both, 0, "place", [
         (X.blank(F.col("version")), "candidate corpus version is empty"), (X.blank(F.col("policy")), "annotation policy version is empty"),
         (~F.col("ledgerVersion").eqNullSafe(F.col("of")), "candidate corpus sourceLedgerVersion does not match the ledger"), (F.coalesce(F.col("n"), F.lit(0)) < 1, "candidate corpus contains no claims"),
         (F.col("s_twice") > 0, "source ledger contains duplicate source IDs"), (F.col("twice") > 0, "candidate corpus contains duplicate candidate IDs"),
     ])
-    sources, own = exploded(ledger, "sources"), exploded(corpus, "candidates")
     c, said = F.col, lambda text: F.concat(F.lit("source "), F.col("id"), F.lit(" " + text))
     of_sources = _checks(sources, 1, "place", [
         (X.blank(c("matterID")), said("has no matterID")), (X.blank(c("title")), said("has no title")), (X.blank(c("jurisdiction")), said("has no jurisdiction")), (X.blank(c("retrievedAt")), said("has no retrieval date")),
@@ -104,44 +126,53 @@ def reviewers(aliases: list[str]) -> list[str]:
 
 
 def assignments(candidates: DataFrame, aliases: list[str], seed: int | None = None) -> DataFrame:
-    """reviewer, reviewer_place, place, id, assignment_id, position (in the reviewer's shuffled packet).
+    """reviewer, reviewer_place, place, id, assignment_id, position (in the reviewer's shuffled packet, from 1).
 
-    With a seed, ids and order follow from it; without one they are fresh, so write
-    the result once before it is used twice.
+    With a seed, ids follow from it; without one they are fresh.  The order of a packet is
+    that of its ids, which tells nothing of the candidates'.
     """
     own = candidates.select("place", "id")
     r = candidates.sparkSession.createDataFrame(list(enumerate(reviewers(aliases))), "reviewer_place int, reviewer string")
     pairs = own.join(F.broadcast(r))  # three reviewers
     key = F.uuid() if seed is None else F.sha2(F.concat_ws("|", F.lit(str(seed)), "reviewer", "id", "place").cast("binary"), 256)
-    pairs = pairs.withColumn("_key", key).withColumn("assignment_id", F.concat(F.lit("assignment-"), F.lower("_key")))
-    shuffle = F.row_number().over(Window.partitionBy("reviewer").orderBy(F.rand() if seed is None else F.xxhash64("_key"), "assignment_id"))
-    return pairs.withColumn("position", shuffle).drop("_key")
+    pairs = pairs.withColumn("assignment_id", F.concat(F.lit("assignment-"), F.lower(key)))
+    # each reviewer has a row for each candidate, so places over all reviewers repeat after as many
+    dealt, n = ordinals.numbered(pairs, "reviewer_place", "assignment_id", name="position"), own.count()
+    return dealt.withColumn("position", (F.pmod("position", F.lit(max(1, n))) + 1).cast("int"))
 
 
-def prepare(corpus: DataFrame, ledger: DataFrame, aliases: list[str], seed: int | None = None) -> DataFrame:
+def prepare(corpus: Document, ledger: Document, aliases: list[str], seed: int | None = None) -> DataFrame:
     """Assignments with their blinded packet items; raises if the intake has issues."""
     aliases = reviewers(aliases)
-    found = [r["issue"] for r in intake_issues(corpus, ledger).orderBy("section", "place", "rule").collect()]
-    if found:
-        raise WorkflowError("invalidIntake", found)
-    own = exploded(corpus, "candidates")
+    _refused("invalidIntake", intake_issues(corpus, ledger))
+    own = corpus.lists["candidates"]
     return assignments(own, aliases, seed).join(own.select("place", "matterID", "claimText", "claimType", "evidence"), "place")
 
 
-def coordinator_manifest(corpus: DataFrame, prepared: DataFrame) -> DataFrame:
+def coordinator(corpus: Document, prepared: DataFrame) -> Document:
+    """The manifest of ``coordinator_manifest`` as rows."""
+    n = corpus.lists["candidates"].count()
+    listed = prepared.select((F.col("reviewer_place") * n + F.col("place")).alias("place"), F.col("assignment_id").alias("assignmentID"), F.col("reviewer").alias("reviewerAlias"), F.col("id").alias("candidateID"))
+    head = corpus.head.select(F.lit("1").alias("schemaVersion"), F.struct("version", "name", "sourceLedgerVersion", "annotationPolicyVersion").alias("candidateCorpus"), F.lit(True).alias("intakeValidationPassed"))
+    return Document(head, {"candidates": corpus.lists["candidates"], "assignments": listed})
+
+
+def coordinator_manifest(corpus: Document, prepared: DataFrame) -> DataFrame:
     """The one-row document that ``audit`` and ``finalize`` read: the corpus, who reviews what, and that the intake passed."""
     one = F.struct("reviewer_place", "place", F.struct(F.col("assignment_id").alias("assignmentID"), F.col("reviewer").alias("reviewerAlias"), F.col("id").alias("candidateID")).alias("a"))
     listed = prepared.groupBy().agg(F.array_sort(F.collect_list(one)).alias("x")).select(F.transform("x", lambda r: r["a"]).alias("assignments"))
-    own = corpus.select(F.struct("version", "name", "sourceLedgerVersion", "annotationPolicyVersion", "candidates").alias("candidateCorpus"))
+    fields = [c for c in corpus.lists["candidates"].columns if c != "place"]
+    candidates = corpus.lists["candidates"].groupBy().agg(F.array_sort(F.collect_list(F.struct("place", F.struct(*fields).alias("c"))), lambda a, b: (a["place"] - b["place"]).cast("int")).alias("y")).select(F.transform("y", lambda r: r["c"]).alias("candidates"))
+    own = corpus.head.select("version", "name", "sourceLedgerVersion", "annotationPolicyVersion").crossJoin(candidates).select(F.struct("version", "name", "sourceLedgerVersion", "annotationPolicyVersion", "candidates").alias("candidateCorpus"))
     return own.crossJoin(listed).select(F.lit("1").alias("schemaVersion"), "candidateCorpus", "assignments", F.lit(True).alias("intakeValidationPassed"))
 
 
-def submission_forms(corpus: DataFrame, prepared: DataFrame) -> DataFrame:
+def submission_forms(corpus: Document, prepared: DataFrame) -> DataFrame:
     """reviewer, json: each reviewer's submission with empty responses in packet order, ready to be filled in."""
     null = F.lit(None).cast("string")
     form = F.struct(F.col("assignment_id").alias("assignmentID"), F.lit(None).cast("boolean").alias("approvalEligible"), null.alias("status"), null.alias("rationale"), F.array().cast("array<string>").alias("evidenceSpans"))
     listed = prepared.groupBy("reviewer").agg(F.array_sort(F.collect_list(F.struct("position", form.alias("f")))).alias("x"))
-    both = listed.crossJoin(corpus.select("version", "annotationPolicyVersion"))
+    both = listed.crossJoin(corpus.head.select("version", "annotationPolicyVersion"))
     whole = F.struct(F.lit("1").alias("schemaVersion"), F.col("version").alias("corpusVersion"), F.col("reviewer").alias("reviewerAlias"), "annotationPolicyVersion", F.transform("x", lambda r: r["f"]).alias("responses"))
     return both.select("reviewer", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
 
@@ -214,15 +245,15 @@ def adjudicated(pairs: DataFrame, third: DataFrame) -> DataFrame:
     return out.select("candidate_id", F.when(F.col("apart"), F.col("third_status")).otherwise(F.col("status")).alias("status"), "decided_by")
 
 
-def _labels(manifest: DataFrame, submission: DataFrame) -> DataFrame:
+def _labels(manifest: Document, submission: Document) -> DataFrame:
     """A submission's responses with their assignment and candidate, where there is one."""
-    assigned = first_values(exploded(manifest, "assignments"), "assignmentID", "place").select("assignmentID", F.col("reviewerAlias").alias("assigned_to"), "candidateID")
-    own = first_values(exploded(manifest.select("candidateCorpus.candidates"), "candidates"), "id", "place").select(F.col("id").alias("candidate_id"), F.col("place").alias("candidate_place"), "evidence")
-    r = submission.select(F.col("reviewerAlias").alias("reviewer"), F.posexplode("responses").alias("place", "l")).select("reviewer", "place", "l.*")
+    assigned = first_values(manifest.lists["assignments"], "assignmentID", "place").select("assignmentID", F.col("reviewerAlias").alias("assigned_to"), "candidateID")
+    own = first_values(manifest.lists["candidates"], "id", "place").select(F.col("id").alias("candidate_id"), F.col("place").alias("candidate_place"), "evidence")
+    r = submission.head.select(F.col("reviewerAlias").alias("reviewer")).crossJoin(submission.lists["responses"])  # one row
     return r.join(assigned, "assignmentID", "left").join(own, F.col("candidateID") == F.col("candidate_id"), "left")
 
 
-def _assigned_labels(manifest: DataFrame, submission: DataFrame) -> DataFrame:
+def _assigned_labels(manifest: Document, submission: Document) -> DataFrame:
     """Labels of the reviewer's own assignments."""
     return _labels(manifest, submission).filter((F.col("assigned_to") == F.col("reviewer")) & F.col("candidate_id").isNotNull())
 
@@ -233,63 +264,90 @@ def _last_labels(labels: DataFrame) -> DataFrame:
     return labels.withColumn("_k", last).filter("_k = 1").select("candidate_id", "approvalEligible", "status")
 
 
-def audit(manifest: DataFrame, primaries: list[DataFrame]) -> dict:
-    """Counts, disagreements, kappa, the adjudicator with their assignments, and issues.
-
-    Lists of ids are as long as the disagreements; everything else is a summary.
-    """
-    m = manifest.select("candidateCorpus.version", "candidateCorpus.annotationPolicyVersion", "intakeValidationPassed", F.size("candidateCorpus.candidates").alias("n")).first()
-    aliases = [s.select("reviewerAlias").first()[0] for s in primaries]
-    out = {"corpusVersion": m["version"], "reviewerAliases": aliases, "candidateCount": m["n"], "binaryAgreementCount": 0, "binaryDisagreementCount": 0, "detailedDisagreementCandidateIDs": [], "adjudicatorAlias": None, "adjudicationAssignmentIDs": [], "binaryLabelAgreement": None, "issues": []}
+@dataclass(frozen=True)
+class Audit:
+    """What an audit found: a summary, and tables of disputed candidates, of the adjudicator's assignments of these, and of issues, each in order."""
+
+    summary: dict
+    disputed: DataFrame
+    sealed: DataFrame
+    issues: DataFrame
+    n_issues: int
+
+    @property
+    def reliable(self) -> bool:
+        k = self.summary["binaryLabelAgreement"]
+        return not self.n_issues and k is not None and k >= KAPPA
+
+    def document(self) -> dict:
+        """The whole audit as one document, for a report that lists every id."""
+        listed = lambda df, c: [r[0] for r in df.orderBy("ordinal").select(c).toLocalIterator()]
+        return self.summary | {"detailedDisagreementCandidateIDs": listed(self.disputed, "id"), "adjudicationAssignmentIDs": listed(self.sealed, "id"), "issues": listed(self.issues, "issue")}
+
+
+def audit(manifest: Document, primaries: list[Document]) -> Audit:
+    """Counts, disagreements, kappa, the adjudicator with their assignments, and issues."""
+    spark = manifest.head.sparkSession
+    m = manifest.head.select("candidateCorpus.version", "candidateCorpus.annotationPolicyVersion", "intakeValidationPassed").first()
+    assigned, n = manifest.lists["assignments"], manifest.lists["candidates"].count()
+    heads = [s.head.select("reviewerAlias", "corpusVersion", "annotationPolicyVersion").first() for s in primaries]
+    aliases = [h["reviewerAlias"] for h in heads]
+    out = {"corpusVersion": m["version"], "reviewerAliases": aliases, "candidateCount": n, "binaryAgreementCount": 0, "binaryDisagreementCount": 0, "adjudicatorAlias": None, "binaryLabelAgreement": None}
+    said: list[tuple[int, str]] = []
+    none = spark.createDataFrame([], "ordinal long, id string")
     if len(primaries) != 2:
-        return out | {"issues": ["exactly two primary submissions are required"]}
-    issues: list[str] = out["issues"]
+        return Audit(out, none, none, *_found(spark, [(0, "exactly two primary submissions are required")], []))
     if not m["intakeValidationPassed"]:
-        issues.append("coordinator manifest was not created from a validated intake")
+        said.append((0, "coordinator manifest was not created from a validated intake"))
     if len(set(aliases)) != 2:
-        issues.append("primary submissions do not have two distinct reviewer aliases")
-    assigned = exploded(manifest, "assignments")
+        said.append((0, "primary submissions do not have two distinct reviewer aliases"))
     if duplicates(assigned, "assignmentID").limit(1).count():
-        issues.append("coordinator manifest contains duplicate assignment IDs")
-    kept = []
-    for alias, submission in zip(aliases, primaries, strict=True):
-        head = submission.select("corpusVersion", "annotationPolicyVersion").first()
-        prefix = f"submission {alias}"
+        said.append((0, "coordinator manifest contains duplicate assignment IDs"))
+    kept, tables = [], []
+    for i, (head, submission) in enumerate(zip(heads, primaries, strict=True)):
+        section, prefix = 1 + 2 * i, f"submission {head['reviewerAlias']}"
         if head["corpusVersion"] != m["version"]:
-            issues.append(f"{prefix} has the wrong corpus version")
+            said.append((section, f"{prefix} has the wrong corpus version"))
         if head["annotationPolicyVersion"] != m["annotationPolicyVersion"]:
-            issues.append(f"{prefix} has the wrong annotation policy version")
-        got = exploded(submission, "responses").select("assignmentID")
+            said.append((section, f"{prefix} has the wrong annotation policy version"))
+        got = submission.lists["responses"].select("assignmentID")
         if duplicates(got, "assignmentID").limit(1).count():
-            issues.append(f"{prefix} contains duplicate assignment IDs")
-        due = assigned.filter(F.col("reviewerAlias") == alias).select("assignmentID").distinct()
+            said.append((section, f"{prefix} contains duplicate assignment IDs"))
+        due = assigned.filter(F.col("reviewerAlias") == head["reviewerAlias"]).select("assignmentID").distinct()
         missing, extra = due.join(got, "assignmentID", "left_anti").count(), got.distinct().join(due, "assignmentID", "left_anti").count()
         if missing:
-            issues.append(f"{prefix} is missing {missing} assignments")
+            said.append((section, f"{prefix} is missing {missing} assignments"))
         if extra:
-            issues.append(f"{prefix} contains {extra} unexpected assignments")
+            said.append((section, f"{prefix} contains {extra} unexpected assignments"))
         own = _assigned_labels(manifest, submission)
-        issues += [r["issue"] for r in label_issues(own).orderBy("place", "rule").collect()]
+        tables.append(label_issues(own).withColumn("section", F.lit(section + 1)))
         kept.append(_last_labels(own))
     pairs = disagreements(*kept)
     k = kappa(pairs, "approvalEligible", "other").first()
     apart = pairs.filter("apart").select("candidate_id")
-    value = k["kappa"] if not issues and k["n"] == m["n"] else None
-    if not issues and value is None:
-        issues.append("Cohen's kappa is undefined because both reviewers used only one binary class")
+    faulty = said or any(t.limit(1).count() for t in tables)
+    value = k["kappa"] if not faulty and k["n"] == n else None
+    if not faulty and value is None:
+        said.append((9, "Cohen's kappa is undefined because both reviewers used only one binary class"))
     third = [r[0] for r in assigned.filter(~F.col("reviewerAlias").isin(*aliases)).select("reviewerAlias").distinct().limit(2).collect()]
     adjudicator = third[0] if len(third) == 1 else None
     if adjudicator is None:
-        issues.append("manifest does not identify exactly one distinct adjudicator")
+        said.append((9, "manifest does not identify exactly one distinct adjudicator"))
     sealed = assigned.filter(F.col("reviewerAlias") == adjudicator).join(apart, F.col("candidateID") == F.col("candidate_id"), "left_semi")
-    return out | {
-        "binaryAgreementCount": k["n_agree"], "binaryDisagreementCount": k["n"] - k["n_agree"], "detailedDisagreementCandidateIDs": [r[0] for r in apart.orderBy("candidate_id").collect()],
-        "adjudicatorAlias": adjudicator, "adjudicationAssignmentIDs": [r[0] for r in sealed.select("assignmentID").orderBy("assignmentID").collect()], "binaryLabelAgreement": value, "issues": issues,
-    }
+    listed = lambda df, c: ordinals.numbered(df.select(F.col(c).alias("id")), "id", name="ordinal")
+    out |= {"binaryAgreementCount": k["n_agree"], "binaryDisagreementCount": k["n"] - k["n_agree"], "adjudicatorAlias": adjudicator, "binaryLabelAgreement": value}
+    return Audit(out, listed(apart, "candidate_id"), listed(sealed, "assignmentID"), *_found(spark, said, tables))
 
 
-def reliable(audited: dict) -> bool:
-    return not audited["issues"] and audited["binaryLabelAgreement"] is not None and audited["binaryLabelAgreement"] >= KAPPA
+def _found(spark, said: list[tuple[int, str]], tables: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Issues of a whole document and of its labels, in order, and their number."""
+    own = spark.createDataFrame([(s, i, 0, text) for i, (s, text) in enumerate(said)], "section int, place int, rule long, issue string")
+    issues = in_order(_listed([own, *tables]))
+    return issues, issues.count()
+
+
+def reliable(audited: Audit) -> bool:
+    return audited.reliable
 
 
 def category(status: Column) -> Column:
@@ -298,16 +356,17 @@ def category(status: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), status)
 
 
-def finalize(manifest: DataFrame, primaries: list[DataFrame], adjudication: DataFrame, origin: str, split: str) -> tuple[dict, DataFrame]:
+def finalize(manifest: Document, primaries: list[Document], adjudication: Document, origin: str, split: str) -> tuple[dict, DataFrame]:
     """The corpus' head and its claim cases: agreed labels, and adjudicated ones where reviewers differ."""
     audited = audit(manifest, primaries)
-    if audited["issues"] or audited["binaryLabelAgreement"] is None:
-        raise WorkflowError("invalidSubmissions", audited["issues"])
-    if audited["binaryLabelAgreement"] < KAPPA:
-        raise WorkflowError("invalidSubmissions", [f"pre-adjudication Cohen's kappa {audited['binaryLabelAgreement']} is below 0.80"])
-    m = manifest.select("candidateCorpus.version", "candidateCorpus.name", "candidateCorpus.annotationPolicyVersion").first()
-    a = adjudication.select("reviewerAlias", "corpusVersion", "annotationPolicyVersion").first()
-    if a["reviewerAlias"] in audited["reviewerAliases"]:
+    agreement = audited.summary["binaryLabelAgreement"]
+    if audited.n_issues or agreement is None:
+        _refused("invalidSubmissions", audited.issues.drop("ordinal"))
+    if agreement < KAPPA:
+        raise WorkflowError("invalidSubmissions", [f"pre-adjudication Cohen's kappa {agreement} is below 0.80"])
+    m = manifest.head.select("candidateCorpus.version", "candidateCorpus.name", "candidateCorpus.annotationPolicyVersion").first()
+    a = adjudication.head.select("reviewerAlias", "corpusVersion", "annotationPolicyVersion").first()
+    if a["reviewerAlias"] in audited.summary["reviewerAliases"]:
         raise WorkflowError("invalidReviewers", ["adjudicator must be distinct from primary reviewers"])
     if (a["corpusVersion"], a["annotationPolicyVersion"]) != (m["version"], m["annotationPolicyVersion"]):
         raise WorkflowError("invalidSubmissions", ["adjudication submission has the wrong corpus or annotation policy version"])
@@ -317,24 +376,21 @@ def finalize(manifest: DataFrame, primaries: list[DataFrame], adjudication: Data
     fits = (F.col("assigned_to") == F.col("reviewer")) & F.col("candidate_id").isNotNull()
     labels = labels.withColumn("fits", F.coalesce(fits, F.lit(False))).join(disputed, F.col("candidate_id") == F.col("disputed"), "left")
     good = labels.filter(F.col("fits") & F.col("disputed").isNotNull())
-    issues = [r["issue"] for r in _listed([
+    issues = _listed([
         _checks(labels, 1, "place", [(~F.col("fits"), "adjudication contains an unknown assignment"), (F.col("fits") & F.col("disputed").isNull(), F.concat(F.lit("adjudication includes non-disputed candidate "), "candidate_id"))]),
         label_issues(good),
-    ]).orderBy("place", "rule").collect()]
-    issues += [f"adjudication contains duplicate response for {r['candidate_id']}" for r in duplicates(good, "candidate_id").orderBy("candidate_id").collect()]
-    missing = disputed.join(good.select(F.col("candidate_id").alias("_have")), F.col("disputed") == F.col("_have"), "left_anti").count()
-    if missing:
-        issues.append(f"adjudication is missing {missing} disputed candidates")
-    if issues:
-        raise WorkflowError("invalidSubmissions", issues)
+        duplicates(good, "candidate_id").select(F.lit(2).alias("section"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("rule"), F.concat(F.lit("adjudication contains duplicate response for "), "candidate_id").alias("issue")),
+    ])
+    missing = disputed.join(good.select(F.col("candidate_id").alias("_have")), F.col("disputed") == F.col("_have"), "left_anti").agg(F.count("*").alias("n")).filter("n > 0")
+    _refused("invalidSubmissions", issues.unionByName(missing.select(F.lit(3).alias("section"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("rule"), F.concat(F.lit("adjudication is missing "), F.col("n").cast("string"), F.lit(" disputed candidates")).alias("issue"))))
     fields = ["candidate_id", "status", "rationale", "evidenceSpans"]
     first = [_labels(manifest, s).filter("candidate_id is not null").select(*fields, F.lit(i).alias("turn"), "place") for i, s in enumerate(primaries)]
     agreed = first[0].unionByName(first[1]).withColumn("_k", F.row_number().over(Window.partitionBy("candidate_id").orderBy("turn", "place"))).filter("_k = 1").select(*fields)
     chosen = agreed.join(disputed, F.col("candidate_id") == F.col("disputed"), "left_anti").unionByName(good.select(*fields))
-    own = exploded(manifest.select("candidateCorpus.candidates"), "candidates")
+    own = manifest.lists["candidates"]
     spans = F.when(F.size("evidenceSpans") > 0, F.col("evidenceSpans"))
     cases = own.join(chosen, F.col("id") == F.col("candidate_id")).select(
         "place", "id", category(F.col("status")).alias("category"), "claimText", "claimType", "evidence", F.col("status").alias("expectedStatus"), "rationale", "matterID", "challengeTags", spans.alias("goldEvidenceSpans")
     )
-    metadata = {"origin": origin, "split": split, "independentlyLabeled": True, "annotatorsPerClaim": 2, "binaryLabelAgreement": audited["binaryLabelAgreement"], "annotationPolicyVersion": m["annotationPolicyVersion"]}
+    metadata = {"origin": origin, "split": split, "independentlyLabeled": True, "annotatorsPerClaim": 2, "binaryLabelAgreement": agreement, "annotationPolicyVersion": m["annotationPolicyVersion"]}
     return {"version": m["version"], "name": m["name"], "metadata": metadata}, cases

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as X
 from attestra.functions.identity import passage_fingerprint, policy_fingerprint
+from attestra.functions.identity import policy_fingerprints as policy_fingerprint_of
 from attestra.operators import annotation, benchmark, extract, provenance, report, retrieve, verify
 from attestra.schemas import CATEGORIES, SOURCE_TYPES, STATUSES, Policy
 
@@ -76,11 +77,12 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as expected and a rule on lengths as predicted statuses."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id")
+    """Labels as expected statuses; predicted is the verdict on a document's first claim, and a document without claims cannot be verified."""
+    d = _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels"), "doc_id")
     good, toxic = F.col("quality") == 1, F.col("toxic") == 1
     expected = F.when(good & ~toxic, "directlySupported").when(good, "partiallySupported").when(~toxic, "unsupported").otherwise("contradicted")
-    return d.select(F.col("doc_id").alias("id"), _nth(CATEGORIES, F.col("doc_id") % len(CATEGORIES)).alias("category"), expected.alias("expected"), _nth(STATUSES, F.col("n_chars") % len(STATUSES)).alias("predicted"), ((F.col("n_chars") % 101) / 100.0).alias("confidence"))
+    first = verify.verdicts(_claims(spark, sf_dir).filter("ordinal = 0"), _evidence(spark, sf_dir)).select("doc_id", "status", "confidence")
+    return d.join(first, "doc_id", "left").select(F.col("doc_id").alias("id"), _nth(CATEGORIES, F.col("doc_id") % len(CATEGORIES)).alias("category"), expected.alias("expected"), F.coalesce("status", F.lit("notVerifiable")).alias("predicted"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
 # --- the same in SQL
@@ -219,8 +221,8 @@ _RESULTS = f"""
 results AS (
   SELECT doc_id AS id, {_list(CATEGORIES)}[CAST(doc_id % 8 + 1 AS INTEGER)] AS category,
     CASE WHEN quality = 1 AND toxic <> 1 THEN 'directlySupported' WHEN quality = 1 THEN 'partiallySupported' WHEN toxic <> 1 THEN 'unsupported' ELSE 'contradicted' END AS expected,
-    {_list(STATUSES)}[CAST(n_chars % 7 + 1 AS INTEGER)] AS predicted, (n_chars % 101) / 100.0::DOUBLE AS confidence
-  FROM documents JOIN labels USING (doc_id)
+    coalesce(status, 'notVerifiable') AS predicted, coalesce(confidence, 1.0) AS confidence
+  FROM documents JOIN labels USING (doc_id) LEFT JOIN (SELECT doc_id, status, confidence FROM verdicts WHERE ordinal = 0) USING (doc_id)
 )"""
 _APPROVED = "('directlySupported', 'supportedByInference')"
 
@@ -274,17 +276,23 @@ def passage_fingerprints(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", passage_fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query(f"SELECT '{policy_fingerprint(Policy())}' AS fingerprint, 'default' AS policy UNION ALL SELECT sha256(concat_ws(chr(10), 'specVersion:1.0', 'verifier:cpk-lexical', 'verifierVersion:1.0', 'supportedThreshold:0.9', 'ambiguousThreshold:0.4', 'contradictionThreshold:0.55', 'maximumEvidenceMatches:3')), 'strict'")
+@query("SELECT item_id, sha256(concat_ws(chr(10), 'specVersion:1.0', 'verifier:cpk-lexical', 'verifierVersion:1.0', 'supportedThreshold:0.' || (item_id % 4 + 6), 'ambiguousThreshold:0.4', 'contradictionThreshold:0.55', 'maximumEvidenceMatches:' || item_id % 5)) AS fingerprint FROM benchmark")
 def policy_fingerprints(spark, sf_dir):
-    return spark.createDataFrame([("default", policy_fingerprint(Policy())), ("strict", policy_fingerprint(Policy(supported=0.9)))], "policy string, fingerprint string")
+    """A policy of each passage's own."""
+    i = F.col("item_id")
+    own = _table(spark, sf_dir, "benchmark").select("item_id", ((i % 4 + 6) / 10).alias("supported"), (i % 5).cast("int").alias("most"))
+    return own.select("item_id", policy_fingerprint_of(F.col("supported"), F.lit(0.4), F.lit(0.55), F.col("most")).alias("fingerprint"))
 
 
 # --- retrieval and verification
 
 
-@query("SELECT type, source_type, eligible FROM (SELECT *, " + _ELIGIBLE + f" AS eligible FROM (SELECT unnest({_list(verify.CLAIM_TYPES)}) AS type), (SELECT unnest({_list(SOURCE_TYPES)}) AS source_type))")
+@query(_with(_CTE, _EVIDENCE) + f"SELECT type, source_type, n_claims, n_passages, {_ELIGIBLE} AS eligible FROM (SELECT type, count(*) AS n_claims FROM claims GROUP BY type), (SELECT source_type, count(*) AS n_passages FROM evidence GROUP BY source_type)")
 def eligibility_matrix(spark, sf_dir):
-    return verify.eligibility(spark)
+    """The claim and source types that occur, how often, and which may support which."""
+    of = lambda rows, c, n: rows.groupBy(c).agg(F.count("*").alias(n))
+    claims, evidence = of(_claims(spark, sf_dir), "type", "n_claims"), of(_evidence(spark, sf_dir), "source_type", "n_passages")
+    return verify.eligibility(spark).join(claims, "type").join(evidence, "source_type").select("type", "source_type", "n_claims", "n_passages", "eligible")
 
 
 @query(_with(_CTE, _EVIDENCE, _MATCHES) + "SELECT doc_id, ordinal, rank, id, round(score, 9) AS score FROM ranked WHERE rank <= 3")
@@ -397,30 +405,30 @@ def run_fingerprints(spark, sf_dir):
 # --- benchmark metrics
 
 
-@query(_with(_RESULTS) + "SELECT expected, predicted, count(*) AS n FROM results GROUP BY ALL")
+@query(_with(*_ALL, _RESULTS) + "SELECT expected, predicted, count(*) AS n FROM results GROUP BY ALL")
 def confusion_matrix(spark, sf_dir):
     return benchmark.confusion(_results(spark, sf_dir))
 
 
-@query(_with(_RESULTS) + f"""SELECT status, CAST(sum((expected = status)::INT) AS BIGINT) AS n_expected, CAST(sum((predicted = status)::INT) AS BIGINT) AS n_predicted, CAST(sum((expected = status AND predicted = status)::INT) AS BIGINT) AS n_match,
+@query(_with(*_ALL, _RESULTS) + f"""SELECT status, CAST(sum((expected = status)::INT) AS BIGINT) AS n_expected, CAST(sum((predicted = status)::INT) AS BIGINT) AS n_predicted, CAST(sum((expected = status AND predicted = status)::INT) AS BIGINT) AS n_match,
   round(CASE WHEN n_predicted = 0 THEN 1 ELSE n_match / n_predicted END, 9) AS precision, round(CASE WHEN n_expected = 0 THEN 1 ELSE n_match / n_expected END, 9) AS recall
 FROM results, (SELECT unnest({_list(STATUSES)}) AS status) GROUP BY status""")
 def status_metrics(spark, sf_dir):
     return benchmark.status_metrics(_results(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
 
 
-@query(_with(_RESULTS) + f"SELECT category, count(*) AS n_cases, count(*) FILTER (WHERE expected = predicted) AS n_exact, count(*) FILTER (WHERE predicted IN {_APPROVED} AND expected NOT IN {_APPROVED}) AS n_dangerous, round(n_exact / n_cases, 9) AS exact_rate FROM results GROUP BY category")
+@query(_with(*_ALL, _RESULTS) + f"SELECT category, count(*) AS n_cases, count(*) FILTER (WHERE expected = predicted) AS n_exact, count(*) FILTER (WHERE predicted IN {_APPROVED} AND expected NOT IN {_APPROVED}) AS n_dangerous, round(n_exact / n_cases, 9) AS exact_rate FROM results GROUP BY category")
 def category_metrics(spark, sf_dir):
     return benchmark.category_metrics(_results(spark, sf_dir)).withColumn("exact_rate", F.round("exact_rate", 9))
 
 
-@query(_with(_RESULTS) + """SELECT CAST(b AS INTEGER) AS bin, count(id) AS n_cases, round(coalesce(avg(confidence), 0), 9) AS mean_confidence, round(coalesce(avg((expected = predicted)::INT), 0), 9) AS exact_rate
+@query(_with(*_ALL, _RESULTS) + """SELECT CAST(b AS INTEGER) AS bin, count(id) AS n_cases, round(coalesce(avg(confidence), 0), 9) AS mean_confidence, round(coalesce(avg((expected = predicted)::INT), 0), 9) AS exact_rate
 FROM range(5) t(b) LEFT JOIN results ON least(4, greatest(0, CAST(floor(confidence * 5) AS INTEGER))) = b GROUP BY b""")
 def calibration(spark, sf_dir):
     return benchmark.calibration(_results(spark, sf_dir)).select("bin", "n_cases", F.round("mean_confidence", 9).alias("mean_confidence"), F.round("exact_rate", 9).alias("exact_rate"))
 
 
-@query(_with(_RESULTS) + """SELECT round(sum(n * abs(r - c)) / sum(n), 9) AS calibration_error FROM (SELECT count(*) AS n, avg(confidence) AS c, avg((expected = predicted)::INT) AS r FROM results GROUP BY least(4, CAST(floor(confidence * 5) AS INTEGER)))""")
+@query(_with(*_ALL, _RESULTS) + """SELECT round(sum(n * abs(r - c)) / sum(n), 9) AS calibration_error FROM (SELECT count(*) AS n, avg(confidence) AS c, avg((expected = predicted)::INT) AS r FROM results GROUP BY least(4, CAST(floor(confidence * 5) AS INTEGER)))""")
 def calibration_error(spark, sf_dir):
     return benchmark.calibration_error(benchmark.calibration(_results(spark, sf_dir))).select(F.round("calibration_error", 9).alias("calibration_error"))
 
@@ -432,9 +440,9 @@ _METRICS = f"""c AS (SELECT count(*) AS n_cases, count(*) FILTER (WHERE expected
 b AS (SELECT *, n_dangerous / n_unsafe AS p, 1.6448536269514722 * 1.6448536269514722 AS z2 FROM c)"""
 
 
-@query(_with(_RESULTS, _METRICS) + """SELECT n_cases, n_unsafe, n_dangerous, round(CASE WHEN n_unsafe = 0 THEN 1 WHEN n_dangerous = 0 THEN 1 - pow(0.05, 1 / n_unsafe)
+@query(_with(*_ALL, _RESULTS, _METRICS) + """SELECT n_cases, n_unsafe, n_dangerous, round(CASE WHEN n_unsafe = 0 THEN 1 WHEN n_dangerous = 0 THEN 1 - pow(0.05, 1 / n_unsafe)
   ELSE least(1, ((p + z2 / (2 * n_unsafe)) + 1.6448536269514722 * sqrt(p * (1 - p) / n_unsafe + z2 / (4 * n_unsafe * n_unsafe))) / (1 + z2 / n_unsafe)) END, 9) AS upper_bound,
-  round(n_exact / n_cases, 9) AS verdict_accuracy, round(p, 9) AS false_supported_rate, round(n_found / n_con, 9) AS contradiction_recall, round(n_right / n_approved, 9) AS supported_precision,
+  round(n_exact / n_cases, 9) AS verdict_accuracy, round(p, 9) AS false_supported_rate, round(n_found / n_con, 9) AS contradiction_recall, round(CASE WHEN n_approved = 0 THEN 1 ELSE n_right / n_approved END, 9) AS supported_precision,
   round(n_right / n_good, 9) AS approval_recall, round(n_flagged_right / n_unsafe, 9) AS unsupported_recall, round(n_flagged_right / n_flagged, 9) AS warning_precision FROM b""")
 def benchmark_metrics(spark, sf_dir):
     m = benchmark.metrics(_results(spark, sf_dir))

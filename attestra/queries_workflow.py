@@ -13,8 +13,9 @@ from attestra import bridge, render
 from attestra import schemas as S
 from attestra.functions import identity as I
 from attestra.functions import text as X
-from attestra.operators import annotation, benchmark, extract, provenance, report, retrieve, verify
+from attestra.operators import annotation, benchmark, extract, ordinals, provenance, report, retrieve, verify
 from attestra.operators.extract import claim_type
+from attestra.operators.stored import stored
 from attestra.plans.pipeline import Pipeline
 from attestra.queries import (
     _ALL, _APPROVED, _CTE, _DISPOSED, _EVENTS, _EVIDENCE, _FNV, _PRINTS, _REPORTS, _RESULTS, _any, _documents, _evidence, _ladder, _list, _reports, _results, _table, _terms, _tokens, _traced, _values, _verdicts, _with,
@@ -22,6 +23,7 @@ from attestra.queries import (
 )
 from attestra.schemas import STATUSES, Policy
 from attestra.sources import json as J
+from attestra.sources.elements import Document
 
 # --- verdicts
 
@@ -87,7 +89,9 @@ def file_names(spark, sf_dir):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
 def iso_dates(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at") if str(_table(spark, sf_dir, "events").schema["ts"].dataType) == "TimestampNTZType()" else I.iso_utc(F.col("ts")).alias("at"))
+    """Times without a zone are UTC, whatever the session's zone."""
+    own = _table(spark, sf_dir, "events")
+    return own.select("event_id", I.iso_utc(F.to_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("at"))
 
 
 @query(_with(*_ALL, _PRINTS, _REPORTS) + f"""SELECT doc_id, '{{"version":1,"disposition":"' || {_DISPOSED} || '","reportFingerprint":"' || report_fingerprint || '","policyFingerprint":"{I.policy_fingerprint(Policy())}","blockingClaimIDs":[' ||
@@ -174,10 +178,9 @@ def verify_inputs(spark, sf_dir):
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case of each passage: as a claim against itself, or for odd ids against the next one."""
-    from pyspark.sql import Window
-
-    own = _table(spark, sf_dir, "benchmark")
-    other = F.coalesce(F.lead("text").over(Window.orderBy("item_id")), F.col("text"))
+    own = ordinals.numbered(_table(spark, sf_dir, "benchmark"), "item_id")
+    after = own.select((F.col("place") - 1).alias("place"), F.col("text").alias("next"))
+    own, other = own.join(after, "place", "left"), F.coalesce("next", "text")
     i = F.col("item_id")
     kind = F.when(i % 7 == 6, "recommendation").otherwise("factual")
     evidence = F.array(F.struct(F.lit("p").alias("id"), F.lit("s").alias("source"), F.lit("courtRecord").alias("sourceType"), F.when(i % 2 == 0, F.col("text")).otherwise(other).alias("text")))
@@ -206,13 +209,10 @@ _CASES = _CASE_CTE + _ladder()
 
 @query(_with(_CASES) + "SELECT id, category, expected, status AS predicted, round(confidence, 9) AS confidence FROM verdicts")
 def case_results(spark, sf_dir):
-    """Benchmark cases through a JSON corpus and the verifier, each against its own evidence."""
+    """Benchmark cases through JSON and the verifier, each against its own evidence."""
     cases = _cases(spark, sf_dir)
-    corpus = cases.groupBy().agg(F.array_sort(F.collect_list(F.struct(*cases.columns))).alias("claimCases")).select(
-        F.lit("v1").alias("version"), F.lit("passages").alias("name"), F.lit(None).cast(S.METADATA).alias("metadata"), "claimCases", F.array().cast(S.CORPUS["extractionCases"].dataType).alias("extractionCases")
-    )
-    written = corpus.select(F.to_json(F.struct(*corpus.columns)).alias("r"))
-    _, read, _ = J.split_corpus(J.parsed(written, "r", S.CORPUS).select("r.*"))
+    written = cases.select(F.to_json(F.struct(*cases.columns)).alias("r"))
+    read = J.claim_cases(J.parsed(written, "r", S.CLAIM_CASE).select("r.*"))
     return benchmark.claim_results(read).withColumn("confidence", F.round("confidence", 9))
 
 
@@ -274,7 +274,7 @@ def benchmark_gates(spark, sf_dir):
     return spark.createDataFrame([(r.passes, r.ships, "; ".join(r.release_failures))], "passes boolean, ships boolean, blockers string")
 
 
-@query(_with(_RESULTS) + """SELECT printf('| %.1f–%.1f | %d | %.2f | %.1f%% |', CAST(b / 5 AS DOUBLE), CAST((b + 1) / 5 AS DOUBLE), n, c, CAST(r * 100 AS DOUBLE)) AS line
+@query(_with(*_ALL, _RESULTS) + """SELECT printf('| %.1f–%.1f | %d | %.2f | %.1f%% |', CAST(b / 5 AS DOUBLE), CAST((b + 1) / 5 AS DOUBLE), n, c, CAST(r * 100 AS DOUBLE)) AS line
 FROM (SELECT least(4, CAST(floor(confidence * 5) AS INTEGER)) AS b, count(*) AS n, avg(confidence) AS c, avg((expected = predicted)::INT) AS r FROM results GROUP BY b)""")
 def calibration_lines(spark, sf_dir):
     """The calibration table as a rendered report shows it."""
@@ -322,9 +322,9 @@ def bridge_responses(spark, sf_dir):
 # --- annotation
 
 
-def _corpus(spark: SparkSession, sf_dir: str, faults: bool) -> tuple[DataFrame, DataFrame]:
-    """Candidates and their ledger through JSON; faults are dealt by item id."""
-    own = _table(spark, sf_dir, "benchmark")
+def _corpus(spark: SparkSession, sf_dir: str, faults: bool) -> tuple[Document, Document]:
+    """Candidates and their ledger as rows, each through JSON; faults are dealt by item id."""
+    own = ordinals.numbered(_table(spark, sf_dir, "benchmark"), "item_id").withColumn("place", F.col("place").cast("int"))
     i = F.col("item_id")
     odd = lambda n, r: F.lit(faults) & (i % n == r)
     name = i.cast("string")
@@ -339,13 +339,10 @@ def _corpus(spark: SparkSession, sf_dir: str, faults: bool) -> tuple[DataFrame,
         F.lit("j").alias("jurisdiction"), F.lit("d").alias("retrievedAt"), F.lit("publicRecordReusePermitted").alias("authorizationBasis"), F.lit("l").alias("licenseOrTerms"), (~odd(10, 7)).alias("redistributionPermitted"),
         F.when(odd(4, 3), "zz").otherwise(F.upper(F.sha2("text", 256))).alias("contentSHA256"), F.when(odd(12, 6), "pending").otherwise("notRequired").alias("deidentificationReview"), F.lit(False).alias("containsDirectPersonalIdentifiers"), F.lit(False).alias("containsRestrictedMaterial"),
     )
-    listed = own.groupBy().agg(F.array_sort(F.collect_list(F.struct("item_id", F.to_json(candidate).alias("c"), F.to_json(source).alias("s")))).alias("x"))
-    joined = lambda k: F.array_join(F.transform("x", lambda r: r[k]), ",")
-    policy = "" if faults else "P"
-    corpus = F.concat(F.lit(f'{{"version":"1","name":"n","sourceLedgerVersion":"L","annotationPolicyVersion":"{policy}","candidates":['), joined("c"), F.lit("]}"))
-    written = listed.select(corpus.alias("corpus"), F.concat(F.lit('{"version":"L","sources":['), joined("s"), F.lit("]}")).alias("ledger"))
-    read = lambda c, schema: J.parsed(written.select(c), c, schema).select(f"{c}.*")
-    return read("corpus", S.CANDIDATES), read("ledger", S.LEDGER)
+    read = lambda c, schema: J.parsed(own.select("place", F.to_json(c).alias("x")), "x", schema).select("place", "x.*")
+    head = lambda **of: spark.createDataFrame([tuple(of.values())], ", ".join(f"{c} string" for c in of))
+    corpus = Document(head(version="1", name="n", sourceLedgerVersion="L", annotationPolicyVersion="" if faults else "P"), {"candidates": read(candidate, S.CANDIDATE)})
+    return corpus, Document(head(version="L"), {"sources": read(source, S.SOURCE_RECORD)})
 
 
 @query("""WITH x AS (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS place, 's' || item_id AS s, 'c' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS c FROM benchmark)
@@ -373,12 +370,11 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLACED = "x AS (SELECT item_id, text, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS place, 'c' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS c FROM benchmark), a AS (SELECT *, 'assignment-' || sha256('7|' || reviewer || '|' || c || '|' || place) AS assignment FROM x, (SELECT unnest(['ann', 'bo', 'cy']) AS reviewer))"
 
 
-@query(f"WITH {_PLACED} SELECT reviewer, assignment AS \"assignmentID\", 'm' AS \"matterID\", sha256(text) AS claim, CAST(1 AS INTEGER) AS n_passages, CAST(count(*) OVER (PARTITION BY reviewer) AS BIGINT) AS n_positions FROM a")
+@query(f"WITH {_PLACED} SELECT reviewer, assignment AS \"assignmentID\", 'm' AS \"matterID\", sha256(text) AS claim, CAST(1 AS INTEGER) AS n_passages, CAST(row_number() OVER (PARTITION BY reviewer ORDER BY assignment) AS INTEGER) AS position FROM a")
 def annotation_packets(spark, sf_dir):
-    """Each reviewer's blinded packet; positions are a permutation, which their count of distinct values shows."""
+    """Each reviewer's blinded packet, position by position."""
     p = annotation.packets(_prepared(spark, sf_dir))
-    n = p.groupBy("reviewer").agg(F.countDistinct("position").alias("n_positions"))
-    return p.join(n, "reviewer").select("reviewer", "assignmentID", "matterID", F.sha2("claimText", 256).alias("claim"), F.size("evidence").alias("n_passages"), "n_positions")
+    return p.select("reviewer", "assignmentID", "matterID", F.sha2("claimText", 256).alias("claim"), F.size("evidence").alias("n_passages"), "position")
 
 
 @query(f"""WITH {_PLACED} SELECT reviewer, '{{"assignmentID":"' || assignment || '","approvalEligible":null,"status":null,"rationale":null,"evidenceSpans":[]}}' AS json FROM a""")
@@ -386,31 +382,27 @@ def annotation_templates(spark, sf_dir):
     return annotation.templates(_prepared(spark, sf_dir)).select("reviewer", "json")
 
 
-def _submitted(spark: SparkSession, sf_dir: str, faults: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A manifest, two primary submissions and an adjudication through JSON."""
+def _submitted(spark: SparkSession, sf_dir: str, faulty: tuple[str, ...] = ()) -> tuple[Document, Document, Document, Document]:
+    """A manifest, two primary submissions and an adjudication as rows, each response through JSON; labels of ``faulty`` reviewers have faults dealt by item id."""
     corpus, ledger = _corpus(spark, sf_dir, False)
-    prepared = annotation.prepare(corpus, ledger, _ALIASES, seed=7)
+    prepared = stored(annotation.prepare(corpus, ledger, _ALIASES, seed=7))
     i = F.substring("id", 2, 6).cast("int")
     base = F.when(i % 3 == 0, "unsupported").otherwise("directlySupported")
     status = {"ann": base, "bo": F.when(i % 16 == 5, "contradicted").otherwise(base), "cy": F.lit("partiallySupported")}
-    fields = F.struct("place", F.struct(F.col("assignment_id").alias("assignmentID"), F.col("reviewer").alias("reviewerAlias"), F.col("id").alias("candidateID")).alias("a"))
-    listed = prepared.groupBy().agg(F.array_sort(F.collect_list(fields)).alias("x")).select(F.transform("x", lambda r: r["a"]).alias("assignments"))
-    whole = corpus.select(F.struct(*corpus.columns).alias("candidateCorpus")).crossJoin(listed)
-    manifest = whole.select(F.to_json(F.struct(F.lit("1").alias("schemaVersion"), "candidateCorpus", "assignments", F.lit(True).alias("intakeValidationPassed"))).alias("r"))
 
-    def submission(who: str) -> DataFrame:
-        s = status[who]
+    def submission(who: str) -> Document:
+        s, faults = status[who], who in faulty
         t = F.col("evidence")[0]["text"]
         quote = F.when(F.lit(faults) & (i % 6 == 1), F.concat(F.lit("~"), t)).otherwise(F.substring(t, 1, 12))
         span = F.struct(F.when(F.lit(faults) & (i % 6 == 2), "q").otherwise("p").alias("evidenceID"), quote.alias("exactQuote"), F.when(i % 4 == 0, F.lit(0)).alias("startUTF16"), F.when((i % 4 == 0) & ~(F.lit(faults) & (i % 8 == 4)), F.when(F.lit(faults) & (i % 12 == 8), 5).otherwise(12)).alias("endUTF16"))
         label = F.struct(F.col("assignment_id").alias("assignmentID"), ((s == "directlySupported") != (F.lit(faults) & (i % 10 == 9))).alias("approvalEligible"), s.alias("status"), F.when(F.lit(faults) & (i % 14 == 3), " ").otherwise("because").alias("rationale"), F.when(s == "unsupported", F.array().cast(S.LABEL["evidenceSpans"].dataType)).otherwise(F.array(span)).alias("evidenceSpans"))
         mine = prepared.filter(F.col("reviewer") == who)
         mine = mine.filter(i % 16 == 5) if who == "cy" else mine
-        own = mine.groupBy().agg(F.array_sort(F.collect_list(F.struct("place", label.alias("l")))).alias("x")).select(F.transform("x", lambda r: r["l"]).alias("responses"))
-        written = own.select(F.to_json(F.struct(F.lit("1").alias("schemaVersion"), F.lit("1").alias("corpusVersion"), F.lit(who).alias("reviewerAlias"), F.lit("P").alias("annotationPolicyVersion"), "responses")).alias("r"))
-        return J.parsed(written, "r", S.SUBMISSION).select("r.*")
+        rows = J.parsed(mine.select("place", F.to_json(label).alias("x")), "x", S.LABEL).select("place", "x.*")
+        head = spark.createDataFrame([("1", "1", who, "P")], "schemaVersion string, corpusVersion string, reviewerAlias string, annotationPolicyVersion string")
+        return Document(head, {"responses": rows})
 
-    return J.parsed(manifest, "r", S.MANIFEST).select("r.*"), *map(submission, _ALIASES)
+    return annotation.coordinator(corpus, prepared), *map(submission, _ALIASES)
 
 
 @query("""WITH x AS (SELECT item_id AS i, 'reviewer ann, candidate c' || lpad(CAST(item_id AS VARCHAR), 6, '0') || ' ' AS who, length(text) AS n FROM benchmark)
@@ -420,7 +412,7 @@ UNION ALL SELECT who || 'provides only one UTF-16 span boundary' FROM x WHERE i
 UNION ALL SELECT who || 'has incorrect UTF-16 evidence boundaries' FROM x WHERE i % 3 <> 0 AND i % 6 <> 2 AND i % 4 = 0 AND i % 8 <> 4 AND (i % 12 = 8 OR i % 6 = 1)""")
 def label_issues(spark, sf_dir):
     """The faults of one reviewer's labels."""
-    manifest, first, _, _ = _submitted(spark, sf_dir, True)
+    manifest, first, _, _ = _submitted(spark, sf_dir, ("ann",))
     return annotation.label_issues(annotation._labels(manifest, first)).select("issue")
 
 
@@ -428,14 +420,46 @@ _BOTH = "y AS (SELECT *, item_id % 3 <> 0 AS a, item_id % 3 <> 0 AND item_id % 1
 
 
 @query(f"""WITH {_PLACED}, {_BOTH}, k AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS n_agree, avg(a::INT) AS pa, avg(b::INT) AS pb FROM y)
-SELECT n AS candidates, n_agree AS agree, n - n_agree AS disagree, (SELECT coalesce(string_agg(c, ',' ORDER BY c), '') FROM y WHERE item_id % 16 = 5) AS disputed, 'cy' AS adjudicator,
-  (SELECT coalesce(string_agg(assignment, ',' ORDER BY assignment), '') FROM a WHERE reviewer = 'cy' AND item_id % 16 = 5) AS sealed, round((n_agree / n - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 9) AS kappa,
-  round((n_agree / n - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 9) >= 0.8 AS reliable, '' AS issues FROM k""")
+SELECT 'candidates' AS what, CAST(0 AS BIGINT) AS ordinal, CAST(n AS VARCHAR) AS value FROM k UNION ALL SELECT 'agree', 0, CAST(n_agree AS VARCHAR) FROM k UNION ALL SELECT 'adjudicator', 0, 'cy'
+UNION ALL SELECT 'kappa', 0, printf('%.6f', CAST((n_agree / n - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) AS DOUBLE)) FROM k
+UNION ALL SELECT 'disputed', row_number() OVER (ORDER BY c) - 1, c FROM y WHERE item_id % 16 = 5
+UNION ALL SELECT 'sealed', row_number() OVER (ORDER BY assignment) - 1, assignment FROM a WHERE reviewer = 'cy' AND item_id % 16 = 5""")
 def annotation_audit(spark, sf_dir):
-    manifest, first, second, _ = _submitted(spark, sf_dir, False)
+    """The summary, and the lists of ids as rows in order."""
+    manifest, first, second, _ = _submitted(spark, sf_dir)
     a = annotation.audit(manifest, [first, second])
-    row = (a["candidateCount"], a["binaryAgreementCount"], a["binaryDisagreementCount"], ",".join(a["detailedDisagreementCandidateIDs"]), a["adjudicatorAlias"], ",".join(a["adjudicationAssignmentIDs"]), round(a["binaryLabelAgreement"], 9), annotation.reliable(a), "; ".join(a["issues"]))
-    return spark.createDataFrame([row], "candidates long, agree long, disagree long, disputed string, adjudicator string, sealed string, kappa double, reliable boolean, issues string")
+    own = [("candidates", 0, str(a.summary["candidateCount"])), ("agree", 0, str(a.summary["binaryAgreementCount"])), ("adjudicator", 0, a.summary["adjudicatorAlias"]), ("kappa", 0, f"{a.summary['binaryLabelAgreement']:.6f}")]
+    out = spark.createDataFrame(own, "what string, ordinal long, value string")
+    for what, table, column in (("disputed", a.disputed, "id"), ("sealed", a.sealed, "id"), ("issue", a.issues, "issue")):
+        out = out.unionByName(table.select(F.lit(what).alias("what"), "ordinal", F.col(column).alias("value")))
+    return out
+
+
+_FAULTS = """x AS (SELECT item_id AS i, 'reviewer ann, candidate c' || lpad(CAST(item_id AS VARCHAR), 6, '0') || ' ' AS who, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS place FROM benchmark),
+kept AS (SELECT * FROM x WHERE i % 20 <> 14),
+said AS (
+  SELECT place, 0 AS rule, who || 'has an approval/status mismatch' AS issue FROM kept WHERE i % 10 = 9 UNION ALL SELECT place, 1, who || 'has no rationale' FROM kept WHERE i % 14 = 3
+  UNION ALL SELECT place, 11, who || 'contains a non-byte-present evidence quote' FROM kept WHERE i % 3 <> 0 AND i % 6 = 1 UNION ALL SELECT place, 10, trim(who) || ' cites unknown evidence q' FROM kept WHERE i % 3 <> 0 AND i % 6 = 2
+  UNION ALL SELECT place, 12, who || 'provides only one UTF-16 span boundary' FROM kept WHERE i % 3 <> 0 AND i % 6 <> 2 AND i % 8 = 4
+  UNION ALL SELECT place, 13, who || 'has incorrect UTF-16 evidence boundaries' FROM kept WHERE i % 3 <> 0 AND i % 6 <> 2 AND i % 4 = 0 AND i % 8 <> 4 AND (i % 12 = 8 OR i % 6 = 1)
+)"""
+
+
+@query(f"""WITH {_FAULTS}, every AS (
+  SELECT 1 AS section, CAST(0 AS BIGINT) AS pos, 0 AS rule, 'submission ann contains duplicate assignment IDs' AS issue WHERE (SELECT count(*) FROM x WHERE i % 20 = 15) > 0
+  UNION ALL SELECT 1, 1, 0, 'submission ann is missing ' || (SELECT count(*) FROM x WHERE i % 20 = 14) || ' assignments' UNION ALL SELECT 1, 2, 0, 'submission ann contains 1 unexpected assignments'
+  UNION ALL SELECT 2, place, rule, issue FROM said
+  UNION ALL SELECT 2, place, rule, issue FROM said JOIN x USING (place) WHERE i % 20 = 15
+)
+SELECT CAST(row_number() OVER (ORDER BY section, pos, rule, issue) - 1 AS BIGINT) AS ordinal, issue FROM every""")
+def audit_issues(spark, sf_dir):
+    """A submission that lacks assignments, answers some twice and one that does not exist: what an audit says, in order."""
+    manifest, first, second, _ = _submitted(spark, sf_dir, ("ann",))
+    rows, i = first.lists["responses"], F.col("_i")
+    rows = rows.join(manifest.lists["candidates"].select("place", F.substring("id", 2, 6).cast("int").alias("_i")), "place")
+    foreign = rows.filter(i == 0).withColumns({"assignmentID": F.lit("assignment-none"), "place": F.col("place") + 1_000_000_000})
+    rows = rows.filter(i % 20 != 14).unionByName(rows.filter(i % 20 == 15)).unionByName(foreign).drop("_i")
+    return annotation.audit(manifest, [Document(first.head, {"responses": stored(rows)}), second]).issues.select("ordinal", "issue")
 
 
 @query(f"""WITH {_PLACED} SELECT c AS id, sha256(text) AS claim, CASE WHEN item_id % 16 = 5 THEN 'partiallySupported' WHEN item_id % 3 = 0 THEN 'unsupported' ELSE 'directlySupported' END AS status,
@@ -443,7 +467,7 @@ def annotation_audit(spark, sf_dir):
   CASE WHEN item_id % 16 <> 5 AND item_id % 3 = 0 THEN '' ELSE substr(text, 1, 12) END AS quote FROM x""")
 def finalized_cases(spark, sf_dir):
     """Agreed labels, and the adjudicator's where the reviewers differ, as benchmark cases."""
-    manifest, first, second, third = _submitted(spark, sf_dir, False)
+    manifest, first, second, third = _submitted(spark, sf_dir)
     _, cases = annotation.finalize(manifest, [first, second], third, "publicRecord", "sealedHoldout")
     quote = F.coalesce(F.get("goldEvidenceSpans", F.lit(0))["exactQuote"], F.lit(""))
     return cases.select("id", F.sha2("claimText", 256).alias("claim"), F.col("expectedStatus").alias("status"), "category", F.col("matterID").alias("matter"), quote.alias("quote"))

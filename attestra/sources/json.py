@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra import schemas as S
+from attestra.sources.elements import Document
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -44,26 +45,27 @@ def split_inputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def corpus(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
     """A benchmark corpus: version, name and metadata, claim cases, extraction cases."""
-    return split_corpus(read(spark, path, S.CORPUS))
+    d = Document.read(spark, path, S.CORPUS, {"claimCases": "claimCases", "extractionCases": "extractionCases"})
+    head = d.head.select("version", "name", "metadata").first().asDict(recursive=True)
+    return head, claim_cases(d.lists["claimCases"].drop("place")), d.lists["extractionCases"].drop("place")
 
 
-def split_corpus(rows: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
-    head = rows.select("version", "name", "metadata").first().asDict(recursive=True)
-    cases = rows.select(F.explode("claimCases").alias("c")).select("c.*").withColumn("evidence", passages(F.col("evidence")))
-    return head, cases, rows.select(F.explode("extractionCases").alias("c")).select("c.*")
+def claim_cases(rows: DataFrame) -> DataFrame:
+    """Cases with checked source types."""
+    return rows.withColumn("evidence", passages(F.col("evidence")))
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, path, S.CANDIDATES)
+def candidates(spark: SparkSession, path: str) -> Document:
+    return Document.read(spark, path, S.CANDIDATES, {"candidates": "candidates"})
 
 
-def ledger(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, path, S.LEDGER)
+def ledger(spark: SparkSession, path: str) -> Document:
+    return Document.read(spark, path, S.LEDGER, {"sources": "sources"})
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, path, S.MANIFEST)
+def manifest(spark: SparkSession, path: str) -> Document:
+    return Document.read(spark, path, S.MANIFEST, {"candidates": "candidateCorpus.candidates", "assignments": "assignments"})
 
 
-def submission(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, path, S.SUBMISSION)
+def submission(spark: SparkSession, path: str) -> Document:
+    return Document.read(spark, path, S.SUBMISSION, {"responses": "responses"})

@@ -78,7 +78,7 @@ def source(name, **over):
 def corpus_and_ledger(spark, n=5, **over):
     rows = [(f"c{i}", "m", TEXT, "factual", [("p", "src", "courtRecord", TEXT + " Caf\u00e9.")], [], {"p": "s"}) for i in range(n)]
     corpus = spark.createDataFrame([("1", "n", "L", "P", rows)], S.CANDIDATES)
-    return corpus, spark.createDataFrame([("L", [source("s", **over)])], S.LEDGER)
+    return A.document(corpus, "candidates"), A.document(spark.createDataFrame([("L", [source("s", **over)])], S.LEDGER), "sources")
 
 
 def test_intake(spark):
@@ -107,12 +107,13 @@ def workflow(spark, second=None, quote=TEXT):
     corpus, ledger = corpus_and_ledger(spark)
     prepared = A.prepare(corpus, ledger, ["x", "y", "z"], seed=1).collect()
     at = {(r["reviewer"], r["id"]): r["assignment_id"] for r in prepared}
-    manifest = spark.createDataFrame([("1", corpus.first(), [(v, k[0], k[1]) for k, v in at.items()], True)], S.MANIFEST)
+    manifest = spark.createDataFrame([("1", corpus.head.first(), [(v, k[0], k[1]) for k, v in at.items()], True)], S.MANIFEST)
+    manifest = A.document(manifest, "candidateCorpus.candidates", "assignments")
     base = ["directlySupported", "unsupported", "directlySupported", "unsupported", "contradicted"]
 
-    def submission(who, statuses):
+    def submission(who, statuses, more=None):
         rows = [(at[who, f"c{i}"], s == "directlySupported", s, "because", [("p", quote, None, None)] if s != "unsupported" else []) for i, s in statuses]
-        return spark.createDataFrame([("1", "1", who, "P", rows)], S.SUBMISSION)
+        return A.document(spark.createDataFrame([("1", "1", who, "P", rows + (more or []))], S.SUBMISSION), "responses")
 
     both = [submission("x", list(enumerate(base))), submission("y", list(enumerate(second or base[:4] + ["unsupported"])))]
     return manifest, both, submission
@@ -120,9 +121,10 @@ def workflow(spark, second=None, quote=TEXT):
 
 def test_audit_and_finalize(spark):
     manifest, both, submission = workflow(spark)
-    audited = A.audit(manifest, both)
+    whole = A.audit(manifest, both)
+    audited = whole.document()
     assert audited["issues"] == [] and audited["binaryLabelAgreement"] == 1.0 and audited["detailedDisagreementCandidateIDs"] == ["c4"] and audited["adjudicatorAlias"] == "z" and len(audited["adjudicationAssignmentIDs"]) == 1
-    assert A.reliable(audited)
+    assert A.reliable(whole) and whole.n_issues == 0
     head, rows = A.finalize(manifest, both, submission("z", [(4, "partiallySupported")]), "publicRecord", "sealedHoldout")
     assert {r["id"]: r["expectedStatus"] for r in rows.collect()}["c4"] == "partiallySupported" and head["metadata"]["annotatorsPerClaim"] == 2
     for wrong in ([], [(0, "unsupported"), (4, "unsupported")]):
@@ -132,11 +134,27 @@ def test_audit_and_finalize(spark):
 
 def test_audit_finds_bad_labels(spark):
     manifest, both, _ = workflow(spark, quote="Cafe\u0301")  # the accent apart: other bytes
-    issues = A.audit(manifest, both)["issues"]
+    issues = A.audit(manifest, both).document()["issues"]
     assert issues and all("non-byte-present" in i for i in issues)
-    assert A.audit(manifest, both[:1])["issues"] == ["exactly two primary submissions are required"]
+    assert A.audit(manifest, both[:1]).document()["issues"] == ["exactly two primary submissions are required"]
     manifest, both, _ = workflow(spark, second=["unsupported"] * 5)
-    assert A.audit(manifest, both)["binaryLabelAgreement"] == 0.0 and set(CATEGORIES)
+    assert A.audit(manifest, both).summary["binaryLabelAgreement"] == 0.0 and set(CATEGORIES)
+
+
+def test_assignments_missing_unknown_and_answered_twice(spark):
+    """Expected against submitted assignments, the last of several labels, missing adjudications; all issues in order, as a table."""
+    manifest, both, submission = workflow(spark)
+    first = {r["candidateID"]: r["assignmentID"] for r in manifest.lists["assignments"].filter("reviewerAlias = 'x'").collect()}
+    odd = submission("x", [(0, "directlySupported"), (2, "directlySupported"), (4, "contradicted")], [("assignment-none", True, "directlySupported", "because", [("p", TEXT, None, None)]), (first["c0"], False, "unsupported", " ", [])])
+    audited = A.audit(manifest, [odd, both[1]])
+    want = ["submission x contains duplicate assignment IDs", "submission x is missing 2 assignments", "submission x contains 1 unexpected assignments", "reviewer x, candidate c0 has no rationale"]
+    assert [r["issue"] for r in audited.issues.orderBy("ordinal").collect()] == want and audited.n_issues == 4 and not audited.reliable
+    assert [r["id"] for r in audited.disputed.orderBy("ordinal").collect()] == ["c0", "c4"]  # the last label of c0 differs from the other reviewer's
+    with pytest.raises(A.WorkflowError) as refused:
+        A.finalize(manifest, [odd, both[1]], submission("z", []), "publicRecord", "sealedHoldout")
+    assert refused.value.issues == want and refused.value.table.count() == 4
+    with pytest.raises(A.WorkflowError, match="adjudication is missing 1 disputed candidates"):
+        A.finalize(manifest, both, submission("z", []), "publicRecord", "sealedHoldout")
 
 
 def test_kappa(spark):
@@ -157,7 +175,7 @@ def test_annotation_round_trip_through_files(spark, tmp_path, capsys):
 
     corpus, ledger = corpus_and_ledger(spark, 40)
     for name, df in (("corpus", corpus), ("ledger", ledger)):
-        (tmp_path / f"{name}.json").write_text(df.toJSON().first())
+        (tmp_path / f"{name}.json").write_text(df.head.toJSON().first())
     run = tmp_path / "run"
     where = [str(tmp_path / "corpus.json"), str(tmp_path / "ledger.json"), str(run)]
     assert cli.main(["annotation", "prepare", *where, "--reviewers", "x 1", "y", "z"], spark) == 0
