@@ -18,6 +18,7 @@ from attestra.functions import text as X
 from attestra.operators import ordinals
 from attestra.operators.benchmark import utf16_matches
 from attestra.operators.report import approved
+from attestra.operators.stored import stored
 from attestra.sources.elements import Document
 
 #: Cohen's kappa that two primary reviewers have to reach.
@@ -319,10 +320,10 @@ def audit(manifest: Document, primaries: list[Document]) -> Audit:
             said.append((section, f"{prefix} is missing {missing} assignments"))
         if extra:
             said.append((section, f"{prefix} contains {extra} unexpected assignments"))
-        own = _assigned_labels(manifest, submission)
+        own = stored(_assigned_labels(manifest, submission))
         tables.append(label_issues(own).withColumn("section", F.lit(section + 1)))
         kept.append(_last_labels(own))
-    pairs = disagreements(*kept)
+    pairs = stored(disagreements(*kept))
     k = kappa(pairs, "approvalEligible", "other").first()
     apart = pairs.filter("apart").select("candidate_id")
     faulty = said or any(t.limit(1).count() for t in tables)
@@ -370,11 +371,11 @@ def finalize(manifest: Document, primaries: list[Document], adjudication: Docume
         raise WorkflowError("invalidReviewers", ["adjudicator must be distinct from primary reviewers"])
     if (a["corpusVersion"], a["annotationPolicyVersion"]) != (m["version"], m["annotationPolicyVersion"]):
         raise WorkflowError("invalidSubmissions", ["adjudication submission has the wrong corpus or annotation policy version"])
-    pairs = disagreements(*[_last_labels(_assigned_labels(manifest, s)) for s in primaries])
+    pairs = stored(disagreements(*[_last_labels(_assigned_labels(manifest, s)) for s in primaries]))
     disputed = pairs.filter("apart").select(F.col("candidate_id").alias("disputed"))
     labels = _labels(manifest, adjudication)
     fits = (F.col("assigned_to") == F.col("reviewer")) & F.col("candidate_id").isNotNull()
-    labels = labels.withColumn("fits", F.coalesce(fits, F.lit(False))).join(disputed, F.col("candidate_id") == F.col("disputed"), "left")
+    labels = stored(labels.withColumn("fits", F.coalesce(fits, F.lit(False))).join(disputed, F.col("candidate_id") == F.col("disputed"), "left"))
     good = labels.filter(F.col("fits") & F.col("disputed").isNotNull())
     issues = _listed([
         _checks(labels, 1, "place", [(~F.col("fits"), "adjudication contains an unknown assignment"), (F.col("fits") & F.col("disputed").isNull(), F.concat(F.lit("adjudication includes non-disputed candidate "), "candidate_id"))]),
