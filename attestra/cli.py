@@ -29,12 +29,15 @@ class Parser(argparse.ArgumentParser):
         raise Usage(message)
 
 
+COMMANDS = ("verify", "benchmark", "annotation", "prepare", "audit", "finalize")
+
+
 def parser() -> Parser:
     out = Parser(prog="attestra", description=__doc__)
     sub = out.add_subparsers(dest="command", required=True, parser_class=Parser)
     v = sub.add_parser("verify")
     v.add_argument("input")
-    v.add_argument("--trace")
+    v.add_argument("--trace", "--provenance", dest="trace")
     b = sub.add_parser("benchmark")
     b.add_argument("corpus")
     b.add_argument("--json", action="store_true")
@@ -147,6 +150,9 @@ def run_finalize(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if len(argv) == 1 and not argv[0].startswith("-") and argv[0] not in COMMANDS:
+        argv = ["verify", *argv]  # a path alone is verified
     try:
         args = parser().parse_args(argv)
     except Usage as e:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Counters of the sketch: its error is a few ten-thousandths of the rows.
 TRACKED = 10_000
+#: So many times the pieces that even ones would take: a hash deals them unevenly.
+SPARE = 1.25
 
 
 def pieces(rows: DataFrame, keys: list[str], share: float, at_least: int = 0) -> dict[int, int]:
@@ -21,7 +23,7 @@ def pieces(rows: DataFrame, keys: list[str], share: float, at_least: int = 0) ->
     most = int(2 / share)
     row = rows.select(F.xxhash64(*keys).alias("h")).agg(F.expr(f"approx_top_k(h, {most}, {max(TRACKED, 8 * most)})").alias("top"), F.count("*").alias("n")).first()
     least = max(share * row["n"], at_least)
-    return {x["item"]: int(-(-x["count"] // least)) for x in row["top"] or [] if x["count"] > least > 0}
+    return {x["item"]: int(-(-SPARE * x["count"] // least)) for x in row["top"] or [] if x["count"] > least > 0}
 
 
 def _looked_up(found: dict[int, int], key: Column) -> Column:

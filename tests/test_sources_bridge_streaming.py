@@ -45,8 +45,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["verify", str(path)], spark) == 2 and "BLOCKED" in capsys.readouterr().out
     path.write_text(json.dumps(INPUT | {"document": "The court granted the motion."}))
     out = tmp_path / "trace"
-    assert cli.main(["verify", str(path), "--trace", str(out)], spark) == 0 and spark.read.json(str(out / "events")).count() == 3
-    assert cli.main(["verify", str(tmp_path / "none.json")], spark) == 65 and cli.main(["frobnicate"], spark) == 64
+    assert cli.main(["verify", str(path), "--provenance", str(out)], spark) == 0 and spark.read.json(str(out / "events")).count() == 3
+    assert cli.main(["verify", str(tmp_path / "none.json")], spark) == 65 and cli.main(["frobnicate", "x"], spark) == 64
+    assert cli.main([str(path)], spark) == 0 and "PASS" in capsys.readouterr().out  # a path alone is verified
+    assert cli.main([str(tmp_path / "none.json")], spark) == 65 and cli.main(["benchmark"], spark) == 64 and cli.main(["--help-me"], spark) == 64
 
 
 def test_stream_equals_batch(spark, tmp_path):
