@@ -167,9 +167,11 @@ def _signed(x: int) -> int:
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
     prints = checkpoint(fingerprints(docs, words, seed))
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = components(links(nodes, radius)).withColumnRenamed("id", "_id")
-    named = nodes.join(found, nodes["id"] == found["_id"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
+    # nodes have numbers of their own: many fingerprints can share the smallest doc_id, null or repeated ones
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    found = components(links(nodes.select("id", "fp"), radius)).withColumnRenamed("id", "_id")
+    grouped = nodes.join(found, nodes["id"] == found["_id"], "left").select(F.col("fp").alias("_fp"), "least", F.coalesce("component", "id").alias("group"))
+    named = grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("_fp", "component_id")
     out = prints.join(named, prints["fp"] == named["_fp"])
     return unnumbered(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "doc_id", "component_id")
 

@@ -749,3 +749,30 @@ def test_classifier_scores_equal_the_formula(spark):
     assert sum((s > 0.5) == (i % 2 == 1) for i, s in held.items()) >= 0.9 * len(held)
     few = compression_classifier.fit(df, labels, F.col("doc_id") < 100, sample_bytes=4000)
     assert 0 < len(few.dictionaries[0]) + len(few.weights) and compression_classifier.fit(df, labels.limit(0), F.lit(True)).weights == ()
+
+
+def test_unlike_fingerprints_that_share_an_id_stay_apart(spark):
+    """Null and repeated ids are no bridge between groups; against links over rows."""
+    rng = random.Random(12)
+
+    def near(text, least=1):
+        own = text.split()
+        while True:
+            x = list(own)
+            x[rng.randrange(len(x))] = rng.choice(WORDS)
+            if least <= (brute_print(text) ^ brute_print(" ".join(x))).bit_count() <= 4:
+                return " ".join(x)
+
+    one, two, three = (" ".join(rng.choice(WORDS) for _ in range(400)) for _ in range(3))
+    rows = [(3, one), (None, near(one)), (9, two), (None, near(two)), (50, near(one)), (50, near(two)), (50, three), (None, three), (60, "a b c d e"), (None, "f g h i j")]
+    prints = [brute_print(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(prints):
+            for j, y in enumerate(prints):
+                if (x ^ y).bit_count() <= 4:
+                    group[i] = group[j] = min(group[i], group[j])
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert order((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == order((d, f"{p:016x}", least[g]) for (d, _), p, g in zip(rows, prints, group, strict=True))
+    assert {least[g] for g in group} >= {3, 9, 50, 60}
