@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from attestra.llm import byte_bpe, components, compression_classifier, fuzzy_passages, packing, pii, ppm, quality_rules, simhash, substring_dedup, top_k
+from attestra.llm.common import NO_ID, numbered
 from attestra.llm.queries import OP10_SQL, fold
 from tests.llm.conftest import WORDS
 
@@ -510,6 +511,73 @@ def test_fuzzy_passages_do_not_swallow_each_other(spark, between):
         assert at <= r["start_word"] <= at + 3 and at + 57 <= r["start_word"] + r["n_words"] <= at + 60
 
 
+def test_fuzzy_passages_beside_holders_of_parts(spark):
+    """A copy of a later document is found though earlier ones hold its parts, or an older wording."""
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    p, q = new(60), new(60)
+    older = [w if i % 4 else "older" for i, w in enumerate(q)]
+    texts = [*([*new(30), *p[i : i + 20], *new(30)] for i in (0, 20, 40)), [*new(20), *p, *new(20)], [*new(50), *p, *new(9)], [*new(9), *older, *new(9)], [*new(9), *q, *new(9)], [*new(40), *q, *new(40)]]
+    found = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts, 1)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in found} == {(5, 4), (8, 7)}
+    assert all(r["similarity"] == 1.0 and r["n_words"] >= fuzzy_passages.LONG_WORDS for r in found)
+
+
+def test_fuzzy_passages_find_all_long_exact_repeats(spark):
+    """Every run of LONG_WORDS + LONG_WINDOW - 1 words that an earlier document holds meets a row, held against all pairs of documents."""
+    rng = random.Random(13)
+    pool = [[f"w{rng.randrange(4000)}" for _ in range(rng.randrange(8, 70))] for _ in range(40)]
+    texts = [[w for _ in range(rng.randrange(1, 7)) for w in rng.choice(pool)[: rng.randrange(4, 70)]] for _ in range(150)]
+    found = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), bucket_bytes=9000).collect()
+    shown = [set() for _ in texts]
+    for r in found:
+        shown[r["doc_id"]].update(range(r["start_word"], r["start_word"] + r["n_words"]))
+        a, b = (texts[r[d]][r[s] : r[s] + r[n]] for d, s, n in (("doc_id", "start_word", "n_words"), ("source_id", "source_start", "source_words")))
+        assert r["source_id"] < r["doc_id"] and r["matched_words"] == brute_lcs(a, b) >= 0.8 * max(len(a), len(b))
+    length = fuzzy_passages.LONG_WORDS + fuzzy_passages.LONG_WINDOW - 1
+    seen, n = set(), 0
+    for d, t in enumerate(texts):
+        runs = [tuple(t[i : i + length]) for i in range(len(t) - length + 1)]
+        for i, run in enumerate(runs):
+            if run in seen:
+                n += 1
+                assert len(shown[d] & set(range(i, i + length))) >= fuzzy_passages.LONG_WORDS
+        seen.update(runs)
+    assert n > 300
+
+
+def test_fuzzy_passages_recall_of_edited_copies(spark):
+    """Passages of 60 words with every tenth word changed, of which earlier documents hold parts of 5 to 15 words; exact ones are all found."""
+    rng = random.Random(15)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    planted = [new(60) for _ in range(60)]
+    parts, firsts, copies = [], [], []
+    for i, p in enumerate(planted):
+        at = rng.randrange(45)
+        parts.append([*new(30), *p[at : at + rng.randrange(5, 16)], *new(30)])
+        firsts.append([*new(20), *p, *new(20)])
+        copies.append([*new(9), *(w if i % 2 or k % 10 else f"{w}x" for k, w in enumerate(p)), *new(9)])
+    texts = [*parts, *firsts, *copies]
+    found = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    pairs = {(r["doc_id"] - 120, r["source_id"] - 60) for r in found}
+    assert all(i == k for i, k in pairs)
+    assert sum((i, i) in pairs for i in range(1, 60, 2)) == 30 and sum((i, i) in pairs for i in range(0, 60, 2)) >= 27
+
+
+def test_fuzzy_passages_of_repeated_ids(spark):
+    """Each text of an id is a source of its own, however rows are cut into tasks; beyond the bound of what is broadcast as well."""
+    rng = random.Random(14)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    p, q, r = new(60), new(60), new(60)
+    rows = [(5, p), (5, q), (5, q), (5, None), (None, r), (None, [*r, *q]), *((i, [*new(5), *(p if i % 2 else q)]) for i in range(10, 22)), (7, new(60)), (7, new(60))]
+    df = spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in rows], "doc_id long, text string")
+    results = [order([tuple(x) for x in fuzzy_passages.passages(df.repartition(k)).collect()]) for k in (1, 3, 8)]
+    assert results[0] == results[1] == results[2]
+    assert sorted((x[0] or 99, x[3], x[7]) for x in results[0]) == [*((i, 5, 1.0) for i in range(10, 22)), (99, 5, 1.0)]
+    own = fuzzy_passages.tagged(numbered(df)).collect()
+    assert {x["doc_id"] for x in own if x["tag"]} == {5, 7, NO_ID} and all(x["tag"] for x in fuzzy_passages.tagged(numbered(df), most=1).collect())
+
+
 def brute_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -656,7 +724,10 @@ def test_row_by_row_operators_with_null_and_repeated_ids(odd, odd_rows, spark):
     assert of(compression_classifier.score(odd, compression_classifier.fit(odd, labels, F.lit(True)))) == ids
     pieces = packing.pack(packing.pieces(odd, P.path("word_bpe_49k.json"))).collect()
     assert order([(r["doc_id"],) for r in pieces if r["piece"] == 0]) == ids
-    fuzzy_passages.passages(odd).collect()
+    a, c, d, e = (odd_rows[i][1] for i in (0, 4, 8, 9))
+    own = lambda t: len(t.split())
+    got = {(r["doc_id"], r["source_id"]): r["similarity"] for r in fuzzy_passages.passages(odd).collect()}
+    assert set(got) == {(7, 3), (9, 7), (None, 5), (None, 9)} and set(got.values()) == {1.0} and own(a) == own(c) == own(e) == 90 and own(d) == 180
 
 
 def test_suffix_dedup_with_null_and_repeated_ids(odd, odd_rows):
