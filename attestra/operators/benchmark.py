@@ -229,7 +229,8 @@ def run(version: str, name: str, metadata: dict | None, cases: DataFrame, extrac
     own, tags = matters(cases).first(), dict(tag_counts(cases).collect())
     bad_spans = spans_required(cases).filter("not valid").count()
     bins = calibration(results).orderBy("bin")
-    order = cases.select("id", F.monotonically_increasing_id().alias("_at"))
+    at = F.col("place") if "place" in cases.columns else F.monotonically_increasing_id()  # rows read by many tasks come in any order
+    order = cases.select("id", at.alias("_at"))
     wrong = flags(results).filter("not passed").join(order, "id").orderBy("_at").collect()
     off = extraction.filter("false_positives + false_negatives > 0").orderBy("id").collect()
     out = Report(

@@ -44,10 +44,10 @@ def split_inputs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def corpus(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
-    """A benchmark corpus: version, name and metadata, claim cases, extraction cases."""
+    """A benchmark corpus: version, name and metadata, claim cases with their places, extraction cases."""
     d = Document.read(spark, path, S.CORPUS, {"claimCases": "claimCases", "extractionCases": "extractionCases"})
     head = d.head.select("version", "name", "metadata").first().asDict(recursive=True)
-    return head, claim_cases(d.lists["claimCases"].drop("place")), d.lists["extractionCases"].drop("place")
+    return head, claim_cases(d.lists["claimCases"]), d.lists["extractionCases"].drop("place")
 
 
 def claim_cases(rows: DataFrame) -> DataFrame:
