@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.common import checkpoint, mix64, numbered, strings, text_key, unnumbered
 from attestra.llm.components import components, forest
-from attestra.llm.similarity import SLICES, CellCounts, candidates, each_text, signature, similar, total_counts, word_hashes
+from attestra.llm.similarity import SLICES, CellCounts, candidates, each_text, shared_prefixes, signature, similar, total_counts, word_hashes
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a bucket that are compared with one another directly; more are first split.
@@ -190,8 +190,10 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, reach
        a document and the next one, if they are within ``reach`` bits.  So a group of n
        gives n candidates a table, not n squared, and large groups come together.
     3. Signatures confirm the candidates; confirmed ones are links.
-    4. ``similarity.candidates`` finds what is left: all pairs of documents not yet
-       connected that may be similar, whatever was added, cut or changed.
+    4. ``similarity.candidates`` finds what is left: first each document and the next one
+       that shares a rare shingle, so that a large group comes together by as many pairs as
+       it has rows, then all pairs of documents not yet connected that may be similar,
+       whatever was added, cut or changed.
     """
     own = checkpoint(distinct_texts(docs), release=True)
     plain = own.select(F.col("_node").alias("node"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text"))
@@ -200,9 +202,11 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, reach
     links = checkpoint(similar(close, plain, words, similarity), release=True)
     groups = components(links)
     counts = total_counts(pass_over.filter("slice is not null").select("slice", "counts"))
-    rest = checkpoint(candidates(plain, groups, counts, words, similarity))
-    more = checkpoint(similar(rest, plain, words, similarity), release=True)
-    groups = components(links.unionByName(more))
+    met = checkpoint(shared_prefixes(plain, counts, words, similarity), release=True)
+    for adjacent in (True, False):
+        rest = checkpoint(candidates(met, groups, similarity, adjacent))
+        links = links.unionByName(checkpoint(similar(rest, plain, words, similarity), release=True))
+        groups = components(links)
     ranked = own.select(F.col("_node").alias("id"), _rank(docs).alias("rank")).join(groups, "id")
     best = ranked.groupBy("component").agg(F.min_by("id", F.struct("rank", "id")).alias("best"))
     gone = ranked.join(best, "component").filter("id <> best").select(F.col("id").alias("_gone"))
