@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.functions import identity as I
+from attestra.operators import report
 from attestra.schemas import Policy
 
 # Priorities, edge types, the manifest's version, and what each payload's canonical text looks like.
@@ -15,13 +18,17 @@ PRIORITY = {I.EXTRACTED: PRIORITIES["structural"], I.VERIFIED: PRIORITIES["criti
 BRIDGE_VERSION = "1.0"
 #: Seconds from 1970 to the reference date of timestamps, 2001-01-01; these are whole seconds.
 REFERENCE_DATE = 978307200
+#: Strings of which JSON escapes nothing: visible ASCII and blanks but quotes, slashes and backslashes.
+PLAIN = r"^[ !#-.0-\[\]-~]*\z"
 EDGE_TYPES = ("derivedFrom", "influencedBy", "generatedFrom", "verifiedBy", "correctedBy", "informed")
 
 
 def json_string(x: Column) -> Column:
     """A JSON string literal with / escaped, as canonical payloads have it."""
-    quoted = F.regexp_extract(F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
-    return F.replace(quoted, F.lit("/"), F.lit("\\/"))
+    x = F.coalesce(x, F.lit(""))
+    whole = F.to_json(F.struct(x.alias("x")))  # {"x":...}
+    quoted = F.substr(whole, F.lit(6), F.length(whole) - 6)
+    return F.when(x.rlike(PLAIN), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.replace(quoted, F.lit("/"), F.lit("\\/")))
 
 
 def json_number(x: Column) -> Column:
@@ -63,13 +70,18 @@ def custom_events(rows: DataFrame, payload: str, type_identifier: str, priority:
     return out.select("doc_id", "sequence", F.col("e.typeIdentifier").alias("type"), F.col("e.priorityValue").alias("priority"), F.col("e.rawJSON").alias("payload"), F.lit(None).cast("string").alias("semantic_key"), F.lit(engine).alias("engine"), F.lit(context).alias("context"), F.lit(I.SCHEMA_VERSION).alias("schema_version"))
 
 
-def extracted_payload() -> Column:
-    return F.concat(F.lit('{"claimID":'), json_string(F.col("claim_id")), F.lit(',"claimType":'), json_string(F.col("type")), F.lit(',"fingerprint":'), json_string(F.col("fingerprint")), F.lit(',"text":'), json_string(F.col("text")), F.lit("}"))
+def extracted_payload(of=F.col) -> Column:
+    """of: a verdict's columns by name."""
+    return F.concat(F.lit('{"claimID":'), json_string(of("claim_id")), F.lit(',"claimType":'), json_string(of("type")), F.lit(',"fingerprint":'), json_string(of("fingerprint")), F.lit(',"text":'), json_string(of("text")), F.lit("}"))
+
 
+def evidence_prints() -> Column:
+    return F.transform(F.col("evidence"), lambda e: I.passage_fingerprint(e["text"]))
 
-def verified_payload() -> Column:
-    prints = F.transform(F.col("evidence"), lambda e: I.passage_fingerprint(e["text"]))
-    return F.concat(F.lit('{"claimFingerprint":'), json_string(F.col("fingerprint")), F.lit(',"confidence":'), json_number(F.col("confidence")), F.lit(',"evidenceFingerprints":'), json_strings(prints), F.lit(',"status":'), json_string(F.col("status")), F.lit("}"))
+
+def verified_payload(of=F.col, prints: Column | None = None) -> Column:
+    prints = evidence_prints() if prints is None else prints
+    return F.concat(F.lit('{"claimFingerprint":'), json_string(of("fingerprint")), F.lit(',"confidence":'), json_number(of("confidence")), F.lit(',"evidenceFingerprints":'), json_strings(prints), F.lit(',"status":'), json_string(of("status")), F.lit("}"))
 
 
 def finalized_payload(policy_fingerprint: Column) -> Column:
@@ -80,9 +92,9 @@ def finalized_payload(policy_fingerprint: Column) -> Column:
     )
 
 
-def semantic_key() -> Column:
+def semantic_key(of=F.col) -> Column:
     """Verdicts of one claim wording and status are comparable."""
-    return F.concat_ws(":", F.lit(I.VERIFIED), "fingerprint", "status")
+    return F.concat_ws(":", F.lit(I.VERIFIED), of("fingerprint"), of("status"))
 
 
 def events(verdicts: DataFrame, reports: DataFrame, policy: Policy | Column | None = None, engine: str = I.ENGINE, context: str = I.CONTEXT) -> DataFrame:
@@ -153,8 +165,89 @@ def manifests(identified: DataFrame, edges: DataFrame, reports: DataFrame, creat
     lines = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     own = event_arrays(identified, created_at).join(runs(identified, engine), "doc_id").join(reports.select("doc_id", "report_fingerprint"), "doc_id").join(lines, "doc_id", "left")
     none = F.array().cast("array<struct<sourceID:string,targetID:string,type:string>>")
+    return own.select("doc_id", _manifest(F.coalesce(F.transform("x", lambda e: e["e"]), none), F.col("events"), F.col("run_fingerprint"), policy, engine, context).alias("json"))
+
+
+def _manifest(edges: Column, events: Column, run: Column, policy: Policy | None, engine: str, context: str) -> Column:
     whole = F.struct(
-        F.lit(BRIDGE_VERSION).alias("bridgeVersion"), F.lit(context).alias("contextID"), F.coalesce(F.transform("x", lambda e: e["e"]), none).alias("edges"), F.lit(engine).alias("engineName"), "events",
-        F.lit(I.policy_fingerprint(policy or Policy())).alias("policyFingerprint"), F.col("report_fingerprint").alias("reportFingerprint"), F.col("run_fingerprint").alias("runFingerprint"), F.lit(I.SPEC_VERSION).alias("specVersion"),
+        F.lit(BRIDGE_VERSION).alias("bridgeVersion"), F.lit(context).alias("contextID"), edges.alias("edges"), F.lit(engine).alias("engineName"), events.alias("events"),
+        F.lit(I.policy_fingerprint(policy or Policy())).alias("policyFingerprint"), F.col("report_fingerprint").alias("reportFingerprint"), run.alias("runFingerprint"), F.lit(I.SPEC_VERSION).alias("specVersion"),
     )
-    return own.select("doc_id", F.to_json(whole).alias("json"))
+    return F.to_json(whole)
+
+
+# --- whole runs, document by document: the verdicts of a document are one list, from which events, edges and manifests follow where it lies
+
+
+def outlined(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, n_claims and v, the ordinals of each document's claims: all that edges and run fingerprints depend on, whatever the verdicts."""
+    return report.listed(claims.select("doc_id", F.struct("ordinal").alias("v")), documents).withColumn("n_claims", F.size("v"))
+
+
+def traced(verdicts: DataFrame, documents: DataFrame) -> DataFrame:
+    """``report.reports`` with v, each document's claims as its events need them; one shuffle at most, none of ``verify.gathered``."""
+    own = F.struct("ordinal", "claim_id", "fingerprint", "status", "text", "type", "confidence", evidence_prints().alias("prints"))
+    return report.of_lists(report.listed(verdicts.select("doc_id", own.alias("v")), documents), "v")
+
+
+def traced_events(runs: DataFrame, policy: Policy | None = None, engine: str = I.ENGINE, context: str = I.CONTEXT) -> DataFrame:
+    """The rows of ``events`` for rows of ``traced``."""
+    rows = runs.select("doc_id", F.explode(_listed_events(I.policy_fingerprint(policy or Policy()))).alias("e"))
+    return rows.select("doc_id", "e.*", F.lit(engine).alias("engine"), F.lit(context).alias("context"), F.lit(I.SCHEMA_VERSION).alias("schema_version"))
+
+
+def _listed_events(policy_fingerprint: str) -> Column:
+    """sequence, type, priority, payload, semantic_key of a document's events in order."""
+
+    def event(sequence: Column, kind: str, payload: Column, key: Column | None = None) -> Column:
+        key = F.lit(None).cast("string") if key is None else key
+        return F.struct(sequence.cast("long").alias("sequence"), F.lit(kind).alias("type"), F.lit(PRIORITY[kind]).alias("priority"), payload.alias("payload"), key.alias("semantic_key"))
+
+    def both(x: Column) -> Column:
+        return F.array(event(x["ordinal"] * 2, I.EXTRACTED, extracted_payload(x.getField)), event(x["ordinal"] * 2 + 1, I.VERIFIED, verified_payload(x.getField, x["prints"]), semantic_key(x.getField)))
+
+    return F.concat(F.flatten(F.transform("v", both)), F.array(event(F.col("n_claims") * 2, I.FINALIZED, finalized_payload(F.lit(policy_fingerprint)))))
+
+
+def _listed_edges() -> Column:
+    """The edges of a document, by where they lead and start."""
+    last = (F.col("n_claims") * 2).cast("long")
+    at = lambda x, k: (x["ordinal"] * 2 + k).cast("long")
+    edge = lambda s, t, kind: F.struct(t.alias("target_sequence"), s.alias("source_sequence"), F.lit(kind).alias("type"))
+    return F.array_sort(F.flatten(F.transform("v", lambda x: F.array(edge(at(x, 0), at(x, 1), "verifiedBy"), edge(at(x, 1), last, "derivedFrom")))))
+
+
+def outlined_edges(runs: DataFrame) -> DataFrame:
+    """The rows of ``edges`` for rows of ``outlined`` or ``traced``."""
+    return runs.select("doc_id", F.explode(_listed_edges()).alias("e")).select("doc_id", "e.source_sequence", "e.target_sequence", "e.type")
+
+
+def _listed_run(engine: str) -> Column:
+    types = F.concat(F.flatten(F.transform("v", lambda x: F.array(F.lit(I.EXTRACTED), F.lit(I.VERIFIED)))), F.array(F.lit(I.FINALIZED)))
+    return I.run_fingerprint(types, engine)
+
+
+def outlined_runs(runs: DataFrame, engine: str = I.ENGINE) -> DataFrame:
+    """The rows of ``runs`` for rows of ``outlined`` or ``traced``."""
+    return runs.select("doc_id", (F.col("n_claims") * 2 + 1).alias("n_events"), _listed_run(engine).alias("run_fingerprint"))
+
+
+def traced_manifests(runs: DataFrame, created_at: Column, event_id: Callable[[Column, Column], Column], run_id: Column | None = None, policy: Policy | None = None, engine: str = I.ENGINE, context: str = I.CONTEXT) -> DataFrame:
+    """The rows of ``manifests`` for rows of ``traced``; event_id: of doc_id and sequence, so that edges can name events."""
+    run_id = name_uuid(F.lit("run"), F.col("doc_id").cast("string")) if run_id is None else run_id
+    made = runs.select("doc_id", "report_fingerprint", "n_claims", "v", _listed_events(I.policy_fingerprint(policy or Policy())).alias("e"), run_id.alias("_run"), (F.unix_seconds(created_at) - REFERENCE_DATE).alias("_time"), _listed_run(engine).alias("_print"))
+    # by sequence, so that the last event's id is at hand for each claim's
+    made = made.withColumn("ids", F.transform("e", lambda x: event_id(F.col("doc_id"), x["sequence"])))
+
+    def envelope(x: Column, i: Column) -> Column:
+        payload = F.struct(x["priority"].alias("priorityValue"), x["payload"].alias("rawJSON"), x["type"].alias("typeIdentifier"))
+        return F.struct(F.lit(context).alias("contextID"), F.lit(engine).alias("engineName"), F.get("ids", i).alias("id"), payload.alias("payload"), F.col("_run").alias("runID"), F.lit(I.SCHEMA_VERSION).alias("schemaVersion"), x["sequence"].alias("sequence"), F.col("_time").alias("timestamp"))
+
+    def ends(x: Column, i: Column) -> Column:
+        return F.struct(F.get("ids", i * 2).alias("a"), F.get("ids", i * 2 + 1).alias("b"))
+
+    edge = lambda a, b, kind: F.struct(a.alias("sourceID"), b.alias("targetID"), F.lit(kind).alias("type"))
+    pairs = F.transform("v", ends)
+    last = F.get("ids", F.size("v") * 2)
+    edges = F.concat(F.transform(pairs, lambda p: edge(p["a"], p["b"], "verifiedBy")), F.transform(pairs, lambda p: edge(p["b"], last, "derivedFrom")))
+    return made.select("doc_id", _manifest(edges, F.transform("e", envelope), F.col("_print"), policy, engine, context).alias("json"))
