@@ -193,7 +193,8 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, reach
     4. ``similarity.candidates`` finds what is left: first each document and the next one
        that shares a rare shingle, so that a large group comes together by as many pairs as
        it has rows, then all pairs of documents not yet connected that may be similar,
-       whatever was added, cut or changed.
+       whatever was added, cut or changed.  Sketches of the texts rule out nearly all pairs
+       that are just below ``similarity`` before they are made, and none that is not.
     """
     own = checkpoint(distinct_texts(docs), release=True)
     plain = own.select(F.col("_node").alias("node"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text"))
@@ -204,7 +205,7 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, reach
     counts = total_counts(pass_over.filter("slice is not null").select("slice", "counts"))
     met = checkpoint(shared_prefixes(plain, counts, words, similarity), release=True)
     for adjacent in (True, False):
-        rest = checkpoint(candidates(met, groups, similarity, adjacent))
+        rest = checkpoint(candidates(met, groups, similarity, adjacent, plain, words))
         links = links.unionByName(checkpoint(similar(rest, plain, words, similarity), release=True))
         groups = components(links)
     ranked = own.select(F.col("_node").alias("id"), _rank(docs).alias("rank")).join(groups, "id")
