@@ -564,6 +564,112 @@ def test_fuzzy_passages_recall_of_edited_copies(spark):
     assert sum((i, i) in pairs for i in range(1, 60, 2)) == 30 and sum((i, i) in pairs for i in range(0, 60, 2)) >= 27
 
 
+def all_pairs(texts):
+    """Passages by every seed that two documents share, at all its places: what no choice of partners may lose."""
+    own = []
+    for t in texts:
+        words = fuzzy_passages.word_hashes(" ".join(t).encode())
+        h, at, n = fuzzy_passages.seeds(words)
+        m = fuzzy_passages.apart(words, h[:n], at[:n])
+        own.append((h[:n][m].tolist(), at[:n][m].tolist()))
+    out = []
+    for d, (h, x) in enumerate(own):
+        for s in range(d):
+            places = {}
+            for g, y in zip(*own[s], strict=True):
+                places.setdefault(g, []).append(y)
+            both = sorted((a, y) for g, a in zip(h, x, strict=True) for y in places.get(g, []))
+            for c in fuzzy_passages.chains([a for a, _ in both], [y for _, y in both]):
+                cx, cy = [both[i][0] for i in c], [both[i][1] for i in c]
+                ends = cx[-1] + 5, cy[-1] + 5
+                a, b = texts[d][cx[0] : ends[0]], texts[s][cy[0] : ends[1]]
+                parts = fuzzy_passages.alike_parts(a, b, [v - cx[0] for v in cx], [v - cy[0] for v in cy], 0.8, 25)
+                out += [((d, cx[0] + i, k), (s, cy[0] + j, n)) for i, k, j, n, _ in parts]
+    return out
+
+
+def classes_of(links):
+    """For a passage: the classes of the regions that it overlaps, regions being overlapping ends of rows and a class what rows link."""
+    ends = sorted({e for link in links for e in link})
+    region, regions = {}, []
+    for d, at, n in ends:
+        if regions and regions[-1][0] == d and at < regions[-1][2]:
+            regions[-1][2] = max(regions[-1][2], at + n)
+        else:
+            regions.append([d, at, at + n])
+        region[d, at, n] = len(regions) - 1
+    root = list(range(len(regions)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(region[a]), find(region[b])))
+        root[y] = x
+    return lambda d, at, n: {find(i) for i, (own, lo, hi) in enumerate(regions) if own == d and lo < at + n and at < hi}
+
+
+@pytest.mark.parametrize("most", [2, 32])
+def test_fuzzy_passages_lose_no_link_of_all_pairs(spark, most):
+    """Edited copies beside holders of parts and older wordings, copies, common lines: both ends of every passage of all pairs are in one class."""
+    rng = random.Random(21)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, texts = new(9), []
+    edited = lambda p, every: [w if rng.randrange(every) else new(1)[0] for w in p]
+    for _ in range(12):
+        p = new(rng.randrange(45, 80))
+        cut = rng.randrange(15, 25)
+        texts += [[*new(15), *p[i : i + cut], *new(15)] for i in range(0, len(p) - cut, cut)]
+        texts += [[*new(8), *line, *edited(p, e), *new(8)] for e in (5, 6, 8, 10, 12, 12)] + [[*new(4), *p, *new(4)] for _ in range(3)]
+    texts += [[*rng.choice(texts)[-60:], *new(3), *rng.choice(texts)] for _ in range(15)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = fuzzy_passages.passages(df, bucket_bytes=9000, most=most).collect()
+    for r in found:
+        a, b = (texts[r[d]][r[s] : r[s] + r[n]] for d, s, n in (("doc_id", "start_word", "n_words"), ("source_id", "source_start", "source_words")))
+        assert r["source_id"] < r["doc_id"] and r["matched_words"] == brute_lcs(a, b) and r["similarity"] == r["matched_words"] / max(len(a), len(b)) >= 0.8
+    at = classes_of([((r["doc_id"], r["start_word"], r["n_words"]), (r["source_id"], r["source_start"], r["source_words"])) for r in found])
+    want = all_pairs(texts)
+    assert len(want) > 300 and [(a, b) for a, b in want if not at(*a) & at(*b)] == []
+
+
+def test_fuzzy_passages_of_edited_copies_beside_holders_of_all_parts(spark):
+    """Earlier documents have every seed of the two, and each too few of them for a passage."""
+    rng = random.Random(22)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    p = new(60)
+    copy = [w if i % 10 else f"{w}x" for i, w in enumerate(p)]
+    parts = [[*new(9), *p[i : i + 18], *new(9)] for i in range(0, 60, 14)]
+    texts = [*parts, [*new(9), *p, *new(9)], [*new(9), *copy, *new(9)]]
+    found = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["source_id"]) for r in found] == [(6, 5)]
+
+
+def test_fuzzy_passages_where_texts_lie_in_one_document(spark):
+    """Two wordings of one document: a copy of either is linked with the other one, too."""
+    rng = random.Random(23)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    p = new(60)
+    q = [w if i % 10 else f"{w}x" for i, w in enumerate(p)]
+    texts = [[*p, *new(200), *q], [*new(9), *p, *new(9)], [*new(9), *q, *new(9)]]
+    found = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    at = classes_of([((r["doc_id"], r["start_word"], r["n_words"]), (r["source_id"], r["source_start"], r["source_words"])) for r in found])
+    assert at(1, 9, 60) == at(2, 9, 60) and len(at(1, 9, 60)) == 1
+
+
+def test_stretches_hold_every_chain():
+    rng = random.Random(24)
+    for _ in range(200):
+        x = sorted(rng.sample(range(200), 14))
+        y = [sum(1 for a in x if a <= b) for b in x]  # as near to one another as can be in the other text
+        runs = fuzzy_passages.stretches(np.array(x), 0)
+        for c in fuzzy_passages.chains(x, y):
+            assert any(lo <= c[0] and c[-1] < hi for lo, hi in runs)
+        assert fuzzy_passages.stretches(np.array(x), 40) == [(lo, hi) for lo, hi in runs if x[hi - 1] + 5 - x[lo] >= 40]
+
+
 def test_fuzzy_passages_of_repeated_ids(spark):
     """Each text of an id is a source of its own, however rows are cut into tasks; beyond the bound of what is broadcast as well."""
     rng = random.Random(14)
