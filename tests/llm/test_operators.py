@@ -659,6 +659,47 @@ def test_fuzzy_passages_where_texts_lie_in_one_document(spark):
     assert at(1, 9, 60) == at(2, 9, 60) and len(at(1, 9, 60)) == 1
 
 
+def test_fuzzy_passages_of_repeated_words_are_linked_without_all_pairs(spark):
+    """Texts of two words again and again have a seed at many places: they come into one class by some rows for each text, not by a row for each pair."""
+    rng = random.Random(25)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [[*new(9), *["the"] * rng.randrange(13, 16), *new(1), *["of"] * rng.randrange(13, 16), *new(9)] for _ in range(60)] + [[*new(9), *["the"] * 19, *new(9)]]
+    found = fuzzy_passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    at = classes_of([((r["doc_id"], r["start_word"], r["n_words"]), (r["source_id"], r["source_start"], r["source_words"])) for r in found])
+    classes = [at(i, 9, len(t) - 18) for i, t in enumerate(texts)]
+    assert len(set.union(*classes)) == 1 and all(classes[:60]) and not classes[60] and len(found) < 8 * len(texts)
+
+
+def test_open_pairs_against_all_pairs():
+    """Each pair of texts belongs to one seed, in one group or in blocks of a few texts, and those that could hold a passage all come."""
+    rng = random.Random(26)
+    least, short = 25, fuzzy_passages.shortest(25, 0.8)
+    for blocks in (1, 3):
+        texts = [{s: (lo := rng.randrange(40), lo + rng.randrange(9), rng.choice([None, 1, 1, 2])) for s in rng.sample(range(-9, 9), rng.randrange(1, 9))} for _ in range(60)]
+        got = []
+        for seed in range(-9, 9):
+            own = [i for i, t in enumerate(texts) if seed in t]
+            for p in range(blocks):
+                for q in range(p, blocks):
+                    mine = [i for i in own if i % blocks in (p, q)]
+                    if not mine:
+                        continue
+                    h, lo, hi, label = zip(*((s, a, b, c) for i in mine for s, (a, b, c) in texts[i].items()), strict=True)
+                    owner = np.repeat(np.arange(len(mine)), [len(texts[i]) for i in mine])
+                    left = np.array([k for k, i in enumerate(mine) if i % blocks == p], int)
+                    right = left if p == q else np.array([k for k, i in enumerate(mine) if i % blocks == q], int)
+                    a, b, alone = fuzzy_passages.open_pairs(seed, owner, np.array(h), np.array(lo), np.array(hi), np.array([c or 0 for c in label]), np.array([c is not None for c in label]), left, right, 0.8, least)
+                    got += [(*sorted((mine[left[x]], mine[right[y]])), bool(z)) for x, y, z in zip(a, b, alone, strict=True)]
+        want = []
+        for i, j in ((i, j) for j in range(len(texts)) for i in range(j)):
+            both = [s for s in texts[i] if s in texts[j]]
+            free = [s for s in both if texts[i][s][2] is None or texts[i][s][2] != texts[j][s][2]]
+            spans = [max(t[s][1] for s in free) + 5 - min(t[s][0] for s in free) for t in (texts[i], texts[j]) if free]
+            if spans and max(spans) >= least and min(spans) >= short:
+                want.append((i, j, len(both) == 1))
+        assert sorted(got) == sorted(want) and len(want) > 100
+
+
 def test_stretches_hold_every_chain():
     rng = random.Random(24)
     for _ in range(200):
